@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from calibra.llm.common import BoundedCache, documents, map_arrow, slices
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 19
 #: The labelled documents that a fit uses at most: those with the smallest hash of their id.
-MAX_LABELLED = 6000
+MAX_LABELLED = 12_000
+#: Words also count by their beginning of so many characters.
+PREFIX = 5
 GRADES = 3  # 0 toxic, 1 poor, 2 good
 ACCEPT = 2
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -32,7 +34,7 @@ def bucket_of(token: str) -> int:
 
 
 class Hasher:
-    """The distinct buckets of a whole text: its lower-case tokens and a few facts on its shape."""
+    """The distinct buckets of a whole text: its lower-case tokens, their beginnings, and a few facts on its shape."""
 
     def __init__(self):
         self.bucket = BoundedCache(bucket_of)
@@ -41,6 +43,7 @@ class Hasher:
         tokens = _TOKEN.findall(text.lower())
         distinct = set(tokens)
         found = set(map(self.bucket.__getitem__, distinct))
+        found.update(map(self.bucket.__getitem__, {f"\0{t[:PREFIX]}" for t in distinct if len(t) > PREFIX}))
         lines = text.split("\n")
         shape = ("symbols", 10 * sum(map(len, (t for t in tokens if not t[0].isalnum()))) // max(1, len(text))), ("lines", 5 * len(set(lines)) // len(lines)), ("size", len(tokens).bit_length())
         return found | {self.bucket[f"\0{k}={v}"] for k, v in shape}
@@ -62,7 +65,7 @@ class OrdinalModel:
         return self.tails(score)[:, grade - 1] if grade else np.ones_like(score)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES, rounds: int = 200, penalty: float = 2e-4, min_docs: int = 3, rate: float = 0.05) -> OrdinalModel:
+def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES, rounds: int = 200, penalty: float = 1e-3, min_docs: int = 3, rate: float = 0.05) -> OrdinalModel:
     """Maximum penalised likelihood by full-batch Adam. rows: (distinct buckets, grade). Buckets of under ``min_docs`` rows weigh nothing.
 
     Without rows, or with one grade only, the thresholds alone are learnt.
@@ -149,7 +152,7 @@ def quality_scores(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5,
     """(doc_id, expected_grade, tail_probability, keep) of every whole text; keep: P(grade >= ``grade``) >= ``threshold``.
 
     Null texts are scored as empty; repeated rows give a row each; an empty table gives none; extra columns are left
-    behind. One pass without a shuffle; the weights (1 MB) are broadcast.
+    behind. One pass without a shuffle; the weights (2 MB) are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
