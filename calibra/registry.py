@@ -1,4 +1,6 @@
 """Query name -> function of (spark, sf_dir), and query name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from calibra.plans import inference, market, price, time  # noqa: F401  their queries register themselves
+from calibra.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
