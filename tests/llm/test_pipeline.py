@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from calibra.llm import quality as q
 
-from .test_dedup import brute_lines, groups, plain_fingerprint
+from test_dedup import brute_lines, groups, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
