@@ -58,6 +58,18 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def hashed_sample(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hash of ``column``, all rows if there are no more.
+
+    A sort with a limit alone lets every task send ``most`` rows to the driver. So a share of the range of hashes that
+    holds the sample with room to spare is cut out first; what is left is about as small for any number of tasks.
+    """
+    n = df.count()
+    share = min(1.0, 1.2 * (most + 100) / max(1, n))
+    place = F.shiftrightunsigned(F.xxhash64(column), 1) / F.lit(float(1 << 63))
+    return df.where(place <= share).orderBy(place, column).limit(most)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of ``column``, so that Python lists stay small."""
     for batch in batches:

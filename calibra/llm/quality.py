@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import BoundedCache, documents, map_arrow, slices
+from calibra.llm.common import BoundedCache, documents, hashed_sample, map_arrow, slices
 
 BUCKETS = 1 << 19
 #: The labelled documents that a fit uses at most: those with the smallest hash of their id.
@@ -123,7 +123,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def labelled_features(docs: DataFrame, grades: DataFrame, most: int = MAX_LABELLED) -> list[tuple[np.ndarray, int]]:
     """Features and grade of at most ``most`` labelled documents, collected. The broadcast holds ``most`` ids."""
-    sample = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = hashed_sample(grades, "doc_id", most)
     chosen = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
 
     def work(batches):
