@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from calibra.llm.common import map_arrow, materialise, table
+from calibra.llm.common import hashed_sample, map_arrow, materialise, table
 
 K = 20
 CENTROIDS = 8  # in each half's codebook
@@ -57,7 +57,7 @@ def halves(n: int) -> int:
 
 def fit_codebooks(entries: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     """Codebooks of both halves, from the ``sample`` vectors with the smallest hash of their id; None for an empty table."""
-    rows = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    rows = hashed_sample(entries, "vec_id", sample).collect()
     if not rows:
         return None
     size = max(len(r["v"]) for r in rows)
