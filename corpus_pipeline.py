@@ -31,10 +31,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; rows without doc_id stay."""
+    """The document with the smallest doc_id of each group of near duplicates.
+
+    Of rows with equal doc_id and text one stays, whatever else they hold; rows without doc_id all stay.
+    """
     kept = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return once.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
