@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from calibra.llm.common import map_arrow, materialise
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index that each of ``n`` nodes reaches over the links a-b, by hooking and pointer jumping."""
-    label = np.arange(n)
+def forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest index that each of ``n`` nodes reaches over the links a-b, by hooking and pointer jumping.
+
+    ``label`` is what came of earlier links; it is changed. So links can be taken in chunk by chunk.
+    """
+    label = np.arange(n) if label is None else label
     while len(a):
         la, lb = label[a], label[b]
         far = la != lb
@@ -20,7 +23,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         a, b, la, lb = a[far], b[far], la[far], lb[far]
         np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
         while not np.array_equal(jumped := label[label], label):
-            label = jumped
+            label[:] = jumped
     return label
 
 

@@ -116,7 +116,7 @@ def whole_groups(batches, keys: int):
         yield held
 
 
-def close_pairs(group: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 20):
+def close_pairs(group: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 16):
     """(i, j) of rows of one group (equal numbers, sorted) whose fingerprints are within the radius, chunk by chunk."""
     at, d = np.arange(len(fp)), 1
     found_i, found_j, held = [], [], 0
@@ -165,11 +165,11 @@ def block_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     def work(batches):
         for part in whole_groups(batches, 3):
             fp = part.column(3).to_numpy().view(np.uint64)
+            label = np.arange(len(fp))
             for i, j in close_pairs(numbered(part, 3), fp, radius):
-                nodes, place = np.unique(np.concatenate([fp[i], fp[j]]), return_inverse=True)
-                label = forest(place[: len(i)], place[len(i) :], len(nodes))
-                leaf = np.flatnonzero(label != np.arange(len(nodes)))
-                yield {"a": nodes[leaf].view(np.int64), "b": nodes[label[leaf]].view(np.int64)}
+                label = forest(i, j, len(fp), label)
+            leaf = np.flatnonzero(label != np.arange(len(fp)))
+            yield {"a": fp[leaf].view(np.int64), "b": fp[label[leaf]].view(np.int64)}
 
     return map_arrow(sent, work, "a long, b long")
 

@@ -80,19 +80,15 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
     """Spanning links of the fingerprints within the radius: between two tiles, or inside one where ``right`` is None."""
     inside = right is None
     right = left if inside else right
-    found_a, found_b = [], []
+    values = left if inside else np.concatenate([left, right])
+    label = np.arange(len(values))
     step = max(1, (1 << 20) // max(1, len(right)))
     for at in range(0, len(left), step):
-        near = np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius)
         i += at
         if inside:
             i, j = i[i < j], j[i < j]
-        found_a.append(i)
-        found_b.append(j + (0 if inside else len(left)))
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    values = left if inside else np.concatenate([left, right])
-    label = forest(a, b, len(values))
+        label = forest(i, j + (0 if inside else len(left)), len(values), label)
     leaf = np.flatnonzero(label != np.arange(len(values)))
     return values[leaf], values[label[leaf]]
 
