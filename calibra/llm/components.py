@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import map_arrow, materialise
+from calibra.llm.common import materialise
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray | None = None) -> np.ndarray:
@@ -27,19 +30,29 @@ def forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray | None = None
     return label
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """Per batch, the links as stars around the smallest node: as connected as before, at most one a node."""
+def stars(work: Callable, most: int = 1 << 16) -> Callable:
+    """``work``, a generator of links {a, b}, with its links contracted as they come: stars around the smallest node of
+    about ``most`` links at a time, as connected as before.
+
+    It runs in the worker that makes the links. A mapInArrow of its own would take a second Python worker a task, and
+    idle workers keep the memory that later operators take in them.
+    """
 
-    def work(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (batch.column(k).to_numpy() for k in (0, 1))
+    def run(batches):
+        held, count = [], 0
+        for links in chain(work(batches), [None]):
+            if links is not None and len(links["a"]):
+                held.append([np.asarray(links[c], dtype=np.int64) for c in ("a", "b")])
+                count += len(links["a"])
+            if held and (links is None or count >= most):
+                a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
                 nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
                 label = forest(place[: len(a)], place[len(a) :], len(nodes))
                 leaf = np.flatnonzero(label != np.arange(len(nodes)))
                 yield {"a": nodes[leaf], "b": nodes[label[leaf]]}
+                held, count = [], 0
 
-    return map_arrow(links, work, "a long, b long")
+    return run
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -49,7 +62,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     round at most. Nothing is collected but a count and a sum a round.
     """
     pairs = links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b")).dropna().where("a <> b")
-    edges = materialise(contract(pairs))
+    edges = materialise(pairs)
     before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm.common import BoundedCache, map_arrow, materialise, slices
-from calibra.llm.components import connected_components, forest
+from calibra.llm.components import connected_components, forest, stars
 from calibra.llm.simhash import majorities
 
 RADIUS = 3
@@ -171,7 +171,7 @@ def block_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
             leaf = np.flatnonzero(label != np.arange(len(fp)))
             yield {"a": fp[leaf].view(np.int64), "b": fp[label[leaf]].view(np.int64)}
 
-    return map_arrow(sent, work, "a long, b long")
+    return map_arrow(sent, stars(work), "a long, b long")
 
 
 def verified_links(groups: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -205,7 +205,7 @@ def verified_links(groups: DataFrame, radius: int, similarity: float) -> DataFra
                     split.clear()
             yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
 
-    return map_arrow(sent, work, "a long, b long")
+    return map_arrow(sent, stars(work), "a long, b long")
 
 
 def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from calibra.llm.common import documents, map_arrow, materialise, slices
-from calibra.llm.components import connected_components, forest
+from calibra.llm.components import connected_components, forest, stars
 
 RADIUS = 3
 SEED = 42
@@ -119,7 +119,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
                 if len(a):
                     yield {"a": a.view(np.int64), "b": b.view(np.int64)}
 
-    return map_arrow(pairs, work, "a long, b long")
+    return map_arrow(pairs, stars(work), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
