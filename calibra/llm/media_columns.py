@@ -25,7 +25,8 @@ CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0
 VERSIONS = ((0x4286, 1), (0x42F7, 1), (0x42F2, 4), (0x42F3, 8))
 DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4282, 0x4287, 0x4285
 
-FRAME, LACED, BLOCKS = 576, 8, 64  # bytes a frame, frames a block, blocks a cluster
+FRAME, LACED, BLOCKS = 576, 8, 64  # bytes a frame, frames a block, blocks a cluster at most
+LATEST = (1 << 15) - 1  # a block's time from its cluster's is a signed 16-bit number
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 PACKET_SCHEMA = "doc_id long, packet long, track long, timestamp long, keyframe boolean, cluster_at long, byte_start long, byte_length long"
 
@@ -53,10 +54,11 @@ def store(payload: bytes, rate: int = 8000) -> bytes:
     at, cues = sum(map(len, parts)), []
     frame_ms = FRAME * 1000 // rate
     n = len(payload) // FRAME
-    for c in range(0, n, LACED * BLOCKS):
+    span = LACED * min(BLOCKS, LATEST // (LACED * frame_ms) + 1)  # frames a cluster
+    for c in range(0, n, span):
         body = [element(CLUSTER_TIME, c * frame_ms)]
-        for b in range(c, min(n, c + LACED * BLOCKS), LACED):
-            k = min(LACED, n - b, c + LACED * BLOCKS - b)
+        for b in range(c, min(n, c + span), LACED):
+            k = min(LACED, n - b)
             flags = 0x80 | (0x04 if k > 1 else 0)
             head_of_block = vint(1) + struct.pack(">hB", (b - c) * frame_ms, flags) + (bytes([k - 1]) if k > 1 else b"")
             body.append(element(SIMPLE_BLOCK, head_of_block + payload[b * FRAME : (b + k) * FRAME]))

@@ -97,6 +97,18 @@ def test_media_round_trip(odd_docs, no_docs):
     assert got == want and mc.media_columns(no_docs).count() == 0
 
 
+def test_media_of_long_texts(spark):
+    for frames in (455, 456, 457, 464, 465, 9000):
+        payload = np.random.default_rng(frames).bytes(576 * frames)
+        media = mc.parse(data := mc.store(payload))
+        assert b"".join(data[at : at + n] for *_, at, n in media.packets) == payload
+        assert [p[1] for p in media.packets] == [k // 8 * 8 * 72 for k in range(frames)]
+        assert media.clusters == len(media.cues) == -(-frames // 456)
+    texts = ["long text \n" * 500_000, "x" * (456 * 576 + 1), "short"]
+    got = {r.doc_id: (r.n_bytes, r.payload_sha256) for r in mc.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: (n, hashlib.sha256(p).hexdigest()) for k, (p, n) in enumerate(map(mc.padded, texts))}
+
+
 def test_lacing_of_all_kinds():
     def block(lacing, body):
         return mc.element(mc.SIMPLE_BLOCK, b"\x81\x00\x05" + bytes([0x80 | lacing << 1]) + body)
