@@ -1,14 +1,17 @@
 """Fuzzy line dedup.
 
-Lines are normalised and fingerprinted by SimHash over their distinct words. Distinct fingerprints are joined on their
-four 16-bit blocks: two within three bits agree in one block at least. Groups of fingerprints so linked are verified:
-lines are linked if their fingerprints are within three bits and the edit similarity of their words reaches 0.8. Of
-each connected group of lines the first occurrence stays (smallest doc_id, then place), all others go.
+Lines are normalised to words; two are similar if the edit similarity of their words reaches 0.8. A line of n words
+shares 0.8 n of them at least, repeats counted, with any similar line, so whatever order the words are put in, the
+first n - 0.8 n + 1 of both have one in common: lines meet by these keys, rare words first, and no similar pair is
+missed. Pairs are then told apart by length and by parities of their words, which an edit changes two of at most. Groups
+of lines so linked are verified on the words themselves. Of each connected group of lines the first occurrence stays
+(smallest doc_id, then place), all others go.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -17,18 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import BoundedCache, map_arrow, materialise, slices
+from calibra.llm.common import BoundedCache, documents, map_arrow, materialise, slices
 from calibra.llm.components import connected_components, forest, stars
-from calibra.llm.simhash import majorities
 
-RADIUS = 3
+RADIUS = 3  # of block_links
 SIMILARITY = 0.8
 #: Shorter lines, headings and list items, say too little to be a repeat: they stay.
 MIN_WORDS = 5
-#: Fingerprints of a block's value, or lines of a group, that are compared at once; more are dealt over tiles.
+#: Lines of a key, or of a group, that are compared at once; more are dealt over tiles.
 TILE, GROUP = 4096, 512
 _WORD = re.compile(r"\w+")
-LINES = "doc_id long, th long, line_no int, lid long, fp long"
+#: Documents and words of the sample that tells which words are common; it sets the cost only, any order finds every pair.
+SAMPLE, COMMON = 4000, 65_536
+LINES = "doc_id long, th long, line_no int, lid long, n int, parity binary, keys binary"
 ID, HASH, DROPPED = "__calibra_id", "__calibra_hash", "__calibra_dropped"
 
 
@@ -76,22 +80,81 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({ID: F.col("doc_id").cast("long"), HASH: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, line_no, lid, fp): every line of ``min_words`` words or more; lid hashes its normal form."""
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), 7)
+
+
+def common_words(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the commonest words of a sample of about SAMPLE documents."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63)) <= share)
+
+    def work(batches):
+        for batch in slices(batches):
+            counts = Counter(chain.from_iterable(line_words(t) for t in batch.column("text").to_pylist()))
+            yield {"word": np.array([word_hash(w) for w in counts], dtype=np.uint64).view(np.int64), "n": list(counts.values())}
+
+    found = map_arrow(documents(sample), work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    top = found.orderBy(F.desc("n"), "word").limit(most).collect()
+    word, n = np.array([r.word for r in top], dtype=np.int64).view(np.uint64), np.array([r.n for r in top], dtype=np.uint64)
+    order = np.argsort(word)
+    return word[order], n[order]
+
+
+def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary value per run of ``lengths`` items of ``data``."""
+    at = np.concatenate([[0], np.cumsum(lengths)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def parity_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of a line's parities: the least power of two from 128 on that is no less than 2.5 a word."""
+    return 1 << np.maximum(7, np.ceil(np.log2(np.maximum(1, 2.5 * n))).astype(np.int64))
+
+
+def parities(words: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of each run of ``n`` word hashes: how often each remainder occurs, modulo two. Halves fold by exclusive-or."""
+    bits = parity_bits(n)
+    place = np.repeat(np.cumsum(bits) - bits, n) + (words & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    return binaries(np.packbits(odd.astype(np.uint8), bitorder="little"), bits // 8)
+
+
+def prefix_keys(words: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, their number per line): the rarest words of each run, the k-th copy of a word being a word of its own."""
+    line = np.repeat(np.arange(len(n)), n)
+    word = words[np.lexsort((words, line))]
+    new = np.ones(len(word), dtype=bool)
+    new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
+    copy = (np.arange(len(word)) - np.flatnonzero(new)[np.cumsum(new) - 1]).astype(np.uint64)
+    at = np.minimum(np.searchsorted(common[0], word), max(0, len(common[0]) - 1))
+    count = np.where(common[0][at] == word, common[1][at], 0).astype(np.uint64) if len(common[0]) else np.zeros(len(word), dtype=np.uint64)
+    key = (word + copy * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((key | np.minimum(count // (copy + np.uint64(1)), np.uint64(0xFFFFFFFF)) << np.uint64(32), line))
+    # the edit distance of a similar line no longer than this one is within (1 - similarity) n; a longer line's limit is its own
+    wanted = np.minimum(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
+    first = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(wanted, n)
+    return key[order][first].astype(np.uint32).view(np.int32), wanted
+
+
+def lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, th, line_no, lid, n, parity, keys): every line of ``min_words`` words or more; lid hashes its normal form."""
+    common = common_words(docs)
 
     def work(batches):
-        word = BoundedCache(lambda w: xxhash.xxh64_intdigest(w.encode(), 7), 600_000)
+        word = BoundedCache(word_hash, 600_000)
         for batch in slices(batches):
             rows, hashes = [], []
             for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 for k, line in enumerate(text.lower().split("\n")):
                     if len(words := _WORD.findall(line)) >= min_words:
                         rows.append((doc_id, th, k, xxhash.xxh3_64_intdigest(" ".join(words).encode())))
-                        hashes.append([word[w] for w in set(words)])
-            flat = np.fromiter(chain.from_iterable(hashes), dtype=np.uint64, count=sum(map(len, hashes)))
-            fp = majorities(flat, np.array([len(h) for h in hashes], dtype=np.int64))
+                        hashes.append([word[w] for w in words])
+            n = np.array([len(h) for h in hashes], dtype=np.int64)
+            flat = np.fromiter(chain.from_iterable(hashes), dtype=np.uint64, count=int(n.sum()))
             lid = np.array([r[3] for r in rows], dtype=np.uint64).view(np.int64)
-            yield {"doc_id": [r[0] for r in rows], "th": [r[1] for r in rows], "line_no": [r[2] for r in rows], "lid": lid, "fp": fp.view(np.int64)}
+            keys = binaries(*prefix_keys(flat, n, common, similarity))
+            yield {"doc_id": [r[0] for r in rows], "th": [r[1] for r in rows], "line_no": [r[2] for r in rows], "lid": lid, "n": n, "parity": parities(flat, n), "keys": keys}
 
     texts = keyed(docs).select(F.col(ID), F.col(HASH), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return map_arrow(texts, work, LINES)
@@ -152,7 +215,8 @@ def dealt(rows: DataFrame, key: str, by: str, tile: int) -> DataFrame:
     hot = rows.groupBy(key).count().where(F.col("count") > tile).select(key, F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64(by), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda s: F.struct(F.least(s, own).alias("i"), F.greatest(s, own).alias("j")))
-    spread = rows.join(hot, key, "left").withColumn("p", F.explode(F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)))
+    # hot keys are one in ``tile`` rows at most
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("p", F.explode(F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)))
     return spread.drop("tiles").withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p")
 
 
@@ -174,51 +238,101 @@ def block_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return map_arrow(sent, stars(work), "a long, b long")
 
 
-def verified_links(groups: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """groups (comp, lid, fp, words) -> (a, b): spanning links of lines within the radius and similar enough."""
-    sent = dealt(groups, "comp", "lid", GROUP).select("comp", "i", "j", "fp", "lid", "words").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "lid")
+class Told:
+    """Lines of groups, sorted by group and length: pairs that their lengths and parities don't tell apart."""
+
+    def __init__(self, group: np.ndarray, n: np.ndarray, parity: pa.ChunkedArray, similarity: float):
+        self.group, self.n, self.similarity = group, n, similarity
+        self.width = parity_bits(n) // 64
+        self.first = np.cumsum(self.width) - self.width
+        self.flat = np.frombuffer(b"".join(parity.to_pylist()), dtype="<u8")
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether i and j, j no shorter, may be within their limit of edits: each changes two parities at most."""
+        out = np.zeros(len(i), dtype=bool)
+        most = 2 * np.floor((1 - self.similarity) * self.n[j] + 1e-9)
+        for w, v in set(zip(self.width[i].tolist(), self.width[j].tolist(), strict=True)):
+            at = np.flatnonzero((self.width[i] == w) & (self.width[j] == v))
+            x, y = (self.flat[self.first[k[at]][:, None] + np.arange(u)] for k, u in ((i, w), (j, v)))
+            y = np.bitwise_xor.reduce(y.reshape(len(at), v // w, w), axis=1)
+            out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[at]
+        return out
+
+    def pairs(self, linked):
+        """(i, j) step by step; pairs that ``linked`` says are in one group already are passed over."""
+        at, d = np.arange(len(self.n)), 1
+        while True:
+            at = at[at + d < len(self.n)]
+            at = at[(self.group[at] == self.group[at + d]) & (self.n[at] >= self.similarity * self.n[at + d] - 1e-9)]
+            if not len(at):
+                return
+            open_ = at[~linked(at, at + d)]
+            near = open_[self.alike(open_, open_ + d)]
+            if len(near):
+                yield near, near + d
+            d += 1
+
+
+def prefix_links(distinct: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """distinct (lid, n, parity, keys) -> (a, b): lines that share a key and may be similar, down to a spanning forest of each batch."""
+
+    def spread(batches):
+        for batch in slices(batches, "keys", 1 << 17):
+            keys = batch.column("keys").to_pylist()
+            again = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
+            yield {"key": np.frombuffer(b"".join(keys), dtype=np.int32)} | {c: batch.column(c).take(pa.array(again)) for c in ("lid", "n", "parity")}
+
+    rows = map_arrow(distinct.select("lid", "n", "parity", "keys"), spread, "key int, lid long, n int, parity binary")
+    # keys and their tiles as one number: where two fall together, more lines meet
+    cell = F.when(F.col("j") > 0, F.xxhash64("key", "i", "j")).otherwise(F.col("key").cast("long")).alias("cell")
+    sent = dealt(rows, "key", "lid", tile).select(cell, "n", "lid", "parity").repartition("cell").sortWithinPartitions("cell", "n")
 
     def work(batches):
-        for part in whole_groups(batches, 3):
-            fp, lid = part.column(3).to_numpy().view(np.uint64), part.column(4).to_numpy()
-            texts, split = part.column(5), {}
-            parent = list(range(len(lid)))
+        for part in whole_groups(batches, 1):
+            lid = part.column(2).to_numpy()
+            label = np.arange(len(lid))
+            for i, j in Told(numbered(part, 1), part.column(1).to_numpy().astype(np.int64), part.column(3), similarity).pairs(lambda x, y: label[x] == label[y]):
+                label = forest(i, j, len(lid), label)
+            leaf = np.flatnonzero(label != np.arange(len(lid)))
+            yield {"a": lid[leaf], "b": lid[label[leaf]]}
+
+    return map_arrow(sent, stars(work), "a long, b long")
+
+
+def verified_links(groups: DataFrame, similarity: float) -> DataFrame:
+    """groups (comp, lid, n, parity, words) -> (a, b): spanning links of lines that are similar."""
+    sent = dealt(groups, "comp", "lid", GROUP).select("comp", "i", "j", "n", "lid", "parity", "words").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "n", "lid")
 
-            def root(x):
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
+    def work(batches):
+        for part in whole_groups(batches, 3):
+            lid, texts, split, out = part.column(4).to_numpy(), part.column(6), {}, []
+            label = np.arange(len(lid))
 
             def words(x):
                 if x not in split:
                     split[x] = texts[x].as_py().split(" ")
                 return split[x]
 
-            out = []
-            for i, j in close_pairs(numbered(part, 3), fp, radius):
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    p, q = root(x), root(y)
-                    if p != q and (lid[x] == lid[y] or similar(words(x), words(y), similarity)):
-                        parent[max(p, q)] = min(p, q)
-                        out.append((lid[x], lid[y]))
+            for i, j in Told(numbered(part, 3), part.column(3).to_numpy().astype(np.int64), part.column(5), similarity).pairs(lambda x, y: label[x] == label[y]):
+                met = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if similar(words(x), words(y), similarity)]
+                if met:
+                    label = forest(i[met], j[met], len(lid), label)
                 if len(split) > 20_000:
                     split.clear()
-            yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+            leaf = np.flatnonzero(label != np.arange(len(lid)))
+            yield {"a": lid[leaf], "b": lid[label[leaf]]}
 
     return map_arrow(sent, stars(work), "a long, b long")
 
 
-def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, dropped): per document the numbers of the lines that go."""
-    all_lines = materialise(lines(docs, min_words))
-    first = F.min(F.struct(F.col("doc_id"), F.col("th"), F.col("line_no"))).alias("first")
-    distinct = materialise(all_lines.groupBy("lid").agg(first, F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
-    shared = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("alike"))
-    parts = connected_components(block_links(shared.select("fp"), radius))
-    # lines that share their fingerprint, or have a linked one, are to be verified
-    told = shared.join(parts, shared["fp"] == parts["node"], "left").where(F.col("node").isNotNull() | (F.col("alike") > 1)).select("fp", F.coalesce("component", "fp").alias("comp"))
-    suspects = distinct.join(told, "fp").select("lid", "fp", "comp", "first.*")
-    wanted = suspects.groupBy(F.col("doc_id").alias(ID), F.col("th").alias(HASH)).agg(F.collect_list(F.struct("line_no", "lid", "fp", "comp")).alias("wanted"))
+    all_lines = materialise(lines(docs, min_words, similarity))
+    first = F.min(F.struct("doc_id", "th", "line_no", "n", "parity", "keys")).alias("first")
+    distinct = materialise(all_lines.groupBy("lid").agg(first, F.count(F.lit(1)).alias("times")).select("lid", "first.n", "first.parity", "first.keys", F.struct("first.doc_id", "first.th", "first.line_no").alias("first"), "times"))
+    parts = connected_components(prefix_links(distinct, similarity))
+    suspects = distinct.join(parts, distinct["lid"] == parts["node"]).select("lid", "n", "parity", F.col("component").alias("comp"), "first.*")
+    wanted = suspects.groupBy(F.col("doc_id").alias(ID), F.col("th").alias(HASH)).agg(F.collect_list(F.struct("line_no", "lid", "n", "parity", "comp")).alias("wanted"))
     texts = keyed(docs).select(ID, HASH, "text")
     found = texts.join(wanted, texts[ID].eqNullSafe(wanted[ID]) & (texts[HASH] == wanted[HASH])).select("text", "wanted")
 
@@ -227,28 +341,28 @@ def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIM
             rows = []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = text.lower().split("\n")
-                rows += [(w["comp"], w["lid"], w["fp"], " ".join(_WORD.findall(own[w["line_no"]]))) for w in asked]
-            yield {c: [r[k] for r in rows] for k, c in enumerate(("comp", "lid", "fp", "words"))}
+                rows += [(w["comp"], w["lid"], w["n"], w["parity"], " ".join(_WORD.findall(own[w["line_no"]]))) for w in asked]
+            yield {c: [r[k] for r in rows] for k, c in enumerate(("comp", "lid", "n", "parity", "words"))}
 
-    groups = materialise(map_arrow(found, fetch, "comp long, lid long, fp long, words string"))
-    linked = connected_components(verified_links(groups, radius, similarity))
+    groups = materialise(map_arrow(found, fetch, "comp long, lid long, n int, parity binary, words string"))
+    linked = connected_components(verified_links(groups, similarity))
     joined = distinct.join(linked, distinct["lid"] == linked["node"]).select("lid", "component", "first")
     kept = joined.groupBy("component").agg(F.min("first").alias("kept"))
     of_group = joined.join(kept, "component").select("lid", "kept")
-    repeated = distinct.join(of_group, "lid", "left").where(F.col("kept").isNotNull() | (F.col("n") > 1))
+    repeated = distinct.select("lid", "first", "times").join(of_group, "lid", "left").where(F.col("kept").isNotNull() | (F.col("times") > 1))
     rule = materialise(repeated.select("lid", F.coalesce("kept", "first").alias("kept")))
-    gone = all_lines.join(rule, "lid").where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("kept")))
+    gone = all_lines.select("doc_id", "th", "line_no", "lid").join(rule, "lid").where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, with all their columns, the text without its repeated lines; plus n_lines and n_dropped.
 
     Lines end at a line feed. Lines of fewer than ``min_words`` words stay, blank ones among them. A null text stays
     null and an empty one empty; a document may end up empty but no row goes. Rows with equal doc_id and text count as
     one document, so both keep the same lines; a null doc_id comes first. An empty table gives none.
     """
-    gone = dropped_lines(docs, radius, similarity, min_words).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("dropped").alias(DROPPED))
+    gone = dropped_lines(docs, similarity, min_words).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("dropped").alias(DROPPED))
     full = keyed(docs)
     met = full.join(gone, full[ID].eqNullSafe(gone["g_id"]) & (full[HASH] == gone["g_th"]), "left").select(*[full[c] for c in docs.columns], DROPPED)
     plain = F.split("text", "\n", -1)

@@ -109,3 +109,25 @@ def test_line_dedup(spark, documents, odd_docs, no_docs):
     assert odd.columns[: len(odd_docs.columns)] == odd_docs.columns and odd.count() == odd_docs.count()
     assert {(r.doc_id, r.text) for r in odd.collect() if r.doc_id in (4, 5)} == {(4, None), (5, "")}
     assert ld.line_dedup(no_docs).count() == 0
+
+
+def similar_lines(rows):
+    """rows (doc_id, text) -> text without repeated lines, by edit similarity alone, every pair compared."""
+    seen = [(d, k, w) for d, text in sorted(rows) for k, line in enumerate(text.split("\n")) if len(w := ld.line_words(line)) >= ld.MIN_WORDS]
+    label = groups(len(seen), [(i, j) for i in range(len(seen)) for j in range(i) if ld.similar(seen[i][2], seen[j][2])])
+    gone = {(d, k) for i, (d, k, _) in enumerate(seen) if label[i] != i}
+    return {d: "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in gone) for d, text in rows}
+
+
+def test_every_similar_line_is_found(spark, documents):
+    rng = random.Random(9)
+    rows = [(r.doc_id, r.text) for r in documents.where("length(text) < 4000").limit(120).collect()]
+    for at, n in enumerate((5, 6, 9, 10, 11, 20, 50, 51, 52, 103, 300) * 4):
+        line = [rng.choice(("the", "of", "and", f"w{rng.randrange(10_000)}")) for _ in range(n)]
+        for copy in range(2):
+            for _ in range(copy * rng.randint(1, max(1, n // 5))):
+                k = rng.randrange(len(line))
+                line[k : k + rng.randint(0, 1)] = [f"x{rng.randrange(10_000)}"] * rng.randint(0, 1)
+            rows.append((80_000 + 2 * at + copy, " ".join(line)))
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == similar_lines(rows) and sum(not t for t in got.values()) > 15
