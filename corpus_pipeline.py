@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from calibra.llm import line_dedup, packing, quality, simhash
 from calibra.llm.common import materialise, table
 
-#: A document goes if its chance of the best grade is under this.
-KEEP_AT = 0.3
+#: A document goes if its chance of the best grade is under this: op8's own cut, so none stays that op8 marks keep = false.
+KEEP_AT = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
