@@ -25,11 +25,14 @@ from calibra.llm.components import connected_components, forest, stars
 
 RADIUS = 3  # of block_links
 SIMILARITY = 0.8
-#: Shorter lines, headings and list items, say too little to be a repeat: they stay.
-MIN_WORDS = 5
+#: Shorter lines, headings and list items, say too little to be similar: of these only exact repeats go, once they are REPEATS.
+MIN_WORDS, REPEATS = 5, 5
 #: Lines of a key, or of a group, that are compared at once; more are dealt over tiles.
 TILE, GROUP = 4096, 512
 _WORD = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, kana and Han have no spaces between words: each of their characters counts as one.
+_SIGNS = "\u0e01-\u0eff\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u3041-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_SIGN, _WORD_OR_SIGN = re.compile(f"[{_SIGNS}]"), re.compile(f"[{_SIGNS}]|[^\\W{_SIGNS}]+")
 #: Documents and words of the sample that tells which words are common; it sets the cost only, any order finds every pair.
 SAMPLE, COMMON = 4000, 65_536
 LINES = "doc_id long, th long, line_no int, lid long, n int, parity binary, keys binary"
@@ -38,7 +41,12 @@ ID, HASH, DROPPED = "__calibra_id", "__calibra_hash", "__calibra_dropped"
 
 def line_words(line: str) -> list[str]:
     """The normal form: lower-case words, without punctuation and spacing."""
-    return _WORD.findall(line.lower())
+    return splitter(line)(line.lower())
+
+
+def splitter(text: str):
+    """What cuts a lower-case line of the text into words."""
+    return (_WORD_OR_SIGN if _SIGN.search(text) else _WORD).findall
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -138,23 +146,25 @@ def prefix_keys(words: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.n
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, th, line_no, lid, n, parity, keys): every line of ``min_words`` words or more; lid hashes its normal form."""
+    """(doc_id, th, line_no, lid, n, parity, keys): every line with a word; lid hashes its normal form. Keys are of ``min_words`` words or more."""
     common = common_words(docs)
 
     def work(batches):
         word = BoundedCache(word_hash, 600_000)
         for batch in slices(batches):
-            rows, hashes = [], []
+            rows, hashes, length = [], [], []
             for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                split = splitter(text)
                 for k, line in enumerate(text.lower().split("\n")):
-                    if len(words := _WORD.findall(line)) >= min_words:
+                    if words := split(line):
                         rows.append((doc_id, th, k, xxhash.xxh3_64_intdigest(" ".join(words).encode())))
-                        hashes.append([word[w] for w in words])
+                        hashes.append([word[w] for w in words] if len(words) >= min_words else [])
+                        length.append(len(words))
             n = np.array([len(h) for h in hashes], dtype=np.int64)
             flat = np.fromiter(chain.from_iterable(hashes), dtype=np.uint64, count=int(n.sum()))
             lid = np.array([r[3] for r in rows], dtype=np.uint64).view(np.int64)
             keys = binaries(*prefix_keys(flat, n, common, similarity))
-            yield {"doc_id": [r[0] for r in rows], "th": [r[1] for r in rows], "line_no": [r[2] for r in rows], "lid": lid, "n": n, "parity": parities(flat, n), "keys": keys}
+            yield {"doc_id": [r[0] for r in rows], "th": [r[1] for r in rows], "line_no": [r[2] for r in rows], "lid": lid, "n": length, "parity": parities(flat, n), "keys": keys}
 
     texts = keyed(docs).select(F.col(ID), F.col(HASH), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return map_arrow(texts, work, LINES)
@@ -325,7 +335,7 @@ def verified_links(groups: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(sent, stars(work), "a long, b long")
 
 
-def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, th, dropped): per document the numbers of the lines that go."""
     all_lines = materialise(lines(docs, min_words, similarity))
     first = F.min(F.struct("doc_id", "th", "line_no", "n", "parity", "keys")).alias("first")
@@ -340,8 +350,8 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
         for batch in slices(batches):
             rows = []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = text.lower().split("\n")
-                rows += [(w["comp"], w["lid"], w["n"], w["parity"], " ".join(_WORD.findall(own[w["line_no"]]))) for w in asked]
+                own, split = text.lower().split("\n"), splitter(text)
+                rows += [(w["comp"], w["lid"], w["n"], w["parity"], " ".join(split(own[w["line_no"]]))) for w in asked]
             yield {c: [r[k] for r in rows] for k, c in enumerate(("comp", "lid", "n", "parity", "words"))}
 
     groups = materialise(map_arrow(found, fetch, "comp long, lid long, n int, parity binary, words string"))
@@ -349,20 +359,22 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     joined = distinct.join(linked, distinct["lid"] == linked["node"]).select("lid", "component", "first")
     kept = joined.groupBy("component").agg(F.min("first").alias("kept"))
     of_group = joined.join(kept, "component").select("lid", "kept")
-    repeated = distinct.select("lid", "first", "times").join(of_group, "lid", "left").where(F.col("kept").isNotNull() | (F.col("times") > 1))
+    least = F.when(F.col("n") < min_words, repeats).otherwise(2)
+    repeated = distinct.select("lid", "n", "first", "times").join(of_group, "lid", "left").where(F.col("kept").isNotNull() | (F.col("times") >= least))
     rule = materialise(repeated.select("lid", F.coalesce("kept", "first").alias("kept")))
     gone = all_lines.select("doc_id", "th", "line_no", "lid").join(rule, "lid").where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repeats: int = REPEATS) -> DataFrame:
     """docs, with all their columns, the text without its repeated lines; plus n_lines and n_dropped.
 
-    Lines end at a line feed. Lines of fewer than ``min_words`` words stay, blank ones among them. A null text stays
+    Lines end at a line feed. Lines without a word stay. Of a line of fewer than ``min_words`` words the first
+    stays, if it occurs ``repeats`` times or more, or else all do. A null text stays
     null and an empty one empty; a document may end up empty but no row goes. Rows with equal doc_id and text count as
     one document, so both keep the same lines; a null doc_id comes first. An empty table gives none.
     """
-    gone = dropped_lines(docs, similarity, min_words).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("dropped").alias(DROPPED))
+    gone = dropped_lines(docs, similarity, min_words, repeats).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("dropped").alias(DROPPED))
     full = keyed(docs)
     met = full.join(gone, full[ID].eqNullSafe(gone["g_id"]) & (full[HASH] == gone["g_th"]), "left").select(*[full[c] for c in docs.columns], DROPPED)
     plain = F.split("text", "\n", -1)

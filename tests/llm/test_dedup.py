@@ -116,9 +116,28 @@ def similar_lines(rows):
     seen = [(d, k, w) for d, text in sorted(rows) for k, line in enumerate(text.split("\n")) if len(w := ld.line_words(line)) >= ld.MIN_WORDS]
     label = groups(len(seen), [(i, j) for i in range(len(seen)) for j in range(i) if ld.similar(seen[i][2], seen[j][2])])
     gone = {(d, k) for i, (d, k, _) in enumerate(seen) if label[i] != i}
+    short: dict = {}
+    for d, text in sorted(rows):
+        for k, line in enumerate(text.split("\n")):
+            if 0 < len(w := ld.line_words(line)) < ld.MIN_WORDS:
+                short.setdefault(tuple(w), []).append((d, k))
+    gone |= {x for places in short.values() if len(places) >= ld.REPEATS for x in places[1:]}
     return {d: "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in gone) for d, text in rows}
 
 
+def test_short_lines_and_unspaced_scripts(spark):
+    chinese, thai = "今天天气很好，我们去公园玩，然后回家吃饭。", "วันนี้อากาศดีมากเราไปเที่ยวสวนสาธารณะกัน"
+    assert len(ld.line_words(chinese)) == 18 and ld.line_words("C'est 12 ans, ÉTÉ_x 東京abc") == ["c", "est", "12", "ans", "été_x", "東", "京", "abc"]
+    rows = [(1, f"{chinese}\n{thai}\nAll rights reserved.\nContents\n\n--")]
+    rows += [(k, f"own{k} words of page{k} stay{k}\nall rights, reserved\n\n--" + "\nContents" * (k < 5)) for k in range(2, 6)]
+    rows += [(6, f"{chinese.replace('公园', '海边')}\n{thai}"), (7, "Contents")]
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows[:-1], "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1]} | {k: f"own{k} words of page{k} stay{k}\n\n--" + "\nContents" * (k < 5) for k in range(2, 6)} | {6: ""}
+    assert got == similar_lines(rows[:-1])
+    got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[7] == "" and got[2].count("Contents") == 0 and got[1].count("Contents") == 1
+
+
 def test_every_similar_line_is_found(spark, documents):
     rng = random.Random(9)
     rows = [(r.doc_id, r.text) for r in documents.where("length(text) < 4000").limit(120).collect()]
