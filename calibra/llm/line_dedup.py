@@ -1,52 +1,51 @@
 """Fuzzy line dedup.
 
-Lines are normalised to words; two are similar if the edit similarity of their words reaches 0.8. A line of n words
-shares 0.8 n of them at least, repeats counted, with any similar line, so whatever order the words are put in, the
-first n - 0.8 n + 1 of both have one in common: lines meet by these keys, rare words first, and no similar pair is
-missed. Pairs are then told apart by length and by parities of their words, which an edit changes two of at most. Groups
-of lines so linked are verified on the words themselves. Of each connected group of lines the first occurrence stays
-(smallest doc_id, then place), all others go.
+Lines are normalised to words; two are similar if the edit similarity of their words reaches 0.8. The edits that this
+allows, a fifth of the words, can't touch all of a line's words: put the words of all lines in one order, rare words
+first, and of the first fifth and one more of each of two similar lines, one is aligned with itself. So lines meet by
+these pigeonholes, and no similar pair is missed; a SimHash of 64 bits would have to bear some 13 differing bits, which
+no number of blocks makes selective. A pair that meets is told apart by its lengths, by the places of the shared word,
+and by the exclusive-or of two sketches of 192 bits (parities of the words' hashes), of which an edit changes two bits at
+most. Groups of lines so linked are verified by edit distance. Of each connected group of lines the first occurrence
+stays (smallest doc_id, then place), all others go.
+
+Meeting is by packed exchange: a task sorts its records into buckets of the keys' hashes and sends one row of bytes to
+each, so neither the JVM nor Python handles a record by itself.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import BoundedCache, documents, map_arrow, materialise, slices
+from calibra.llm import line_words as lw
+from calibra.llm.common import map_arrow, materialise, slices
 from calibra.llm.components import connected_components, forest, stars
 
-RADIUS = 3  # of block_links
 SIMILARITY = 0.8
 #: Shorter lines, headings and list items, say too little to be similar: of these only exact repeats go, once they are REPEATS.
 MIN_WORDS, REPEATS = 5, 5
 #: Lines of a key, or of a group, that are compared at once; more are dealt over tiles.
 TILE, GROUP = 4096, 512
-_WORD = re.compile(r"\w+")
-#: Thai, Lao, Burmese, Khmer, kana and Han have no spaces between words: each of their characters counts as one.
-_SIGNS = "\u0e01-\u0eff\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u3041-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-_SIGN, _WORD_OR_SIGN = re.compile(f"[{_SIGNS}]"), re.compile(f"[{_SIGNS}]|[^\\W{_SIGNS}]+")
 #: Documents and words of the sample that tells which words are common; it sets the cost only, any order finds every pair.
 SAMPLE, COMMON = 4000, 65_536
-LINES = "doc_id long, th long, line_no int, lid long, n int, parity binary, keys binary"
+#: Bytes of records that a task holds before it sends them, and that a bucket has, about.
+HELD, BUCKET = 16 << 20, 16 << 20
+#: What meets in a bucket: the key's low half, words and the key word's place (both 65535 at most; then the place is unknown), the line, its parities.
+RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8"), ("odd", "<u8", 3)])
+MOST = 65_535
+LINES = "doc_id long, th long, line_no int, lid long, n int"
 ID, HASH, DROPPED = "__calibra_id", "__calibra_hash", "__calibra_dropped"
+_WORD_OR_SIGN = re.compile(f"[{lw.SIGNS}]|[^\\W{lw.SIGNS}]+")
 
 
 def line_words(line: str) -> list[str]:
-    """The normal form: lower-case words, without punctuation and spacing."""
-    return splitter(line)(line.lower())
-
-
-def splitter(text: str):
-    """What cuts a lower-case line of the text into words."""
-    return (_WORD_OR_SIGN if _SIGN.search(text) else _WORD).findall
+    """The normal form: lower-case words, without punctuation and spacing; a character of an unspaced script is a word."""
+    return _WORD_OR_SIGN.findall(line.lower())
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -77,6 +76,11 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
+def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that leave lines similar of which the longer has ``n`` words."""
+    return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
 def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
     """Edit similarity: 1 - distance / longer length."""
     most = max(len(a), len(b))
@@ -88,25 +92,226 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({ID: F.col("doc_id").cast("long"), HASH: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode(), 7)
+def texts_of(docs: DataFrame) -> DataFrame:
+    return keyed(docs).select(F.col(ID), F.col(HASH), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line_no, lid, n): every line with a word; lid hashes its normal form, n is its number of words."""
+
+    def work(batches):
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            for s in lw.some(texts):
+                found = lw.lines_of(texts[s])
+                at = pa.array(found.doc + s.start)
+                yield {"doc_id": batch.column(0).take(at), "th": batch.column(1).take(at), "line_no": found.line_no, "lid": found.lid.view(np.int64), "n": found.n}
+
+    return map_arrow(texts_of(docs), work, LINES)
 
 
-def common_words(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the commonest words of a sample of about SAMPLE documents."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63)) <= share)
+def common_words(docs: DataFrame, n_docs: int, most: int = COMMON) -> np.ndarray:
+    """How common words are in a sample of about SAMPLE documents: eight steps to a doubling, by the top 18 bits of a word's hash."""
+    sample = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63)) <= min(1.0, SAMPLE / max(1, n_docs)))
 
     def work(batches):
         for batch in slices(batches):
-            counts = Counter(chain.from_iterable(line_words(t) for t in batch.column("text").to_pylist()))
-            yield {"word": np.array([word_hash(w) for w in counts], dtype=np.uint64).view(np.int64), "n": list(counts.values())}
+            texts = batch.column("text").to_pylist()
+            for s in lw.some(texts):
+                word, n = np.unique(lw.lines_of(texts[s]).words, return_counts=True)
+                yield {"word": word.view(np.int64), "n": n}
 
-    found = map_arrow(documents(sample), work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    found = map_arrow(texts_of(sample), work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     top = found.orderBy(F.desc("n"), "word").limit(most).collect()
-    word, n = np.array([r.word for r in top], dtype=np.int64).view(np.uint64), np.array([r.n for r in top], dtype=np.uint64)
-    order = np.argsort(word)
-    return word[order], n[order]
+    table = np.zeros(1 << 18, dtype=np.uint8)
+    slot = np.array([r.word for r in top], dtype=np.int64).view(np.uint64) >> np.uint64(46)
+    np.maximum.at(table, slot, np.minimum(255, 8 * np.log2(np.array([r.n for r in top], dtype=np.float64))).astype(np.uint8))
+    return table
+
+
+def ranked(words: np.ndarray, n: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places of the words, line by line, the rarest of each line first: one order of all words, by commonness and hash."""
+    kind, line = common[words >> np.uint64(46)], np.repeat(np.arange(len(n)), n)
+    if len(n) > MOST or not len(n) or n.max() > MOST:
+        return np.lexsort((words, kind, line))
+    first = np.cumsum(n) - n
+    place = np.arange(len(words)) - np.repeat(first, n)
+    # one number a word: line, kind, 24 bits of the hash, place
+    order = line.astype(np.uint64) << np.uint64(48) | kind.astype(np.uint64) << np.uint64(40) | (words >> np.uint64(6) & np.uint64(0xFFFFFF)) << np.uint64(16) | place.astype(np.uint64)
+    order.sort()
+    at = first[(order >> np.uint64(48)).astype(np.int64)] + (order & np.uint64(0xFFFF)).astype(np.int64)
+    order >>= np.uint64(16)
+    tie = np.flatnonzero((order[1:] == order[:-1]) & (words[at[1:]] != words[at[:-1]]))
+    for k in tie.tolist():  # few: unlike words that agree in the 24 bits
+        a, b = np.searchsorted(order, order[k], "left"), np.searchsorted(order, order[k], "right")
+        at[a:b] = at[a:b][np.lexsort((at[a:b], words[at[a:b]]))]
+    return at
+
+
+def records(found: lw.Lines, chosen: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whole keys, RECORDs) of the chosen lines: of each line its rarest words, one more than edits can touch."""
+    n = found.n[chosen]
+    words = found.words[found.word_places(chosen)]
+    first = np.cumsum(n) - n
+    at = ranked(words, n, common)
+    line = np.repeat(np.arange(len(n)), n)
+    rank = np.arange(len(words)) - np.repeat(first, n)
+    word = words[at]
+    again = np.zeros(len(word), dtype=bool)
+    again[1:] = (word[1:] == word[:-1]) & (line[1:] == line[:-1])
+    repeated = again.copy()
+    repeated[:-1] |= again[1:]
+    take = (rank <= np.repeat(allowed(n, similarity), n)) & ~again
+    # a line's parities: bit hash * 192 >> 32, of three 64-bit numbers
+    bit = ((words & np.uint64(0xFFFFFFFF)) * np.uint64(192)) >> np.uint64(32)
+    odd = np.empty((len(n), 3), dtype=np.uint64)
+    for k in range(3):
+        odd[:, k] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), first) if len(first) else 0
+    key, of = word[take], line[take]
+    out = np.empty(len(key), dtype=RECORD)
+    out["key"], out["n"], out["lid"], out["odd"] = key & np.uint64(0xFFFFFFFF), np.minimum(n, MOST)[of], found.lid[chosen][of], odd[of]
+    out["place"] = np.where(repeated[take], MOST, np.minimum(at[take] - first[of], MOST))
+    return key, out
+
+
+def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, similarity: float) -> DataFrame:
+    """(bucket, data): the records of all lines of ``min_words`` or more, by the upper half of their keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def work(batches):
+        held, size, seen = [], 0, set()
+
+        def send():
+            keys, rows = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            rows, (found, at) = rows[order], np.unique(bucket[order], return_index=True)
+            ends = np.append(at[1:], len(rows))
+            return {"bucket": found.astype(np.int64), "data": [rows[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]}
+
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            for s in lw.some(texts):
+                found = lw.lines_of(texts[s])
+                lid, at = np.unique(found.lid, return_index=True)
+                new = [k for k, x in zip(at.tolist(), lid.tolist(), strict=True) if x not in seen]
+                seen.update(lid.tolist())
+                if len(seen) > 300_000:  # what is sent twice costs, and is no fault
+                    seen.clear()
+                chosen = np.sort(np.array(new, dtype=np.int64))
+                chosen = chosen[found.n[chosen] >= min_words]
+                if len(chosen):
+                    held.append(records(found, chosen, shared.value, similarity))
+                    size += held[-1][1].nbytes
+                if size > HELD:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
+
+    return map_arrow(texts_of(docs), work, "bucket long, data binary")
+
+
+def whole_buckets(batches):
+    """(bucket, its records) of rows sorted by their first column, the bucket; the last column has the records' bytes."""
+    last, held = None, []
+    for batch in batches:
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+            if held and bucket != last:
+                yield last, np.concatenate(held)
+                held = []
+            last = bucket
+            held.append(np.frombuffer(data.as_buffer(), dtype=RECORD))
+    if held:
+        yield last, np.concatenate(held)
+
+
+def meetings(group: np.ndarray, rows: np.ndarray, similarity: float):
+    """Links (i, j) of rows sorted by group and number of words that may be similar, down to a forest: (label of each row)."""
+    _, node = np.unique(rows["lid"], return_inverse=True)
+    label = np.arange(len(rows))
+    n, place, odd = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["odd"]
+    at, d = np.arange(len(rows)), 1
+    while True:
+        at = at[at + d < len(rows)]
+        at = at[(group[at] == group[at + d]) & (n[at] >= similarity * n[at + d] - 1e-9)]
+        if not len(at):
+            return node, label
+        i, j = at, at + d
+        open_ = label[node[i]] != label[node[j]]
+        i, j = i[open_], j[open_]
+        most = allowed(n[j], similarity)
+        far = np.abs(place[i] - place[j]) + np.abs((n[i] - place[i]) - (n[j] - place[j]))
+        near = (far <= most) | (place[i] == MOST) | (place[j] == MOST) | (n[j] == MOST)
+        i, j, most = i[near], j[near], most[near]
+        alike = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= 2 * most
+        label = forest(node[i[alike]], node[j[alike]], len(rows), label)
+        d += 1
+
+
+def links_of(group: np.ndarray, rows: np.ndarray, similarity: float) -> dict:
+    node, label = meetings(group, rows, similarity)
+    lid = np.zeros(len(rows), dtype=np.uint64)
+    lid[node] = rows["lid"]
+    leaf = np.flatnonzero(label != np.arange(len(rows)))
+    return {"a": lid[leaf].view(np.int64), "b": lid[label[leaf]].view(np.int64)}
+
+
+def by_key_and_size(rows: np.ndarray) -> np.ndarray:
+    return rows[np.argsort(rows["key"].astype(np.uint64) << np.uint64(16) | rows["n"], kind="stable")]
+
+
+def prefix_links(docs: DataFrame, words: int, n_docs: int, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, tile: int = TILE, bucket_bytes: int = BUCKET) -> DataFrame:
+    """(a, b): lines that share a key and may be similar, down to a spanning forest of each bucket. ``words``: of all lines.
+
+    A key of more than ``tile`` lines isn't compared in its bucket: its lines are dealt over pairs of tiles.
+    """
+    spark = docs.sparkSession
+    expected = int(words * (1 - similarity) + 1) * RECORD.itemsize
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), expected // bucket_bytes)
+    sent = packed(docs, common_words(docs, n_docs), buckets, min_words, similarity)
+    schema = "a long, b long, key long, part int, data binary"
+
+    def work(batches):
+        hot: list[dict] = []
+
+        def within(_):
+            for bucket, rows in whole_buckets(batches):
+                rows = by_key_and_size(rows)
+                _, start, size = np.unique(rows["key"], return_index=True, return_counts=True)
+                for a, m in zip(start[size > tile].tolist(), size[size > tile].tolist(), strict=True):
+                    _, own = np.unique(rows["lid"][a : a + m], return_index=True)
+                    some, parts = rows[a : a + m][own], -(-len(own) // tile)
+                    home = (some["lid"] >> np.uint64(7)) % np.uint64(parts)
+                    for k in range(parts):
+                        hot.append({"key": [int(some["key"][0]) | bucket << 32], "part": [k], "data": [some[home == k].tobytes()]})
+                rows = rows[np.repeat(size <= tile, size)]
+                if len(rows):
+                    yield links_of(rows["key"], rows, similarity)
+
+        for found in stars(within)(None):
+            yield found | dict.fromkeys(("key", "part", "data"), [None] * len(found["a"]))
+            while hot:
+                yield {"a": [None], "b": [None]} | hot.pop()
+        for row in hot:
+            yield {"a": [None], "b": [None]} | row
+
+    met = materialise(map_arrow(sent.repartition("bucket").sortWithinPartitions("bucket"), work, schema))
+    links, hot = met.where("key IS NULL").select("a", "b"), met.where("key IS NOT NULL").select("key", "part", "data")
+    if hot.isEmpty():
+        return links
+    # every pair of parts of a hot key, its own with itself among them
+    pairs = hot.alias("x").join(hot.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") <= F.col("y.part"))).select(F.col("x.part").alias("i"), F.col("y.part").alias("j"), F.col("x.data").alias("one"), F.col("y.data").alias("other"))
+
+    def compare(batches):
+        for batch in batches:
+            for i, j, one, other in zip(*(batch.column(c) for c in range(4)), strict=True):
+                rows = [np.frombuffer(x.as_buffer(), dtype=RECORD) for x in ((one,) if i == j else (one, other))]
+                rows = np.concatenate(rows)
+                rows = rows[np.argsort(rows["n"], kind="stable")]
+                yield links_of(np.zeros(len(rows), dtype=np.int8), rows, similarity)
+
+    return links.unionByName(map_arrow(pairs.repartition(F.xxhash64("i", "j", "one")), stars(compare), "a long, b long"))
 
 
 def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -128,48 +333,6 @@ def parities(words: np.ndarray, n: np.ndarray) -> pa.Array:
     return binaries(np.packbits(odd.astype(np.uint8), bitorder="little"), bits // 8)
 
 
-def prefix_keys(words: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, their number per line): the rarest words of each run, the k-th copy of a word being a word of its own."""
-    line = np.repeat(np.arange(len(n)), n)
-    word = words[np.lexsort((words, line))]
-    new = np.ones(len(word), dtype=bool)
-    new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-    copy = (np.arange(len(word)) - np.flatnonzero(new)[np.cumsum(new) - 1]).astype(np.uint64)
-    at = np.minimum(np.searchsorted(common[0], word), max(0, len(common[0]) - 1))
-    count = np.where(common[0][at] == word, common[1][at], 0).astype(np.uint64) if len(common[0]) else np.zeros(len(word), dtype=np.uint64)
-    key = (word + copy * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((key | np.minimum(count // (copy + np.uint64(1)), np.uint64(0xFFFFFFFF)) << np.uint64(32), line))
-    # the edit distance of a similar line no longer than this one is within (1 - similarity) n; a longer line's limit is its own
-    wanted = np.minimum(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
-    first = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(wanted, n)
-    return key[order][first].astype(np.uint32).view(np.int32), wanted
-
-
-def lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, th, line_no, lid, n, parity, keys): every line with a word; lid hashes its normal form. Keys are of ``min_words`` words or more."""
-    common = common_words(docs)
-
-    def work(batches):
-        word = BoundedCache(word_hash, 600_000)
-        for batch in slices(batches):
-            rows, hashes, length = [], [], []
-            for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                split = splitter(text)
-                for k, line in enumerate(text.lower().split("\n")):
-                    if words := split(line):
-                        rows.append((doc_id, th, k, xxhash.xxh3_64_intdigest(" ".join(words).encode())))
-                        hashes.append([word[w] for w in words] if len(words) >= min_words else [])
-                        length.append(len(words))
-            n = np.array([len(h) for h in hashes], dtype=np.int64)
-            flat = np.fromiter(chain.from_iterable(hashes), dtype=np.uint64, count=int(n.sum()))
-            lid = np.array([r[3] for r in rows], dtype=np.uint64).view(np.int64)
-            keys = binaries(*prefix_keys(flat, n, common, similarity))
-            yield {"doc_id": [r[0] for r in rows], "th": [r[1] for r in rows], "line_no": [r[2] for r in rows], "lid": lid, "n": length, "parity": parities(flat, n), "keys": keys}
-
-    texts = keyed(docs).select(F.col(ID), F.col(HASH), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return map_arrow(texts, work, LINES)
-
-
 def whole_groups(batches, keys: int):
     """Batches sorted by their first ``keys`` columns, cut so that no group is parted. Groups are bounded by tiling."""
     held = None
@@ -189,28 +352,6 @@ def whole_groups(batches, keys: int):
         yield held
 
 
-def close_pairs(group: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 16):
-    """(i, j) of rows of one group (equal numbers, sorted) whose fingerprints are within the radius, chunk by chunk."""
-    at, d = np.arange(len(fp)), 1
-    found_i, found_j, held = [], [], 0
-    while True:
-        at = at[at + d < len(fp)]
-        at = at[group[at] == group[at + d]]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
-        if len(near):
-            found_i.append(near)
-            found_j.append(near + d)
-            held += len(near)
-            if held > most:
-                yield np.concatenate(found_i), np.concatenate(found_j)
-                found_i, found_j, held = [], [], 0
-        d += 1
-    if held:
-        yield np.concatenate(found_i), np.concatenate(found_j)
-
-
 def numbered(table: pa.Table, keys: int) -> np.ndarray:
     """Group numbers of sorted rows."""
     new = np.zeros(table.num_rows, dtype=bool)
@@ -230,24 +371,6 @@ def dealt(rows: DataFrame, key: str, by: str, tile: int) -> DataFrame:
     return spread.drop("tiles").withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p")
 
 
-def block_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b): fingerprints within the radius, down to a spanning forest of each batch of buckets. Blocks have 16 bits, radius + 1 = 4 of them."""
-    block = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int") + F.lit(k << 16)
-    rows = distinct.select(F.explode(F.array(*map(block, range(radius + 1)))).alias("key"), "fp")
-    sent = dealt(rows, "key", "fp", tile).select("key", "i", "j", "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def work(batches):
-        for part in whole_groups(batches, 3):
-            fp = part.column(3).to_numpy().view(np.uint64)
-            label = np.arange(len(fp))
-            for i, j in close_pairs(numbered(part, 3), fp, radius):
-                label = forest(i, j, len(fp), label)
-            leaf = np.flatnonzero(label != np.arange(len(fp)))
-            yield {"a": fp[leaf].view(np.int64), "b": fp[label[leaf]].view(np.int64)}
-
-    return map_arrow(sent, stars(work), "a long, b long")
-
-
 class Told:
     """Lines of groups, sorted by group and length: pairs that their lengths and parities don't tell apart."""
 
@@ -283,32 +406,6 @@ class Told:
             d += 1
 
 
-def prefix_links(distinct: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """distinct (lid, n, parity, keys) -> (a, b): lines that share a key and may be similar, down to a spanning forest of each batch."""
-
-    def spread(batches):
-        for batch in slices(batches, "keys", 1 << 17):
-            keys = batch.column("keys").to_pylist()
-            again = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
-            yield {"key": np.frombuffer(b"".join(keys), dtype=np.int32)} | {c: batch.column(c).take(pa.array(again)) for c in ("lid", "n", "parity")}
-
-    rows = map_arrow(distinct.select("lid", "n", "parity", "keys"), spread, "key int, lid long, n int, parity binary")
-    # keys and their tiles as one number: where two fall together, more lines meet
-    cell = F.when(F.col("j") > 0, F.xxhash64("key", "i", "j")).otherwise(F.col("key").cast("long")).alias("cell")
-    sent = dealt(rows, "key", "lid", tile).select(cell, "n", "lid", "parity").repartition("cell").sortWithinPartitions("cell", "n")
-
-    def work(batches):
-        for part in whole_groups(batches, 1):
-            lid = part.column(2).to_numpy()
-            label = np.arange(len(lid))
-            for i, j in Told(numbered(part, 1), part.column(1).to_numpy().astype(np.int64), part.column(3), similarity).pairs(lambda x, y: label[x] == label[y]):
-                label = forest(i, j, len(lid), label)
-            leaf = np.flatnonzero(label != np.arange(len(lid)))
-            yield {"a": lid[leaf], "b": lid[label[leaf]]}
-
-    return map_arrow(sent, stars(work), "a long, b long")
-
-
 def verified_links(groups: DataFrame, similarity: float) -> DataFrame:
     """groups (comp, lid, n, parity, words) -> (a, b): spanning links of lines that are similar."""
     sent = dealt(groups, "comp", "lid", GROUP).select("comp", "i", "j", "n", "lid", "parity", "words").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "n", "lid")
@@ -335,44 +432,63 @@ def verified_links(groups: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(sent, stars(work), "a long, b long")
 
 
+def fetched(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(comp, lid, n, parity, words) of suspects (lid, n, comp, doc_id, th, line_no): words are read from the first document that has the line."""
+    wanted = suspects.groupBy(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("line_no", "comp")).alias("wanted"))
+    texts = texts_of(docs)
+    found = texts.join(wanted, texts[ID].eqNullSafe(wanted["of_id"]) & (texts[HASH] == wanted["of_th"])).select("text", "wanted")
+
+    def work(batches):
+        for batch in slices(batches):
+            texts, wanted = batch.column(0).to_pylist(), batch.column(1)
+            for s in lw.some(texts):
+                own = lw.lines_of(texts[s])
+                asked = wanted.slice(s.start, s.stop - s.start)
+                of = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+                asked = asked.flatten()
+                # lines are in the order of text and number
+                at = np.searchsorted(own.doc << 32 | own.line_no, of << 32 | asked.field("line_no").to_numpy())
+                n = own.n[at]
+                yield {"comp": asked.field("comp"), "lid": own.lid[at].view(np.int64), "n": n, "parity": parities(own.words[own.word_places(at)], n), "words": [own.normal[k].decode() for k in at.tolist()]}
+
+    return map_arrow(found, work, "comp long, lid long, n int, parity binary, words string")
+
+
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, th, dropped): per document the numbers of the lines that go."""
-    all_lines = materialise(lines(docs, min_words, similarity))
-    first = F.min(F.struct("doc_id", "th", "line_no", "n", "parity", "keys")).alias("first")
-    distinct = materialise(all_lines.groupBy("lid").agg(first, F.count(F.lit(1)).alias("times")).select("lid", "first.n", "first.parity", "first.keys", F.struct("first.doc_id", "first.th", "first.line_no").alias("first"), "times"))
-    parts = connected_components(prefix_links(distinct, similarity))
-    suspects = distinct.join(parts, distinct["lid"] == parts["node"]).select("lid", "n", "parity", F.col("component").alias("comp"), "first.*")
-    wanted = suspects.groupBy(F.col("doc_id").alias(ID), F.col("th").alias(HASH)).agg(F.collect_list(F.struct("line_no", "lid", "n", "parity", "comp")).alias("wanted"))
-    texts = keyed(docs).select(ID, HASH, "text")
-    found = texts.join(wanted, texts[ID].eqNullSafe(wanted[ID]) & (texts[HASH] == wanted[HASH])).select("text", "wanted")
-
-    def fetch(batches):
-        for batch in slices(batches):
-            rows = []
-            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, split = text.lower().split("\n"), splitter(text)
-                rows += [(w["comp"], w["lid"], w["n"], w["parity"], " ".join(split(own[w["line_no"]]))) for w in asked]
-            yield {c: [r[k] for r in rows] for k, c in enumerate(("comp", "lid", "n", "parity", "words"))}
-
-    groups = materialise(map_arrow(found, fetch, "comp long, lid long, n int, parity binary, words string"))
-    linked = connected_components(verified_links(groups, similarity))
-    joined = distinct.join(linked, distinct["lid"] == linked["node"]).select("lid", "component", "first")
+    all_lines = materialise(lines(docs))
+    size = all_lines.agg(F.sum("n").alias("words"), F.approx_count_distinct("doc_id").alias("docs")).first()
+    place = F.struct("doc_id", "th", "line_no")
+    distinct = materialise(all_lines.groupBy("lid").agg(F.min(F.struct("doc_id", "th", "line_no", "n")).alias("first"), F.count(F.lit(1)).alias("times")).select("lid", "first.n", "first.doc_id", "first.th", "first.line_no", "times"))
+    parts = connected_components(prefix_links(docs, size["words"] or 0, size["docs"], similarity, min_words))
+    suspects = distinct.join(parts, distinct["lid"] == parts["node"]).select("lid", "n", F.col("component").alias("comp"), "doc_id", "th", "line_no")
+    linked = connected_components(verified_links(materialise(fetched(docs, suspects)), similarity))
+    joined = distinct.join(linked, distinct["lid"] == linked["node"]).select("lid", "component", place.alias("first"))
     kept = joined.groupBy("component").agg(F.min("first").alias("kept"))
     of_group = joined.join(kept, "component").select("lid", "kept")
     least = F.when(F.col("n") < min_words, repeats).otherwise(2)
-    repeated = distinct.select("lid", "n", "first", "times").join(of_group, "lid", "left").where(F.col("kept").isNotNull() | (F.col("times") >= least))
+    repeated = distinct.select("lid", "n", place.alias("first"), "times").join(of_group, "lid", "left").where(F.col("kept").isNotNull() | (F.col("times") >= least))
     rule = materialise(repeated.select("lid", F.coalesce("kept", "first").alias("kept")))
-    gone = all_lines.select("doc_id", "th", "line_no", "lid").join(rule, "lid").where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("kept")))
+    gone = all_lines.select("doc_id", "th", "line_no", "lid").join(rule, "lid").where(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("dropped"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it as long as it is taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repeats: int = REPEATS) -> DataFrame:
-    """docs, with all their columns, the text without its repeated lines; plus n_lines and n_dropped.
+    """docs, with all their columns, the text without its repeated lines; plus n_lines and n_dropped (with underscores
+    behind the names if docs has columns so called, which stay as they are).
 
     Lines end at a line feed. Lines without a word stay. Of a line of fewer than ``min_words`` words the first
     stays, if it occurs ``repeats`` times or more, or else all do. A null text stays
     null and an empty one empty; a document may end up empty but no row goes. Rows with equal doc_id and text count as
-    one document, so both keep the same lines; a null doc_id comes first. An empty table gives none.
+    one document, so both keep the same lines; a null doc_id comes first. Long texts become arrays a megabyte at a time, a
+    longer one by itself, and a line of any length is one line. An empty table gives none.
     """
     gone = dropped_lines(docs, similarity, min_words, repeats).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("dropped").alias(DROPPED))
     full = keyed(docs)
@@ -380,7 +496,8 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_words: int =
     plain = F.split("text", "\n", -1)
     n = F.coalesce(F.size(F.col(DROPPED)), F.lit(0))
     left = F.array_join(F.filter(plain, lambda x, k: ~F.array_contains(F.col(DROPPED), k)), "\n")
-    out = met.withColumns({"n_lines": F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(plain)), "n_dropped": F.when(F.col(DROPPED).isNull(), 0).otherwise(n)})
+    lines_name, dropped_name = (free_name(c, docs.columns) for c in ("n_lines", "n_dropped"))
+    out = met.withColumns({lines_name: F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(plain)), dropped_name: F.when(F.col(DROPPED).isNull(), 0).otherwise(n)})
     return out.withColumn("text", F.when(F.col(DROPPED).isNull(), F.col("text")).otherwise(left)).drop(DROPPED)
 
 

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from calibra.llm import line_dedup as ld
+from calibra.llm import line_words as lw
 from calibra.llm import simhash as sh
 from calibra.llm.components import connected_components
 
@@ -56,9 +57,8 @@ def test_links_find_every_pair_within_the_radius(spark):
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
     want = groups(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for links in (sh.fingerprint_links(df, tile=7), ld.block_links(df, tile=5)):
-        at = {x: i for i, x in enumerate(signed)}
-        assert groups(len(fps), [(at[r.a], at[r.b]) for r in links.collect()]) == want
+    at = {x: i for i, x in enumerate(signed)}
+    assert groups(len(fps), [(at[r.a], at[r.b]) for r in sh.fingerprint_links(df, tile=7).collect()]) == want
 
 
 def test_components(spark):
@@ -83,17 +83,17 @@ def test_edit_distance(a, b):
     assert ld.edit_distance(a, b) == row[-1]
 
 
-def brute_lines(rows):
-    """rows (doc_id, text), doc_ids distinct -> text without repeated lines."""
-    seen = []
+def similar_lines(rows):
+    """rows (doc_id, text) -> text without repeated lines, by edit similarity alone, every pair compared."""
+    seen = [(d, k, w) for d, text in sorted(rows) for k, line in enumerate(text.split("\n")) if len(w := ld.line_words(line)) >= ld.MIN_WORDS]
+    label = groups(len(seen), [(i, j) for i in range(len(seen)) for j in range(i) if ld.similar(seen[i][2], seen[j][2])])
+    gone = {(d, k) for i, (d, k, _) in enumerate(seen) if label[i] != i}
+    short: dict = {}
     for d, text in sorted(rows):
         for k, line in enumerate(text.split("\n")):
-            if len(w := ld.line_words(line)) >= ld.MIN_WORDS:
-                h = np.array([xxhash.xxh64_intdigest(x.encode(), 7) for x in set(w)], dtype=np.uint64)
-                seen.append((d, k, w, int(sh.majorities(h, np.array([len(h)]))[0])))
-    linked = [(i, j) for i in range(len(seen)) for j in range(i) if (seen[i][3] ^ seen[j][3]).bit_count() <= 3 and ld.similar(seen[i][2], seen[j][2])]
-    label = groups(len(seen), linked)
-    gone = {(d, k) for i, (d, k, *_) in enumerate(seen) if label[i] != i}
+            if 0 < len(w := ld.line_words(line)) < ld.MIN_WORDS:
+                short.setdefault(tuple(w), []).append((d, k))
+    gone |= {x for places in short.values() if len(places) >= ld.REPEATS for x in places[1:]}
     return {d: "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in gone) for d, text in rows}
 
 
@@ -102,29 +102,18 @@ def test_line_dedup(spark, documents, odd_docs, no_docs):
     long = " ".join(f"word{i}" for i in range(90))
     rows += [(90_000 + i, f"intro {i} of this very page\n{long.replace(f'word{i}', 'other')}") for i in range(6)]
     got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = brute_lines(rows)
+    want = similar_lines(rows)
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
     assert sum(r.n_dropped for r in got) > 10
     odd = ld.line_dedup(odd_docs)
     assert odd.columns[: len(odd_docs.columns)] == odd_docs.columns and odd.count() == odd_docs.count()
     assert {(r.doc_id, r.text) for r in odd.collect() if r.doc_id in (4, 5)} == {(4, None), (5, "")}
+    clash = ld.line_dedup(odd_docs.selectExpr("doc_id", "text", "77 AS n_lines", "'x' AS N_Dropped"))
+    assert clash.columns == ["doc_id", "text", "n_lines", "N_Dropped", "n_lines_", "n_dropped_"]
+    assert {(r["n_lines"], r["N_Dropped"]) for r in clash.collect()} == {(77, "x")} and clash.agg({"n_dropped_": "sum"}).first()[0] > 0
     assert ld.line_dedup(no_docs).count() == 0
 
 
-def similar_lines(rows):
-    """rows (doc_id, text) -> text without repeated lines, by edit similarity alone, every pair compared."""
-    seen = [(d, k, w) for d, text in sorted(rows) for k, line in enumerate(text.split("\n")) if len(w := ld.line_words(line)) >= ld.MIN_WORDS]
-    label = groups(len(seen), [(i, j) for i in range(len(seen)) for j in range(i) if ld.similar(seen[i][2], seen[j][2])])
-    gone = {(d, k) for i, (d, k, _) in enumerate(seen) if label[i] != i}
-    short: dict = {}
-    for d, text in sorted(rows):
-        for k, line in enumerate(text.split("\n")):
-            if 0 < len(w := ld.line_words(line)) < ld.MIN_WORDS:
-                short.setdefault(tuple(w), []).append((d, k))
-    gone |= {x for places in short.values() if len(places) >= ld.REPEATS for x in places[1:]}
-    return {d: "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in gone) for d, text in rows}
-
-
 def test_short_lines_and_unspaced_scripts(spark):
     chinese, thai = "今天天气很好，我们去公园玩，然后回家吃饭。", "วันนี้อากาศดีมากเราไปเที่ยวสวนสาธารณะกัน"
     assert len(ld.line_words(chinese)) == 18 and ld.line_words("C'est 12 ans, ÉTÉ_x 東京abc") == ["c", "est", "12", "ans", "été_x", "東", "京", "abc"]
@@ -150,3 +139,49 @@ def test_every_similar_line_is_found(spark, documents):
             rows.append((80_000 + 2 * at + copy, " ".join(line)))
     got = {r.doc_id: r.text for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == similar_lines(rows) and sum(not t for t in got.values()) > 15
+
+
+def test_hot_keys_and_small_tiles_lose_no_link(spark):
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(40)]
+    texts = []
+    for _ in range(150):  # one large group that drifts: ends of it are unlike
+        for _ in range(rng.randint(1, 3)):
+            base[rng.randrange(40)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(base))
+    texts += [" ".join(["zz"] * rng.randint(5, 60)) for _ in range(30)] + ["", "word", "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = {}
+    for tile in (4, 4096):
+        found = ld.prefix_links(df, 40 * len(texts), len(texts), tile=tile, bucket_bytes=1 << 12)
+        links[tile] = sorted((r.node, r.component) for r in connected_components(found).collect())
+    assert links[4] == links[4096]
+    lid = {x: xxhash.xxh3_64_intdigest(x.encode()) - (1 << 64) * (xxhash.xxh3_64_intdigest(x.encode()) >> 63) for x in texts}
+    group = dict(links[4])
+    words = [t.split(" ") for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] != texts[j] and min(len(words[i]), len(words[j])) >= ld.MIN_WORDS and ld.similar(words[i], words[j]):
+                assert group[lid[texts[i]]] == group[lid[texts[j]]]
+
+
+def test_lines_as_arrays(documents):
+    odd = ["今天天气很好，我们去公园玩，\n\n然后回家吃饭。x", "วันนี้อากาศดีมาก\n(Hello) world-wide  É“q”\n\n", "İstanbul C'est 12 ans, ÉTÉ_x 東京abc\n--", "", "\n", "a" * 200_000 + " b", "x" * 70_000 + " " + "y z " * 70_000]
+    for texts in (odd, [r.text or "" for r in documents.collect()]):
+        seen = 0
+        for s in lw.some(texts):
+            found = lw.lines_of(texts[s])
+            want = [(d, k, " ".join(w).encode()) for d, x in enumerate(texts[s]) for k, line in enumerate(x.split("\n")) if (w := ld.line_words(line))]
+            assert list(zip(found.doc.tolist(), found.line_no.tolist(), found.normal, strict=True)) == want
+            assert found.n.tolist() == [len(x.split(b" ")) for x in found.normal]
+            words = b" ".join(found.normal).split(b" ") if found.normal else []
+            assert len(set(zip(words, found.words.tolist(), strict=True))) == len(set(words)) == len(set(found.words.tolist()))
+            seen += s.stop - s.start
+        assert seen == len(texts)
+
+
+def test_long_lines_take_the_general_order():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 70_010).astype(np.uint64)
+    n, common = np.array([70_000, 10]), np.zeros(1 << 18, dtype=np.uint8)
+    at = ld.ranked(words, n, common)
+    assert (np.diff(words[at][:70_000].astype(object)) >= 0).all() and sorted(at[70_000:]) == list(range(70_000, 70_010))

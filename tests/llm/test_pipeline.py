@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 from calibra.llm import quality as q
 
-from test_dedup import brute_lines, groups, plain_fingerprint
+from test_dedup import groups, plain_fingerprint, similar_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_stages_and_run(spark, documents):
     assert kept.columns == columns and 0 < len(ids) < documents.count()
     assert sum(labels[d] == 2 for d in labels if d in ids) >= 0.97 * sum(g == 2 for g in labels.values())
     lined = cp.line_stage(spark, kept, SF)
-    want = {d: t for d, t in brute_lines([(r.doc_id, r.text) for r in kept.collect()]).items() if t.strip()}
+    want = {d: t for d, t in similar_lines([(r.doc_id, r.text) for r in kept.collect()]).items() if t.strip()}
     rows = lined.collect()
     assert lined.columns == columns and {r.doc_id: r.text for r in rows} == want
     single = cp.near_dedup_stage(spark, lined, SF)
