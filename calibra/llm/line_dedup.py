@@ -16,6 +16,7 @@ each, so neither the JVM nor Python handles a record by itself.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm import line_words as lw
-from calibra.llm.common import map_arrow, materialise, slices
+from calibra.llm.common import map_arrow, materialise, release, slices
 from calibra.llm.components import connected_components, forest, stars
 
 SIMILARITY = 0.8
@@ -37,8 +38,11 @@ SAMPLE, COMMON = 4000, 65_536
 HELD, BUCKET = 16 << 20, 16 << 20
 #: What meets in a bucket: the key's low half, words and the key word's place (both 65535 at most; then the place is unknown), the line, its parities.
 RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8"), ("odd", "<u8", 3)])
+LONG_RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8")])
 MOST = 65_535
-LINES = "doc_id long, th long, line_no int, lid long, n int"
+#: Words of the longer line from which on a pair meets by word pairs; lines of a word pair of which every two are taken down.
+LONG, FEW = 140, 24
+LINES = "doc_id long, th long, line_no int, lid long, n int, parity binary"
 ID, HASH, DROPPED = "__calibra_id", "__calibra_hash", "__calibra_dropped"
 _WORD_OR_SIGN = re.compile(f"[{lw.SIGNS}]|[^\\W{lw.SIGNS}]+")
 
@@ -96,8 +100,9 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return keyed(docs).select(F.col(ID), F.col(HASH), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, lid, n): every line with a word; lid hashes its normal form, n is its number of words."""
+def lines(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, th, line_no, lid, n, parity): every line with a word; lid hashes its normal form, n is its number of words.
+    Lines that may be similar to one of more than LONG words have parities."""
 
     def work(batches):
         for batch in slices(batches):
@@ -105,7 +110,10 @@ def lines(docs: DataFrame) -> DataFrame:
             for s in lw.some(texts):
                 found = lw.lines_of(texts[s])
                 at = pa.array(found.doc + s.start)
-                yield {"doc_id": batch.column(0).take(at), "th": batch.column(1).take(at), "line_no": found.line_no, "lid": found.lid.view(np.int64), "n": found.n}
+                wide = np.flatnonzero(found.n >= similarity * LONG)
+                parity = np.full(len(found.n), None, dtype=object)
+                parity[wide] = parities(found.words[found.word_places(wide)], found.n[wide]).to_pylist()
+                yield {"doc_id": batch.column(0).take(at), "th": batch.column(1).take(at), "line_no": found.line_no, "lid": found.lid.view(np.int64), "n": found.n, "parity": parity}
 
     return map_arrow(texts_of(docs), work, LINES)
 
@@ -129,9 +137,9 @@ def common_words(docs: DataFrame, n_docs: int, most: int = COMMON) -> np.ndarray
     return table
 
 
-def ranked(words: np.ndarray, n: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Places of the words, line by line, the rarest of each line first: one order of all words, by commonness and hash."""
-    kind, line = common[words >> np.uint64(46)], np.repeat(np.arange(len(n)), n)
+def ranked(words: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Places of the words (or word pairs), line by line, the rarest of each line first: one order of all, by commonness and hash."""
+    line = np.repeat(np.arange(len(n)), n)
     if len(n) > MOST or not len(n) or n.max() > MOST:
         return np.lexsort((words, kind, line))
     first = np.cumsum(n) - n
@@ -148,46 +156,69 @@ def ranked(words: np.ndarray, n: np.ndarray, common: np.ndarray) -> np.ndarray:
     return at
 
 
-def records(found: lw.Lines, chosen: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(whole keys, RECORDs) of the chosen lines: of each line its rarest words, one more than edits can touch."""
-    n = found.n[chosen]
-    words = found.words[found.word_places(chosen)]
+def rarest(words: np.ndarray, n: np.ndarray, kind: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their lines, their places): of each line the rarest ``wanted``, repeats counted but taken once. Repeated ones have place MOST."""
     first = np.cumsum(n) - n
-    at = ranked(words, n, common)
-    line = np.repeat(np.arange(len(n)), n)
-    rank = np.arange(len(words)) - np.repeat(first, n)
-    word = words[at]
+    at, line = ranked(words, n, kind), np.repeat(np.arange(len(n)), n)
+    rank, word = np.arange(len(words)) - np.repeat(first, n), words[at]
     again = np.zeros(len(word), dtype=bool)
     again[1:] = (word[1:] == word[:-1]) & (line[1:] == line[:-1])
     repeated = again.copy()
     repeated[:-1] |= again[1:]
-    take = (rank <= np.repeat(allowed(n, similarity), n)) & ~again
+    take = (rank < np.repeat(wanted, n)) & ~again
+    return word[take], line[take], np.where(repeated[take], MOST, np.minimum(at[take] - first[line[take]], MOST))
+
+
+def records(found: lw.Lines, chosen: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whole keys, RECORDs) of the chosen lines: of each line its rarest words, one more than edits can touch."""
+    n = found.n[chosen]
+    words, first = found.words[found.word_places(chosen)], np.cumsum(n) - n
+    key, of, place = rarest(words, n, common[words >> np.uint64(46)], allowed(n, similarity) + 1)
     # a line's parities: bit hash * 192 >> 32, of three 64-bit numbers
     bit = ((words & np.uint64(0xFFFFFFFF)) * np.uint64(192)) >> np.uint64(32)
     odd = np.empty((len(n), 3), dtype=np.uint64)
     for k in range(3):
         odd[:, k] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), first) if len(first) else 0
-    key, of = word[take], line[take]
     out = np.empty(len(key), dtype=RECORD)
-    out["key"], out["n"], out["lid"], out["odd"] = key & np.uint64(0xFFFFFFFF), np.minimum(n, MOST)[of], found.lid[chosen][of], odd[of]
-    out["place"] = np.where(repeated[take], MOST, np.minimum(at[take] - first[of], MOST))
+    out["key"], out["n"], out["place"], out["lid"], out["odd"] = key & np.uint64(0xFFFFFFFF), np.minimum(n, MOST)[of], place, found.lid[chosen][of], odd[of]
+    return key, out
+
+
+def long_records(found: lw.Lines, chosen: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whole keys, LONG_RECORDs) of the chosen lines: their rarest pairs of neighbouring words, more than edits can touch.
+
+    A pair of lines keeps n - 1 - 2 d of the longer one's n - 1 word pairs, so the shorter loses 2 d at most, less the
+    difference of length; as d is the longer one's, one more is taken.
+    """
+    n = found.n[chosen]
+    words = found.words[found.word_places(chosen)]
+    kind = common[words >> np.uint64(46)].astype(np.int64)
+    last = np.zeros(len(words), dtype=bool)
+    last[np.cumsum(n) - 1] = True
+    pair, both = lw.mixed(words * np.uint64(3) + np.roll(words, -1))[~last], ((kind + np.roll(kind, -1)) // 2)[~last]
+    key, of, place = rarest(pair, n - 1, both, np.minimum(n - 1, 2 * allowed(n, similarity) + 2))
+    out = np.empty(len(key), dtype=LONG_RECORD)
+    out["key"], out["n"], out["place"], out["lid"] = key & np.uint64(0xFFFFFFFF), np.minimum(n, MOST)[of], place, found.lid[chosen][of]
     return key, out
 
 
 def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, similarity: float) -> DataFrame:
-    """(bucket, data): the records of all lines of ``min_words`` or more, by the upper half of their keys."""
+    """(bucket, long, data): the records of all lines of ``min_words`` or more, by the upper half of their keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches):
-        held, size, seen = [], 0, set()
+        held, size, seen = ([], []), 0, set()
 
         def send():
-            keys, rows = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            rows, (found, at) = rows[order], np.unique(bucket[order], return_index=True)
-            ends = np.append(at[1:], len(rows))
-            return {"bucket": found.astype(np.int64), "data": [rows[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]}
+            for kind, parts in enumerate(held):
+                if parts:
+                    keys, rows = (np.concatenate([h[k] for h in parts]) for k in (0, 1))
+                    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                    order = np.argsort(bucket, kind="stable")
+                    rows, (found, at) = rows[order], np.unique(bucket[order], return_index=True)
+                    ends = np.append(at[1:], len(rows))
+                    yield {"bucket": found.astype(np.int64), "long": np.full(len(found), bool(kind)), "data": [rows[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]}
+                    parts.clear()
 
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
@@ -199,119 +230,183 @@ def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, si
                 if len(seen) > 300_000:  # what is sent twice costs, and is no fault
                     seen.clear()
                 chosen = np.sort(np.array(new, dtype=np.int64))
-                chosen = chosen[found.n[chosen] >= min_words]
-                if len(chosen):
-                    held.append(records(found, chosen, shared.value, similarity))
-                    size += held[-1][1].nbytes
+                n = found.n[chosen]
+                for parts, make, some in ((held[0], records, chosen[(n >= min_words) & (n <= LONG)]), (held[1], long_records, chosen[n >= max(min_words, similarity * LONG)])):
+                    if len(some):
+                        parts.append(make(found, some, shared.value, similarity))
+                        size += parts[-1][1].nbytes
                 if size > HELD:
-                    yield send()
-                    held, size = [], 0
-        if held:
-            yield send()
+                    yield from send()
+                    size = 0
+        yield from send()
 
-    return map_arrow(texts_of(docs), work, "bucket long, data binary")
+    return map_arrow(texts_of(docs), work, "bucket long, long boolean, data binary")
 
 
 def whole_buckets(batches):
-    """(bucket, its records) of rows sorted by their first column, the bucket; the last column has the records' bytes."""
+    """(bucket, long, its records) of rows sorted by bucket and kind."""
     last, held = None, []
     for batch in batches:
-        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
-            if held and bucket != last:
-                yield last, np.concatenate(held)
+        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and (bucket, kind) != last:
+                yield *last, np.concatenate(held)
                 held = []
-            last = bucket
-            held.append(np.frombuffer(data.as_buffer(), dtype=RECORD))
+            last = bucket, kind
+            held.append(np.frombuffer(data.as_buffer(), dtype=LONG_RECORD if kind else RECORD))
     if held:
-        yield last, np.concatenate(held)
+        yield *last, np.concatenate(held)
 
 
-def meetings(group: np.ndarray, rows: np.ndarray, similarity: float):
-    """Links (i, j) of rows sorted by group and number of words that may be similar, down to a forest: (label of each row)."""
-    _, node = np.unique(rows["lid"], return_inverse=True)
-    label = np.arange(len(rows))
-    n, place, odd = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["odd"]
+def in_place(rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the shared word of rows i and j, j no shorter, may be aligned with itself."""
+    n, place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
+    far = np.abs(place[i] - place[j]) + np.abs((n[i] - place[i]) - (n[j] - place[j]))
+    return (far <= allowed(n[j], similarity)) | (place[i] == MOST) | (place[j] == MOST) | (n[j] == MOST)
+
+
+def neighbours(group: np.ndarray, rows: np.ndarray, similarity: float):
+    """(i, j), j no shorter, step by step: all rows of one group whose lengths may be similar. Rows are sorted by group and length."""
+    n = rows["n"].astype(np.int64)
     at, d = np.arange(len(rows)), 1
     while True:
         at = at[at + d < len(rows)]
         at = at[(group[at] == group[at + d]) & (n[at] >= similarity * n[at + d] - 1e-9)]
         if not len(at):
-            return node, label
-        i, j = at, at + d
-        open_ = label[node[i]] != label[node[j]]
-        i, j = i[open_], j[open_]
-        most = allowed(n[j], similarity)
-        far = np.abs(place[i] - place[j]) + np.abs((n[i] - place[i]) - (n[j] - place[j]))
-        near = (far <= most) | (place[i] == MOST) | (place[j] == MOST) | (n[j] == MOST)
-        i, j, most = i[near], j[near], most[near]
-        alike = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= 2 * most
-        label = forest(node[i[alike]], node[j[alike]], len(rows), label)
+            return
+        yield at, at + d
         d += 1
 
 
 def links_of(group: np.ndarray, rows: np.ndarray, similarity: float) -> dict:
-    node, label = meetings(group, rows, similarity)
+    """Links of RECORDs that may be similar, down to a forest."""
+    _, node = np.unique(rows["lid"], return_inverse=True)
+    label, n, odd = np.arange(len(rows)), rows["n"].astype(np.int64), rows["odd"]
+    for i, j in neighbours(group, rows, similarity):
+        open_ = label[node[i]] != label[node[j]]
+        i, j = i[open_], j[open_]
+        near = in_place(rows, i, j, similarity)
+        i, j = i[near], j[near]
+        alike = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= 2 * allowed(n[j], similarity)
+        label = forest(node[i[alike]], node[j[alike]], len(rows), label)
     lid = np.zeros(len(rows), dtype=np.uint64)
     lid[node] = rows["lid"]
     leaf = np.flatnonzero(label != np.arange(len(rows)))
     return {"a": lid[leaf].view(np.int64), "b": lid[label[leaf]].view(np.int64)}
 
 
+def pairs_of(rows: np.ndarray, similarity: float) -> dict:
+    """The pairs of LONG_RECORDs that may be similar, each once. Their groups have FEW lines."""
+    one, other = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
+    for i, j in neighbours(rows["key"], rows, similarity):
+        near = in_place(rows, i, j, similarity) & (rows["n"][j] > LONG) & (rows["lid"][i] != rows["lid"][j])
+        x, y = rows["lid"][i[near]], rows["lid"][j[near]]
+        one.append(np.minimum(x, y))
+        other.append(np.maximum(x, y))
+    a, b = np.concatenate(one), np.concatenate(other)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return {"a": a[new].view(np.int64), "b": b[new].view(np.int64)}
+
+
 def by_key_and_size(rows: np.ndarray) -> np.ndarray:
     return rows[np.argsort(rows["key"].astype(np.uint64) << np.uint64(16) | rows["n"], kind="stable")]
 
 
-def prefix_links(docs: DataFrame, words: int, n_docs: int, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, tile: int = TILE, bucket_bytes: int = BUCKET) -> DataFrame:
+def prefix_links(docs: DataFrame, distinct: DataFrame, words: int, n_docs: int, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, tile: int = TILE, few: int = FEW, bucket_bytes: int = BUCKET) -> DataFrame:
     """(a, b): lines that share a key and may be similar, down to a spanning forest of each bucket. ``words``: of all lines.
 
-    A key of more than ``tile`` lines isn't compared in its bucket: its lines are dealt over pairs of tiles.
+    distinct: (lid, n, parity). A word of more than ``tile`` lines isn't compared in its bucket: its lines are dealt over
+    pairs of tiles. Nor are the lines of a word pair that has more than ``few``: they meet again with their wide parities.
     """
     spark = docs.sparkSession
     expected = int(words * (1 - similarity) + 1) * RECORD.itemsize
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), expected // bucket_bytes)
     sent = packed(docs, common_words(docs, n_docs), buckets, min_words, similarity)
-    schema = "a long, b long, key long, part int, data binary"
+    schema = "kind int, a long, b long, part int, data binary"
+    LINK, PAIR, HOT, HOT_LONG = range(4)
+
+    def rows_of(kind, a, b, part=None, data=None):
+        return {"kind": [kind] * len(a), "a": a, "b": b, "part": part or [None] * len(a), "data": data or [None] * len(a)}
 
     def work(batches):
-        hot: list[dict] = []
+        more: list[dict] = []
 
         def within(_):
-            for bucket, rows in whole_buckets(batches):
+            for bucket, kind, rows in whole_buckets(batches):
                 rows = by_key_and_size(rows)
                 _, start, size = np.unique(rows["key"], return_index=True, return_counts=True)
-                for a, m in zip(start[size > tile].tolist(), size[size > tile].tolist(), strict=True):
+                most = few if kind else tile
+                for a, m in zip(start[size > most].tolist(), size[size > most].tolist(), strict=True):
                     _, own = np.unique(rows["lid"][a : a + m], return_index=True)
-                    some, parts = rows[a : a + m][own], -(-len(own) // tile)
+                    some, key = rows[a : a + m][own], int(rows["key"][a]) | bucket << 32
+                    if kind:
+                        more.append(rows_of(HOT_LONG, np.full(len(some), key), some["lid"].view(np.int64)))
+                        continue
+                    parts = -(-len(own) // tile)
                     home = (some["lid"] >> np.uint64(7)) % np.uint64(parts)
-                    for k in range(parts):
-                        hot.append({"key": [int(some["key"][0]) | bucket << 32], "part": [k], "data": [some[home == k].tobytes()]})
-                rows = rows[np.repeat(size <= tile, size)]
-                if len(rows):
-                    yield links_of(rows["key"], rows, similarity)
-
-        for found in stars(within)(None):
-            yield found | dict.fromkeys(("key", "part", "data"), [None] * len(found["a"]))
-            while hot:
-                yield {"a": [None], "b": [None]} | hot.pop()
-        for row in hot:
-            yield {"a": [None], "b": [None]} | row
-
-    met = materialise(map_arrow(sent.repartition("bucket").sortWithinPartitions("bucket"), work, schema))
-    links, hot = met.where("key IS NULL").select("a", "b"), met.where("key IS NOT NULL").select("key", "part", "data")
-    if hot.isEmpty():
-        return links
-    # every pair of parts of a hot key, its own with itself among them
-    pairs = hot.alias("x").join(hot.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") <= F.col("y.part"))).select(F.col("x.part").alias("i"), F.col("y.part").alias("j"), F.col("x.data").alias("one"), F.col("y.data").alias("other"))
+                    more.extend(rows_of(HOT, [key], [None], [k], [some[home == k].tobytes()]) for k in range(parts))
+                rows = rows[np.repeat(size <= most, size)]
+                if len(rows) and kind:
+                    more.append(rows_of(PAIR, *pairs_of(rows, similarity).values()))
+                yield links_of(rows["key"], rows, similarity) if len(rows) and not kind else {"a": [], "b": []}
+
+        for found in chain(stars(within)(None), [None]):
+            while more:
+                yield more.pop()
+            if found:
+                yield rows_of(LINK, found["a"], found["b"])
+
+    met = materialise(map_arrow(sent.repartition("bucket").sortWithinPartitions("bucket", "long"), work, schema))
+    del sent
+    release(spark)
+    of = lambda kind: met.where(F.col("kind") == kind)
+    hot = of(HOT).select(F.col("a").alias("key"), "part", "data")
+    # every two parts of a hot word, each with itself among them
+    parts = hot.alias("x").join(hot.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") <= F.col("y.part"))).select(F.col("x.part").alias("i"), F.col("y.part").alias("j"), F.col("x.data").alias("one"), F.col("y.data").alias("other"))
 
     def compare(batches):
         for batch in batches:
             for i, j, one, other in zip(*(batch.column(c) for c in range(4)), strict=True):
-                rows = [np.frombuffer(x.as_buffer(), dtype=RECORD) for x in ((one,) if i == j else (one, other))]
-                rows = np.concatenate(rows)
+                rows = np.concatenate([np.frombuffer(x.as_buffer(), dtype=RECORD) for x in ((one,) if i == j else (one, other))])
                 rows = rows[np.argsort(rows["n"], kind="stable")]
                 yield links_of(np.zeros(len(rows), dtype=np.int8), rows, similarity)
 
-    return links.unionByName(map_arrow(pairs.repartition(F.xxhash64("i", "j", "one")), stars(compare), "a long, b long"))
+    wide = distinct.where("parity IS NOT NULL").select("lid", "n", "parity")
+    pairs = of(PAIR).select("a", "b").distinct()
+    one, other = (wide.select(F.col("lid").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in ("a", "b"))
+    pairs = pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+
+    def tell(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b, n_a, n_b = (batch.column(c).to_numpy() for c in range(4))
+                swap = n_a > n_b
+                n = np.where(np.stack([swap, ~swap], axis=1), np.stack([n_b, n_b], axis=1), np.stack([n_a, n_a], axis=1))
+                parity = [x for s, p, q in zip(swap.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True) for x in ((q, p) if s else (p, q))]
+                at = 2 * np.arange(len(a))
+                alike = Told(np.repeat(np.arange(len(a)), 2), n.reshape(-1).astype(np.int64), parity, similarity).alike(at, at + 1)
+                yield {"a": a[alike], "b": b[alike]}
+
+    again = of(HOT_LONG).select(F.col("a").alias("key"), F.col("b").alias("lid")).join(wide, "lid")
+    cell = F.when(F.col("j") > 0, F.xxhash64("key", "i", "j")).otherwise(F.col("key")).alias("cell")
+    again = dealt(again, "key", "lid", tile).select(cell, "n", "lid", "parity").repartition("cell").sortWithinPartitions("cell", "n")
+
+    def meet(batches):
+        for part in whole_groups(batches, 1):
+            lid = part.column(2).to_numpy()
+            label = np.arange(len(lid))
+            for i, j in Told(numbered(part, 1), part.column(1).to_numpy().astype(np.int64), part.column(3).to_pylist(), similarity).pairs(lambda x, y: label[x] == label[y]):
+                label = forest(i, j, len(lid), label)
+            leaf = np.flatnonzero(label != np.arange(len(lid)))
+            yield {"a": lid[leaf], "b": lid[label[leaf]]}
+
+    schema = "a long, b long"
+    links = of(LINK).select("a", "b")
+    for rows, compared in ((parts, compare), (pairs, tell), (again, meet)):
+        links = links.unionByName(map_arrow(rows, stars(compared), schema))
+    return links
 
 
 def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -374,11 +469,11 @@ def dealt(rows: DataFrame, key: str, by: str, tile: int) -> DataFrame:
 class Told:
     """Lines of groups, sorted by group and length: pairs that their lengths and parities don't tell apart."""
 
-    def __init__(self, group: np.ndarray, n: np.ndarray, parity: pa.ChunkedArray, similarity: float):
+    def __init__(self, group: np.ndarray, n: np.ndarray, parity: list[bytes], similarity: float):
         self.group, self.n, self.similarity = group, n, similarity
         self.width = parity_bits(n) // 64
         self.first = np.cumsum(self.width) - self.width
-        self.flat = np.frombuffer(b"".join(parity.to_pylist()), dtype="<u8")
+        self.flat = np.frombuffer(b"".join(parity), dtype="<u8")
 
     def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether i and j, j no shorter, may be within their limit of edits: each changes two parities at most."""
@@ -420,7 +515,7 @@ def verified_links(groups: DataFrame, similarity: float) -> DataFrame:
                     split[x] = texts[x].as_py().split(" ")
                 return split[x]
 
-            for i, j in Told(numbered(part, 3), part.column(3).to_numpy().astype(np.int64), part.column(5), similarity).pairs(lambda x, y: label[x] == label[y]):
+            for i, j in Told(numbered(part, 3), part.column(3).to_numpy().astype(np.int64), part.column(5).to_pylist(), similarity).pairs(lambda x, y: label[x] == label[y]):
                 met = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if similar(words(x), words(y), similarity)]
                 if met:
                     label = forest(i[met], j[met], len(lid), label)
@@ -456,11 +551,11 @@ def fetched(docs: DataFrame, suspects: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, th, dropped): per document the numbers of the lines that go."""
-    all_lines = materialise(lines(docs))
+    all_lines = materialise(lines(docs, similarity))
     size = all_lines.agg(F.sum("n").alias("words"), F.approx_count_distinct("doc_id").alias("docs")).first()
     place = F.struct("doc_id", "th", "line_no")
-    distinct = materialise(all_lines.groupBy("lid").agg(F.min(F.struct("doc_id", "th", "line_no", "n")).alias("first"), F.count(F.lit(1)).alias("times")).select("lid", "first.n", "first.doc_id", "first.th", "first.line_no", "times"))
-    parts = connected_components(prefix_links(docs, size["words"] or 0, size["docs"], similarity, min_words))
+    distinct = materialise(all_lines.groupBy("lid").agg(F.min(F.struct("doc_id", "th", "line_no", "n", "parity")).alias("first"), F.count(F.lit(1)).alias("times")).select("lid", "first.n", "first.doc_id", "first.th", "first.line_no", "first.parity", "times"))
+    parts = connected_components(prefix_links(docs, distinct, size["words"] or 0, size["docs"], similarity, min_words))
     suspects = distinct.join(parts, distinct["lid"] == parts["node"]).select("lid", "n", F.col("component").alias("comp"), "doc_id", "th", "line_no")
     linked = connected_components(verified_links(materialise(fetched(docs, suspects)), similarity))
     joined = distinct.join(linked, distinct["lid"] == linked["node"]).select("lid", "component", place.alias("first"))
