@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,8 +57,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps that nothing refers to any more, rather than when the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection lets go of refers to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def documents(df: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ HELD, BUCKET = 16 << 20, 16 << 20
 RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8"), ("odd", "<u8", 3)])
 LONG_RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8")])
 MOST = 65_535
-#: Words of the longer line from which on a pair meets by word pairs; lines of a word pair of which every two are taken down.
-LONG, FEW = 140, 24
+#: Words of the longer line beyond which a pair meets by word pairs (192 parities tell up to 140 apart); lines of a word pair of which every two are taken down.
+LONG, FEW = 60, 32
 LINES = "doc_id long, th long, line_no int, lid long, n int, parity binary"
 ID, HASH, DROPPED = "__calibra_id", "__calibra_hash", "__calibra_dropped"
 _WORD_OR_SIGN = re.compile(f"[{lw.SIGNS}]|[^\\W{lw.SIGNS}]+")
