@@ -5,7 +5,7 @@ allows, a fifth of the words, can't touch all of a line's words: put the words o
 first, and of the first fifth and one more of each of two similar lines, one is aligned with itself. So lines meet by
 these pigeonholes, and no similar pair is missed; a SimHash of 64 bits would have to bear some 13 differing bits, which
 no number of blocks makes selective. A pair that meets is told apart by its lengths, by the places of the shared word,
-and by the exclusive-or of two sketches of 192 bits (parities of the words' hashes), of which an edit changes two bits at
+and by the exclusive-or of two sketches of 192 bits (parities of the hashes of its words, repeats told apart), of which an edit changes two bits at
 most. Groups of lines so linked are verified by edit distance. Of each connected group of lines the first occurrence
 stays (smallest doc_id, then place), all others go.
 
@@ -137,6 +137,16 @@ def common_words(docs: DataFrame, n_docs: int, most: int = COMMON) -> np.ndarray
     return table
 
 
+def counted(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of the words with how often they came before in their line, line by line. An edit changes two of a line's set of them."""
+    order = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | words >> np.uint64(32)
+    order.sort()
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = order[1:] != order[:-1]
+    copy = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return lw.mixed((order & np.uint64(0xFFFFFFFF)) + (copy.astype(np.uint64) << np.uint64(32)))
+
+
 def ranked(words: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Places of the words (or word pairs), line by line, the rarest of each line first: one order of all, by commonness and hash."""
     line = np.repeat(np.arange(len(n)), n)
@@ -175,7 +185,7 @@ def records(found: lw.Lines, chosen: np.ndarray, common: np.ndarray, similarity:
     words, first = found.words[found.word_places(chosen)], np.cumsum(n) - n
     key, of, place = rarest(words, n, common[words >> np.uint64(46)], allowed(n, similarity) + 1)
     # a line's parities: bit hash * 192 >> 32, of three 64-bit numbers
-    bit = ((words & np.uint64(0xFFFFFFFF)) * np.uint64(192)) >> np.uint64(32)
+    bit = ((counted(words, n) & np.uint64(0xFFFFFFFF)) * np.uint64(192)) >> np.uint64(32)
     odd = np.empty((len(n), 3), dtype=np.uint64)
     for k in range(3):
         odd[:, k] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), first) if len(first) else 0
@@ -257,20 +267,28 @@ def whole_buckets(batches):
         yield *last, np.concatenate(held)
 
 
-def in_place(rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the shared word of rows i and j, j no shorter, may be aligned with itself."""
-    n, place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
-    far = np.abs(place[i] - place[j]) + np.abs((n[i] - place[i]) - (n[j] - place[j]))
-    return (far <= allowed(n[j], similarity)) | (place[i] == MOST) | (place[j] == MOST) | (n[j] == MOST)
+class Places:
+    """Where the shared word of RECORDs or LONG_RECORDs stands, and the edits that are allowed."""
+
+    def __init__(self, rows: np.ndarray, similarity: float):
+        self.before = rows["place"].astype(np.int32)
+        self.after = rows["n"].astype(np.int32) - self.before
+        self.edits = allowed(rows["n"].astype(np.int64), similarity).astype(np.int32)
+        self.unknown = (rows["place"] == MOST) | (rows["n"] == MOST)
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the words of i and j, j no shorter, may be aligned with each other."""
+        return (np.abs(self.before[i] - self.before[j]) + np.abs(self.after[i] - self.after[j]) <= self.edits[j]) | self.unknown[i] | self.unknown[j]
 
 
 def neighbours(group: np.ndarray, rows: np.ndarray, similarity: float):
     """(i, j), j no shorter, step by step: all rows of one group whose lengths may be similar. Rows are sorted by group and length."""
-    n = rows["n"].astype(np.int64)
+    n = rows["n"].astype(np.int32)
+    shortest = np.ceil(similarity * n - 1e-9).astype(np.int32)
     at, d = np.arange(len(rows)), 1
     while True:
         at = at[at + d < len(rows)]
-        at = at[(group[at] == group[at + d]) & (n[at] >= similarity * n[at + d] - 1e-9)]
+        at = at[(group[at] == group[at + d]) & (n[at] >= shortest[at + d])]
         if not len(at):
             return
         yield at, at + d
@@ -280,13 +298,17 @@ def neighbours(group: np.ndarray, rows: np.ndarray, similarity: float):
 def links_of(group: np.ndarray, rows: np.ndarray, similarity: float) -> dict:
     """Links of RECORDs that may be similar, down to a forest."""
     _, node = np.unique(rows["lid"], return_inverse=True)
-    label, n, odd = np.arange(len(rows)), rows["n"].astype(np.int64), rows["odd"]
+    label, places = np.arange(len(rows)), Places(rows, similarity)
+    odd = [np.ascontiguousarray(rows["odd"][:, k]) for k in range(3)]
     for i, j in neighbours(group, rows, similarity):
+        near = places.fit(i, j)
+        i, j = i[near], j[near]
         open_ = label[node[i]] != label[node[j]]
         i, j = i[open_], j[open_]
-        near = in_place(rows, i, j, similarity)
-        i, j = i[near], j[near]
-        alike = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= 2 * allowed(n[j], similarity)
+        far = np.zeros(len(i), dtype=np.int32)
+        for part in odd:
+            far += np.bitwise_count(part[i] ^ part[j])
+        alike = far <= 2 * places.edits[j]
         label = forest(node[i[alike]], node[j[alike]], len(rows), label)
     lid = np.zeros(len(rows), dtype=np.uint64)
     lid[node] = rows["lid"]
@@ -297,9 +319,10 @@ def links_of(group: np.ndarray, rows: np.ndarray, similarity: float) -> dict:
 def pairs_of(rows: np.ndarray, similarity: float) -> dict:
     """The pairs of LONG_RECORDs that may be similar, each once. Their groups have FEW lines."""
     one, other = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
-    for i, j in neighbours(rows["key"], rows, similarity):
-        near = in_place(rows, i, j, similarity) & (rows["n"][j] > LONG) & (rows["lid"][i] != rows["lid"][j])
-        x, y = rows["lid"][i[near]], rows["lid"][j[near]]
+    places, lid, long = Places(rows, similarity), np.ascontiguousarray(rows["lid"]), rows["n"] > LONG
+    for i, j in neighbours(np.ascontiguousarray(rows["key"]), rows, similarity):
+        near = places.fit(i, j) & long[j] & (lid[i] != lid[j])
+        x, y = lid[i[near]], lid[j[near]]
         one.append(np.minimum(x, y))
         other.append(np.maximum(x, y))
     a, b = np.concatenate(one), np.concatenate(other)
@@ -350,7 +373,7 @@ def prefix_links(docs: DataFrame, distinct: DataFrame, words: int, n_docs: int,
                 rows = rows[np.repeat(size <= most, size)]
                 if len(rows) and kind:
                     more.append(rows_of(PAIR, *pairs_of(rows, similarity).values()))
-                yield links_of(rows["key"], rows, similarity) if len(rows) and not kind else {"a": [], "b": []}
+                yield links_of(np.ascontiguousarray(rows["key"]), rows, similarity) if len(rows) and not kind else {"a": [], "b": []}
 
         for found in chain(stars(within)(None), [None]):
             while more:
@@ -421,8 +444,8 @@ def parity_bits(n: np.ndarray) -> np.ndarray:
 
 
 def parities(words: np.ndarray, n: np.ndarray) -> pa.Array:
-    """Of each run of ``n`` word hashes: how often each remainder occurs, modulo two. Halves fold by exclusive-or."""
-    bits = parity_bits(n)
+    """Of each run of ``n`` word hashes: how often each remainder of their counted() hashes occurs, modulo two. Halves fold by exclusive-or."""
+    bits, words = parity_bits(n), counted(words, n)
     place = np.repeat(np.cumsum(bits) - bits, n) + (words & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(place, minlength=int(bits.sum())) & 1
     return binaries(np.packbits(odd.astype(np.uint8), bitorder="little"), bits // 8)
