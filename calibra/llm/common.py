@@ -105,13 +105,18 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 class BoundedCache(dict):
-    """A memo that computes what is missing and forgets everything at ``most`` entries, so its memory is bounded."""
+    """A memo that computes what is missing and forgets everything at ``most`` entries. Strings of over LONGEST characters
+    aren't kept, so its bytes are bounded too."""
+
+    LONGEST = 128
 
     def __init__(self, compute: Callable, most: int = 400_000):
         super().__init__()
         self.compute, self.most = compute, most
 
     def __missing__(self, key):
+        if type(key) in (str, bytes) and len(key) > self.LONGEST:
+            return self.compute(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.compute(key)

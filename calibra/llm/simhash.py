@@ -60,14 +60,18 @@ def text_fingerprints(texts: list[str]) -> np.ndarray:
     return majorities(flat, np.array([len(h) for h in hashes]))
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every whole text; null and empty texts have fingerprint zero."""
+    """(doc_id, th, fp) of every whole text, th its 64-bit hash; null and empty texts have fingerprint zero."""
 
     def work(batches):
         for batch in slices(batches):
-            yield {"doc_id": batch.column("doc_id"), "fp": text_fingerprints(batch.column("text").to_pylist()).view(np.int64)}
+            yield {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "fp": text_fingerprints(batch.column("text").to_pylist()).view(np.int64)}
 
-    return map_arrow(documents(docs), work, "doc_id long, fp long")
+    return map_arrow(documents(docs).withColumn("th", text_hash()), work, "doc_id long, th long, fp long")
 
 
 def near_cells(radius: int = RADIUS) -> list[int]:
@@ -122,6 +126,19 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
     return map_arrow(pairs, stars(work), "a long, b long")
 
 
+def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, th, fp, component_id, group_fp) of every row; group_fp is a fingerprint that tells its component from all others."""
+    rows = materialise(fingerprints(docs))
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    parts = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    linked = distinct.join(parts, distinct["fp"] == parts["node"]).select("fp", "component", "first_id")
+    least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    grouped = materialise(linked.join(least, "component").select("fp", "component", "least_id"))
+    # few fingerprints have links; rows without one are their fingerprint's first document
+    ids = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("group_fp"))
+    return rows.join(ids, "fp").select("doc_id", "th", "fp", "component_id", "group_fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of ``radius`` bits at most.
 
@@ -130,15 +147,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     columns are left behind. Rows are pre-aggregated to distinct fingerprints, so copies cost nothing, and a component
     comes back by joining on fingerprints.
     """
-    rows = materialise(fingerprints(docs))
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    linked = distinct.join(parts, distinct["fp"] == parts["node"]).select("fp", "component", "first_id")
-    least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    grouped = materialise(linked.join(least, "component").select("fp", "least_id"))
-    # few fingerprints have links; rows without one are their fingerprint's first document
-    ids = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return groups(docs, radius).select("doc_id", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs, with all their columns: of each group of near duplicates the row with the smallest doc_id (nulls last), then
+    the smallest hash of its text. Of rows alike in both one stays, whatever else they hold."""
+    first = groups(docs, radius).groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("kept"))
+    kept = first.select(F.col("kept.doc_id").alias("__kept_id"), F.col("kept.th").alias("__kept_th"))
+    keyed = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_th": text_hash()})
+    found = keyed.join(kept, keyed["__own_id"].eqNullSafe(kept["__kept_id"]) & (keyed["__own_th"] == kept["__kept_th"]), "left_semi")
+    return found.dropDuplicates(["__own_id", "__own_th"]).select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -22,22 +22,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; those that had nothing else go. n_chars follows the text."""
+    """Documents without their repeated lines; those that had nothing but white space beside go. n_chars follows the text."""
     out = line_dedup.line_dedup(docs)
-    out = out.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    dropped = F.col(out.columns[-1])  # n_dropped, or what it's called where docs have such a column
+    out = out.where((dropped == 0) | F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates.
-
-    Of rows with equal doc_id and text one stays, whatever else they hold; rows without doc_id all stay.
-    """
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near duplicates, that with the smallest doc_id; one without doc_id if none has one."""
+    return simhash.first_of_groups(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

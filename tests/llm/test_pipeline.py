@@ -51,3 +51,15 @@ def test_held_out_rejection_at_the_pipelines_threshold(spark):
     share = {g: sum(r.tail_probability < cp.KEEP_AT for r in held if r.grade == g) / sum(r.grade == g for r in held) for g in range(3)}
     # measured at 0.5: 0.878 of 147 toxic and 0.930 of 172 poor documents (0.789 and 0.802 at 0.3), and 0.045 of 1030 good
     assert share[0] > 0.85 and share[1] > 0.9 and share[2] < 0.06
+
+
+def test_near_dedup_goes_by_row_and_blank_rests_go(spark):
+    text, other = "one two three four five six seven eight nine ten", "quite another text that has nothing in common with it"
+    rows = [(1, text, 7), (5, other, 7), (5, text, 7), (None, text, 7), (None, other + " more of it all", 7), (None, other + " more of it all", 8), (6, None, 7), (6, "", 7), (7, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    got = cp.near_dedup_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, other + " more of it all"), (1, text), (5, other), (6, "")]
+    lines = spark.createDataFrame([(1, f"{text}\n\n{other}", 77), (2, f"{text}\n\n \u3000\n{other}", 77), (3, text + "\n", 77), (4, " \n", 77)], "doc_id long, text string, n_dropped int")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in cp.line_stage(spark, lines, SF).collect()}
+    assert got == {1: (f"{text}\n\n{other}", 77), 4: (" \n", 77)}
