@@ -4,21 +4,26 @@ A visitor flattens a message's parts into text: text parts are escaped, image, a
 placeholders, and each attachment is recorded with its reference and the number of tokens it expands to. Turns are
 wrapped in control strings; control strings inside texts are escaped so that reading back restores them exactly.
 
-Every turn is formatted on its own (JVM functions for plain text, the visitor for typed parts), so a conversation of
-any length never has to be in memory: its digests are made by streaming its turns in order.
+Every turn is formatted on its own by the visitor, a plain text being one text part, so a conversation of any length
+never has to be in memory: its digests are made by streaming its turns in order.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibra.llm.common import map_arrow, slices
+
 START, END = "<|im_start|>", "<|im_end|>"
+#: Stands for a line feed inside a role. No escaped text holds it.
+FEED = "<|nl|>"
 #: Every "<|" in a text gets a backslash between its two characters, and every "<" followed by backslashes and "|" one backslash more.
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 #: Tokens that an attachment of each kind expands to: fixed part, and tokens a unit (256 x 256 image tile, second, page).
@@ -35,9 +40,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
-def escaped(text: Column) -> Column:
-    """escape() as a column."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+def amount(value, default: float = 1.0) -> float:
+    """A size of an attachment: a positive, finite number, or a string of one; else the default."""
+    try:
+        found = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return default
+    return found if 0 < found < 1e15 else default
 
 
 @dataclass
@@ -50,70 +59,94 @@ class Flattened:
 
 
 class PartVisitor:
-    """Visits the parts of a message in order. Ordinals run on over a visitor's whole life, so one may serve a conversation."""
+    """Visits the parts of a message in order. Ordinals run on over a visitor's whole life, so one may serve a conversation.
+
+    Parts are null, strings, or dicts with a type. A dict without type is text; a text part's text, if not a string, is
+    written as JSON. What is no part (a number, a list, an unknown type) raises ValueError, or is text, as JSON, where
+    ``strict`` is false. Sizes that are no positive number count as one unit.
+    """
 
-    def __init__(self) -> None:
-        self.seen = dict.fromkeys(EXPANSION, 0)
+    def __init__(self, strict: bool = True) -> None:
+        self.seen, self.strict = dict.fromkeys(EXPANSION, 0), strict
 
     def visit(self, content) -> Flattened:
-        """content: None, a string, or a list of strings and {"type": ..., ...} parts."""
+        """content: None, a string, a part, or a list of parts."""
         out = Flattened()
-        for part in [content] if content is None or isinstance(content, (str, dict)) else content:
-            kind = "text" if part is None or isinstance(part, str) else part.get("type", "text")
-            if kind == "text":
-                out.text += escape((part if isinstance(part, str) else (part or {}).get("text")) or "")
-            elif kind in EXPANSION:
+        for part in content if isinstance(content, list) else [content]:
+            kind = part.get("type", "text") if isinstance(part, dict) else "text"
+            if isinstance(kind, str) and kind in EXPANSION:
                 self.attachment(kind, part, out)
-            else:
+            elif kind == "text" and (part is None or isinstance(part, (str, dict))):
+                self.text(part.get("text") if isinstance(part, dict) else part, out)
+            elif self.strict:
                 raise ValueError(f"no such content part: {kind!r}")
+            else:
+                self.text(part, out)
         return out
 
+    def text(self, value, out: Flattened) -> None:
+        if value is not None:
+            out.text += escape(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+
     def attachment(self, kind: str, part: dict, out: Flattened) -> None:
         self.seen[kind] += 1
         ordinal = self.seen[kind]
         if kind == "image":
-            units = -(-max(1, part.get("width", 256)) // 256) * -(-max(1, part.get("height", 256)) // 256)
+            units = math.ceil(amount(part.get("width"), 256) / 256) * math.ceil(amount(part.get("height"), 256) / 256)
         else:
-            units = max(1, -(-part.get("seconds" if kind == "audio" else "pages", 1) // 1))
+            units = math.ceil(amount(part.get("seconds" if kind == "audio" else "pages")))
         base, each = EXPANSION[kind]
-        tokens = base + each * int(units)
+        tokens = base + each * units
         out.attachments.append((kind, ordinal, str(part.get("ref") or part.get("url") or ""), tokens, len(out.text)))
         out.text += f"<|{kind}_{ordinal}|>"
         out.expanded_tokens += tokens
 
 
+def head(role: str) -> str:
+    return START + escape(role).replace("\n", FEED) + "\n"
+
+
 def wrap(role: str, body: str) -> str:
-    return f"{START}{escape(role)}\n{body}{END}\n"
+    return f"{head(role)}{body}{END}\n"
 
 
 def read_turn(segment: str) -> tuple[str, str]:
-    """(role, text) of a formatted turn; the exact inverse of wrap() for text parts. A role can't hold a line feed."""
+    """(role, text) of a formatted turn; the exact inverse of wrap() for text parts."""
     if not segment.startswith(START) or not segment.endswith(f"{END}\n"):
         raise ValueError("not a formatted turn")
     role, _, body = segment[len(START) : -len(END) - 1].partition("\n")
-    return unescape(role), unescape(body)
+    return unescape(role.replace(FEED, "\n")), unescape(body)
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """turns plus ``segment`` (the formatted turn), ``loss_start`` and ``loss_length`` (code points of it under the loss mask).
+    """(conv_id, turn, role, segment, loss_start, loss_length, expanded_tokens) of turns (conv_id, turn, role, text).
 
-    Null texts and roles are empty; a line feed in a role becomes a space. Other columns stay.
+    The visitor formats each turn's text as one text part. segment is the formatted turn; loss_start and loss_length are
+    the code points of it under the loss mask. Null texts and roles are empty; extra columns are left behind.
     """
-    role = escaped(F.regexp_replace(F.coalesce(F.col("role"), F.lit("")), "\n", " "))
-    body = escaped(F.coalesce(F.col("text"), F.lit("")))
-    segment = F.concat(F.lit(START), role, F.lit("\n"), body, F.lit(f"{END}\n"))
-    trained = F.coalesce(F.col("role") == TRAINED_ROLE, F.lit(False))
-    return turns.withColumns({
-        "segment": segment,
-        "loss_start": F.when(trained, F.length(role) + len(START) + 1).otherwise(F.lit(0)),
-        "loss_length": F.when(trained, F.length(body)).otherwise(F.lit(0)),
-    })
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def work(batches):
+        for batch in slices(batches):
+            roles = batch.column("role").to_pylist()
+            flat = [PartVisitor().visit([{"type": "text", "text": t}]) for t in batch.column("text").to_pylist()]
+            trained = [r == TRAINED_ROLE for r in roles]
+            yield {
+                "conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "role": roles,
+                "segment": [wrap(r, f.text) for r, f in zip(roles, flat, strict=True)],
+                "loss_start": [len(head(r)) if t else 0 for r, t in zip(roles, trained, strict=True)],
+                "loss_length": [len(f.text) if t else 0 for f, t in zip(flat, trained, strict=True)],
+                "expanded_tokens": [f.expanded_tokens for f in flat],
+            }
+
+    return map_arrow(own, work, "conv_id long, turn long, role string, segment string, loss_start long, loss_length long, expanded_tokens long")
 
 
 def format_parts(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, segment, expanded_tokens, attachments) of messages whose ``content`` is JSON: a string or a list of typed parts.
 
-    Null or malformed JSON is plain text as it stands. Ordinals start anew in each turn.
+    Null or malformed JSON, or a bare number, is plain text as it stands; parts of unknown types are text, as JSON. Ordinals start
+    anew in each turn; extra columns are left behind.
     """
     kind = "array<struct<kind:string,ordinal:int,ref:string,tokens:int,offset:int>>"
 
@@ -125,8 +158,8 @@ def format_parts(messages: DataFrame) -> DataFrame:
                     parsed = json.loads(content) if content else content
                 except ValueError:
                     parsed = content
-                flat = PartVisitor().visit(parsed if isinstance(parsed, (str, list, dict)) else content)
-                rows.append((conv_id, turn, wrap((role or "").replace("\n", " "), flat.text), flat.expanded_tokens, flat.attachments))
+                flat = PartVisitor(strict=False).visit(parsed if isinstance(parsed, (str, list, dict)) else content)
+                rows.append((conv_id, turn, wrap(role or "", flat.text), flat.expanded_tokens, flat.attachments))
             yield type(pdf)(rows, columns=["conv_id", "turn", "segment", "expanded_tokens", "attachments"])
 
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("content")]
@@ -140,8 +173,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     digest is kept, so the longest conversation needs no more memory than the shortest. Repeated rows are turns of their
     own; a null conv_id is a conversation; an empty table gives none.
     """
-    keys = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
-    formatted = format_turns(turns.select(keys)).select("conv_id", "turn", "role", "segment", "loss_start", "loss_length")
+    formatted = format_turns(turns).select("conv_id", "turn", "role", "segment", "loss_start", "loss_length")
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
     names = [c.split()[0] for c in DIGESTS.split(", ")]
 
@@ -166,8 +198,6 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         if state:
             yield {c: [x] for c, x in zip(names, finished(open_id, state), strict=True)}
 
-    from calibra.llm.common import map_arrow
-
     return map_arrow(ordered, work, DIGESTS)
 
 

@@ -56,12 +56,15 @@ def halves(n: int) -> int:
 
 
 def fit_codebooks(entries: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    """Codebooks of both halves, from the ``sample`` vectors with the smallest hash of their id; None for an empty table."""
-    rows = hashed_sample(entries, "vec_id", sample).collect()
-    if not rows:
+    """Codebooks of both halves, from the ``sample`` vectors with the smallest hash of their id; None for an empty table.
+
+    Of vectors of unequal length, the commonest over all rows counts (the shorter of two as common).
+    """
+    sizes = entries.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if sizes is None:
         return None
-    size = max(len(r["v"]) for r in rows)
-    x = np.array([r["v"] for r in rows if len(r["v"]) == size])
+    size = sizes["size"]
+    x = np.array([r["v"] for r in hashed_sample(entries.where(F.size("v") == size), "vec_id", sample).collect()])
     h = halves(size)
     return kmeans(x[:, :h], centroids), kmeans(x[:, h:], centroids)
 
@@ -87,7 +90,7 @@ def multi_index_search(vectors: DataFrame, queries: DataFrame, k: int = K, share
 
     vectors and queries have vec_id and embedding; a query's own vec_id is no candidate of it. Ties go to the smaller
     vec_id. Vectors that are null, empty, zero or hold null or non-finite components take no part; of vectors of unequal
-    length, those of another length than the codebooks' take none either. Repeated ids are entries of their own. Equal
+    length, those of another length than the commonest take none either. Repeated ids are entries of their own. Equal
     vectors are one entry with its k + 1 smallest ids: no others of them can be among a query's k nearest. Entries of a
     cell are cut into blocks, so a large cell is many rows of bounded size, and each block keeps k a query.
     """
@@ -117,7 +120,7 @@ def multi_index_search(vectors: DataFrame, queries: DataFrame, k: int = K, share
     parts = np.maximum(1, -(-sizes // block))
     deal = F.array(*[F.lit(int(n)) for n in parts])
     blocks = coded.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.get(deal, F.col("cell"))).cast("int")).groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("entries"))
-    wanted = int(np.ceil(share * sizes.sum()))
+    wanted = max(int(np.ceil(share * sizes.sum())), k + 1)  # one may be the query's own
     asked = usable(queries).where(F.size("v") == size)
 
     def visit(batches):
@@ -152,16 +155,19 @@ def multi_index_search(vectors: DataFrame, queries: DataFrame, k: int = K, share
                 order = np.argsort(ids, kind="stable")
                 ids, v = ids[order], v[order]
                 s = q @ v.T
-                s[own[:, None] == ids[None, :]] = -np.inf
+                # the product of a whole block may round unlike one vector's own: what is near the k-th is scored one by one
+                slack = 4 * size * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
                 out_q, out_v, out_s = [], [], []
                 for i in range(len(own)):
-                    top = np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k]) if len(ids) > k else np.arange(len(ids))
-                    top = top[np.lexsort((ids[top], -s[i, top]))][:k]
-                    top = top[np.isfinite(s[i, top])]
-                    # the product of a whole block may round unlike one vector's own: score what is kept one by one
-                    out_q += [own[i]] * len(top)
-                    out_v += ids[top].tolist()
-                    out_s += [float(np.dot(q[i], v[t])) for t in top]
+                    others = np.flatnonzero((ids != own[i]) & ~np.isnan(s[i]))
+                    if len(others) > k:
+                        least = np.partition(s[i, others], -k)[-k]
+                        others = others[s[i, others] >= least - (slack[i] if np.isfinite(least) and np.isfinite(slack[i]) else 0)]
+                    exact = np.array([float(np.dot(q[i], v[t])) for t in others])
+                    best = np.lexsort((ids[others], -exact))[:k]
+                    out_q += [own[i]] * len(best)
+                    out_v += ids[others[best]].tolist()
+                    out_s += exact[best].tolist()
                 yield {"query_id": out_q, "vec_id": out_v, "score": out_s}
 
     found = map_arrow(met, score, FOUND)

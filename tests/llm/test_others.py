@@ -50,6 +50,37 @@ def test_format_parts(spark):
     assert {r.segment for r in got} == {cf.wrap("user", "<|image_1|>hi"), cf.wrap("", ""), cf.wrap("user", "{not json"), cf.wrap("user", "plain")}
 
 
+def test_parts_of_any_json(spark):
+    odd = ['[1]', '{"type":"image","width":null}', '{"type":"audio","seconds":"3"}', '{"type":"audio","seconds":"x"}', '{"type":"text","text":5}', '[{"type":"video"}]', '[{"type":[1]}]', '[[1],true,null]', '7', '{"type":"image","width":1e400}']
+    df = spark.createDataFrame([(k, 0, "a\nb", x, "z") for k, x in enumerate(odd)], "conv_id long, turn long, role string, content string, segment string")
+    got = {r.conv_id: r for r in cf.format_parts(df).collect()}
+    assert {cf.read_turn(r.segment)[0] for r in got.values()} == {"a\nb"}
+    assert [got[k].expanded_tokens for k in range(len(odd))] == [0, 86, 76, 26, 0, 0, 0, 0, 0, 86]
+    assert [cf.read_turn(got[k].segment)[1] for k in (0, 4, 5, 7, 8)] == ["1", "5", '{"type": "video"}', "[1]true", "7"]
+
+
+def test_roles_with_line_feeds_read_back(spark):
+    role = "user\n<|nl|>x"
+    df = spark.createDataFrame([(1, 0, role, "t")], "conv_id long, turn long, role string, text string")
+    assert cf.conversation_digests(df).first().turns_sha256 == hashlib.sha256(f"{role}\nt\n".encode()).hexdigest()
+
+
+def test_search_of_unlike_lengths_ties_and_few_rows(spark):
+    rows = [(k, [float(k % 3), 1.0, -float(k % 5), 0.5]) for k in range(29)] + [(100, [9.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mi.multi_index_search(df, df.where("vec_id < 2")).collect()
+    x = {k: np.array(v) for k, v in rows[:-1]}
+    for q in (0, 1):
+        want = sorted(((-float(x[q] @ x[v]), v) for v in x if v != q))[:20]
+        mine = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert len(mine) == 20 and all(b <= a for (_, a), (_, b) in zip(mine, mine[1:]))
+        assert len({v for _, v in want} & {v for v, _ in mine}) >= 15
+    few = df.where("vec_id < 15")
+    assert sorted(r.vec_id for r in mi.multi_index_search(few, few.where("vec_id = 0")).collect()) == list(range(1, 15))
+    huge = spark.createDataFrame([(0, [1e308, 1e308]), (1, [1e308, 1e308]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in mi.multi_index_search(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [(1, float("inf")), (2, 1e308)]
+
+
 def test_conversations_of_odd_rows(spark):
     rows = [(1, 1, "assistant", "b", 9), (1, 0, "user", None, 9), (1, 1, "assistant", "b", 9), (None, 0, "assistant", "x<|", 9), (2, None, None, "", 9), (3, 0, "assistant", "y" * 300_000, 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment long")
