@@ -190,7 +190,9 @@ def centres(spark, sf_dir):
     return c.select("label", F.transform("c", lambda v: v / norm).alias("c"))
 
 
-@query("nearest_centre")
+@query("nearest_centre", _CENTRES + """, s AS (SELECT x.vec_id, x.label, c.label AS nearest, sum(x.v * c.v / l.l) AS sim FROM x JOIN c ON c.i = x.i JOIN l ON l.label = c.label GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, nearest DESC) AS nth FROM s)
+SELECT vec_id, label, nearest, round(sim, 6) AS similarity, CASE WHEN sim >= 0.3 THEN 'assigned' ELSE 'distant' END AS status FROM b WHERE nth = 1""")
 def nearest_centre(spark, sf_dir, least: float = 0.3):
     """Each vector's most similar centre and a status; the centres, a row a label, are few."""
     c = F.broadcast(centres(spark, sf_dir).groupBy().agg(F.collect_list(F.struct("label", "c")).alias("cs")))

@@ -221,16 +221,16 @@ def trades_per_block(spark, sf_dir):
 
 
 @query("block_interpolation", """, s AS (SELECT event_id AS block, CAST(epoch(ts) AS BIGINT) AS t FROM events WHERE event_id % 10 = 0), n AS (SELECT *, lead(block) OVER (ORDER BY block) AS nb, lead(t) OVER (ORDER BY block) AS nt FROM s)
-SELECT block + k AS block, t + (nt - t) * k // (nb - block) AS t FROM (SELECT *, unnest(generate_series(0, nb - block - 1)) AS k FROM n WHERE nb IS NOT NULL)""")
+SELECT block + k AS block, t + (nt - t) * k // (nb - block) AS t FROM (SELECT *, unnest(generate_series(0, nb - block - 1)) AS k FROM n WHERE nb IS NOT NULL) UNION ALL SELECT block, t FROM n WHERE nb IS NULL""")
 def block_interpolation(spark, sf_dir):
-    """Sampled blocks' times filled in linearly. The sample before a block is found in ranges: a window over each, and the next range's first sample."""
+    """Sampled blocks' times filled in linearly, up to the last sampled block itself. The sample before a block is found in ranges: a window over each, and the next range's first sample."""
     span = 10_000
     s = table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("event_id AS block", "cast(floor(unix_micros(cast(ts AS timestamp)) / 1e6 + 0.5) AS bigint) AS t").withColumn("part", F.expr(f"block div {span}"))
     w = Window.partitionBy("part").orderBy("block")
     firsts = s.groupBy("part").agg(F.min(F.struct("block", "t")).alias("f"))
     after = firsts.withColumn("next", F.lead("f").over(Window.orderBy("part"))).select("part", "next")  # one row a range
-    n = s.withColumn("n", F.lead(F.struct("block", "t")).over(w)).join(after, "part", "left").withColumn("n", F.coalesce("n", "next")).where("n IS NOT NULL")
-    return n.select("block", "t", "n", F.explode(F.expr("sequence(0L, n.block - block - 1)")).alias("k")).selectExpr("block + k AS block", "t + (n.t - t) * k div (n.block - block) AS t")
+    n = s.withColumn("n", F.lead(F.struct("block", "t")).over(w)).join(after, "part", "left").withColumn("n", F.coalesce("n", "next"))
+    return n.select("block", "t", "n", F.explode(F.expr("sequence(0L, coalesce(n.block - block - 1, 0L))")).alias("k")).selectExpr("block + k AS block", "t + coalesce((n.t - t) * k div (n.block - block), 0) AS t")
 
 
 @query("json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type", views=False)
@@ -242,3 +242,22 @@ def json_props(spark, sf_dir):
 def formatted_totals(spark, sf_dir):
     s = adapter.markets(spark, sf_dir).join(customers(spark, sf_dir), "event_id").groupBy("r_name").agg(F.expr("sum(cast(round(volume * 100) AS bigint))").alias("c"))
     return s.selectExpr("r_name", "c", "format_string('%.1fM', c / 1e6d) AS shown", "concat(lower(trim(concat(' ', r_name, ' '))), ':', c % 100) AS tag")
+
+
+@query("iso_times", "SELECT event_id, strftime(make_timestamp(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events", views=False)
+def iso_times(spark, sf_dir):
+    """Unix seconds as ISO-8601 text, in UTC whatever the session's time zone."""
+    seconds = table(spark, sf_dir, "events").selectExpr("event_id", "cast(floor(unix_micros(cast(ts AS timestamp)) / 1e6) AS bigint) AS s")
+    return seconds.selectExpr("event_id", "date_format(convert_timezone(current_timezone(), 'UTC', cast(timestamp_seconds(s) AS timestamp_ntz)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS iso")
+
+
+@query("case_insensitive_search", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'RING|^Blue b', 'i')", views=False)
+def case_insensitive_search(spark, sf_dir, pattern: str = "RING|^Blue b"):
+    return table(spark, sf_dir, "part").where(F.col("p_name").rlike(f"(?i){pattern}")).select("p_partkey", "p_name")
+
+
+@query("bound_parameters", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders WHERE o_totalprice >= 100000.0 AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY o_orderstatus", views=False)
+def bound_parameters(spark, sf_dir, least: float = 100000.0, before: str = "1997-01-01"):
+    """Values reach the query as parameters, never as text of it."""
+    text = "SELECT o_orderstatus, count(*) AS n, sum(o_custkey) AS keys FROM {orders} WHERE o_totalprice >= :least AND o_orderdate < cast(:before AS timestamp_ntz) GROUP BY o_orderstatus"
+    return spark.sql(text, args={"least": least, "before": before}, orders=table(spark, sf_dir, "orders"))

@@ -159,7 +159,8 @@ def complement_gap(spark, sf_dir):
 def conservation_checks(spark, sf_dir):
     c = cells(joined(spark, sf_dir))
     total = dual(c).selectExpr("sum(n) AS positions", "sum(contracts * (100 * won - price)) AS pnl_cents", "sum(n * won) AS wins")
-    return total.selectExpr("positions", "positions AS twice_trades", "pnl_cents", "wins")
+    trades = c.agg(F.sum("n").alias("trades"))  # one row, from the same cells before they become positions
+    return total.crossJoin(trades).selectExpr("positions", "2 * trades AS twice_trades", "pnl_cents", "wins")
 
 
 @query("decomposition", """, p AS (SELECT price, role, direction, sum(cnt) AS w, sum(cnt * won) * 1.0 / sum(cnt) - price / 100.0 AS m FROM positions WHERE price BETWEEN 1 AND 99 GROUP BY price, role, direction),

@@ -22,6 +22,11 @@ def text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\0").schema(schema).csv(path).select(*columns)
 
 
+def inferred_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a head, types found from all its values: whole and broken numbers, dates, times, truth values, else text."""
+    return spark.read.option("header", True).option("inferSchema", True).option("preferDate", True).csv(path)
+
+
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Columns cast to ``types``; what doesn't parse is null."""
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})

@@ -126,3 +126,11 @@ def test_text_clusters(spark):
     got = {x.id: x.cluster for x in family_clusters(vectors).collect()}
     assert got[0] == got[1] == got[4] and got[2] == got[3] == got[5] and got[0] != got[2]
     assert average_linkage(np.eye(3)).tolist() == [0, 1, 2]
+
+
+def test_inferred_csv(spark, tmp_path):
+    from calibra.sources.readers import inferred_csv
+
+    (tmp_path / "x.csv").write_text("a,b,c,d\n1,2.5,yes,2024-01-02\n30,,no,2024-02-03\n")
+    got = inferred_csv(spark, str(tmp_path / "x.csv"))
+    assert [t for _, t in got.dtypes] == ["int", "double", "string", "date"] and got.count() == 2
