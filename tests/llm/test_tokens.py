@@ -49,6 +49,52 @@ def test_transducer_equals_the_library(texts, documents):
         assert machine.decode(ids) == sp.decode(ids), t
 
 
+def test_unigram_weights_equal_the_library(tmp_path):
+    """A hand-written unigram model: the same machines with scores as weights, and byte fallback."""
+    import struct
+
+    import sentencepiece
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    def message(number, data):
+        return varint(number << 3 | 2) + varint(len(data)) + data
+
+    def piece(text, score, kind):
+        return message(1, message(1, text.encode()) + b"\x15" + struct.pack("<f", score) + b"\x18" + bytes([kind]))
+
+    normal = {"▁": -2.0, "a": -3.5, "b": -4.1, "ab": -5.3, "▁a": -3.9, "▁ab": -7.2, "ba": -6.05, "aba": -9.03, "bb": -8.6, "é": -9.9}
+    model = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    model += b"".join(piece(*x, 1) for x in normal.items())
+    model += message(2, b"\x18\x01" + varint(35 << 3) + b"\x01") + message(3, b"\x18\x01\x20\x00\x28\x01")
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model)
+    sp, machine = sentencepiece.SentencePieceProcessor(model_file=str(path)), Transducer(str(path))
+    rng = random.Random(5)
+    for t in ["", " ", "ab", "né ☃a", *("".join(rng.choices("aabb  éz☃", k=rng.randint(1, 40))) for _ in range(300))]:
+        ids = machine.encode(t)
+        assert ids == sp.encode(t), t
+        assert machine.decode(ids) == sp.decode(ids), t
+
+
+def test_text_without_boundaries_equals_the_library():
+    import sentencepiece
+
+    sp, machine = sentencepiece.SentencePieceProcessor(model_file=PIECES), Transducer(PIECES)
+    for t in ("ab" * 30_000, "a" * 100_001):
+        assert machine.encode(t) == sp.encode(t)
+
+
+def test_encoding_query_equals_the_library(documents):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = {r.doc_id: sp.encode(r.text or "") for r in documents.collect()}
+    rows = transducer_encoding(documents).collect()
+    assert {r.doc_id: (r.n_ids, r.ids_crc32) for r in rows} == {k: (len(v), zlib.crc32(np.array(v, dtype="<u4").tobytes())) for k, v in ids.items()}
+
+
 def test_counts_of_odd_rows(odd_docs, no_docs, library):
     rows = token_counts(odd_docs).collect()
     want = [(r.doc_id, len((r.text or "").encode()), len(library(r.text or ""))) for r in odd_docs.collect()]
