@@ -1,6 +1,7 @@
 """Hypothesis tests, clustered errors, text rules, vectors and models."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -121,25 +122,24 @@ query("clustered_se_event", _clustered("event_id"))(lambda spark, sf_dir: cluste
 
 @query("event_bootstrap")
 def event_bootstrap(spark, sf_dir, repetitions: int = 2000, seed: int = 340):
-    """Percentile interval of the loss difference under event resampling.
+    """Percentile interval of the loss difference under resampling of whole events.
 
-    Events are dealt over 256 blocks by hash and resampled block by block, so what a repetition draws from is bounded;
-    repetitions run as rows of executors' tasks.
+    In each repetition an event counts as often as a Poisson number of mean 1 says, which is what drawing as many events
+    as there are comes to for many events. An event's numbers are seeded by its own hash, so results don't depend on
+    partitions; each task sends one row of sums a repetition.
     """
-    e = positions(spark, sf_dir, "event_id").groupBy(F.expr("cast(pmod(xxhash64(event_id), 256) AS int)").alias("block")).agg(F.expr("sum(contracts * pow(won - price / 100d, 2d))").alias("base"), F.expr("sum(contracts * pow(won - 0.5d, 2d))").alias("flat"), F.sum("contracts").alias("w"))
-    rows = [(r["base"], r["flat"], r["w"]) for r in e.orderBy("block").collect()]  # 256 at most
-    data = np.array(rows, dtype=np.float64).reshape(-1, 3)
+    loss = {"base": "sum(contracts * pow(won - price / 100d, 2d))", "flat": "sum(contracts * pow(won - 0.5d, 2d))"}
+    e = positions(spark, sf_dir, "event_id").groupBy("event_id").agg(*[F.expr(x).alias(k) for k, x in loss.items()], F.sum("contracts").cast("double").alias("w")).withColumn("h", F.expr("xxhash64(event_id)"))
 
     def draw(batches):
+        total = np.zeros((repetitions, 3))
         for pdf in batches:
-            out = []
-            for rep in pdf["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                x = data[rng.integers(0, len(data), len(data))].sum(0) if len(data) else np.full(3, np.nan)
-                out.append((x[0] - x[1]) / x[2])
-            yield pdf.assign(d=out)[["id", "d"]]
-
-    d = spark.range(0, repetitions, 1, 8).mapInPandas(draw, "id long, d double")
+            for h, *x in pdf[["h", "base", "flat", "w"]].itertuples(index=False):
+                times = np.random.default_rng([seed, int(h) & (1 << 64) - 1]).poisson(1.0, repetitions)
+                total += times[:, None] * np.array(x)
+        yield pd.DataFrame({"rep": np.arange(repetitions), "base": total[:, 0], "flat": total[:, 1], "w": total[:, 2]})
+
+    d = e.select("h", "base", "flat", "w").mapInPandas(draw, "rep long, base double, flat double, w double").groupBy("rep").agg(F.expr("(sum(base) - sum(flat)) / sum(w)").alias("d"))
     return d.agg(F.expr("percentile(d, 0.025d)").alias("low"), F.expr("percentile(d, 0.975d)").alias("high"), F.avg("d").alias("mean"), F.count(F.lit(1)).alias("repetitions"))
 
 
