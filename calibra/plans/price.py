@@ -90,13 +90,14 @@ def ev_yes_vs_no(spark, sf_dir):
 c AS (SELECT k.price, coalesce((SELECT sum(cnt) FROM trades t WHERE side = 'yes' AND yes_price = k.price), 0) AS taker_yes, coalesce((SELECT sum(cnt) FROM trades t WHERE side = 'no' AND no_price = k.price), 0) AS taker_no,
  coalesce((SELECT sum(cnt) FROM trades t WHERE side = 'no' AND yes_price = k.price), 0) AS maker_yes, coalesce((SELECT sum(cnt) FROM trades t WHERE side = 'yes' AND no_price = k.price), 0) AS maker_no FROM keys k)
 SELECT price, CAST(taker_yes AS BIGINT) AS taker_yes, CAST(taker_no AS BIGINT) AS taker_no, CAST(maker_yes AS BIGINT) AS maker_yes, CAST(maker_no AS BIGINT) AS maker_no, CAST(taker_yes + taker_no + maker_yes + maker_no AS BIGINT) AS total,
- 100.0 * taker_yes / (taker_yes + taker_no + maker_yes + maker_no) AS taker_yes_pct FROM c WHERE price BETWEEN 1 AND 99""")
+ 100.0 * taker_yes / (taker_yes + taker_no + maker_yes + maker_no) AS taker_yes_pct, 100.0 * taker_no / (taker_yes + taker_no + maker_yes + maker_no) AS taker_no_pct,
+ 100.0 * maker_yes / (taker_yes + taker_no + maker_yes + maker_no) AS maker_yes_pct, 100.0 * maker_no / (taker_yes + taker_no + maker_yes + maker_no) AS maker_no_pct FROM c WHERE price BETWEEN 1 AND 99""")
 def yes_vs_no_by_price(spark, sf_dir):
     all_cells = adapter.trades(spark, sf_dir).groupBy("yes_price", "side").agg(F.sum("cnt").alias("contracts"), F.count(F.lit(1)).alias("n")).withColumn("result", F.lit(""))
     p = dual(all_cells).where(F.col("price").between(1, 99)).groupBy("price")
     of = lambda r, d: F.coalesce(F.sum(F.when((F.col("role") == r) & (F.col("direction") == d), F.col("contracts"))), F.lit(0)).cast("long").alias(f"{r}_{d}")
     p = p.agg(of("taker", "yes"), of("taker", "no"), of("maker", "yes"), of("maker", "no"), F.sum("contracts").alias("total"))
-    return p.withColumn("taker_yes_pct", F.lit(100.0) * F.col("taker_yes") / F.col("total"))
+    return p.withColumns({f"{c}_pct": F.lit(100.0) * F.col(c) / F.col("total") for c in ("taker_yes", "taker_no", "maker_yes", "maker_no")})
 
 
 @query("calibration_by_bucket", """, b AS (SELECT CAST(floor(price / 10.0) * 10 AS INTEGER) AS bucket_low, count(*) AS total, CAST(sum(won) AS BIGINT) AS wins, CAST(sum(price) AS BIGINT) AS price_sum FROM positions WHERE price BETWEEN 1 AND 99 GROUP BY 1)

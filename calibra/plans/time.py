@@ -53,9 +53,9 @@ def returns_by_hour(spark, sf_dir):
     return h.agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("contracts"), F.expr("round(avg(won * 1d), 8)").alias("win_rate"), F.expr("round(avg(price / 100d), 8)").alias("implied"), F.expr("round(avg(x), 8)").alias("excess"), F.expr("round(var_samp(x), 8)").alias("var_samp"), F.expr("round(1.96d * sqrt(var_samp(x) / count(1)), 8)").alias("ci"))
 
 
-@query("vwap_by_hour", """SELECT CAST(hour(ts) AS INTEGER) AS hour_of_day, sum(cnt * price) * 1.0 / sum(cnt) AS vwap, CAST(sum(cnt) AS BIGINT) AS contracts, count(*) AS n, round(avg(price * 1.0), 8) AS mean_price, round(stddev_samp(price * 1.0), 8) AS std_price, round(stddev_samp(price * 1.0) / sqrt(count(*)), 8) AS se FROM ticks GROUP BY 1""")
+@query("vwap_by_hour", """SELECT CAST(hour(ts) AS INTEGER) AS hour_of_day, sum(cnt * price) * 1.0 / sum(cnt) AS vwap, CAST(sum(cnt) AS BIGINT) AS contracts, count(*) AS n, round(avg(price * 1.0), 8) AS mean_price, round(stddev_samp(price * 1.0), 8) AS std_price, round(stddev_samp(price * 1.0) / sqrt(count(*)), 8) AS se, round(1.96 * stddev_samp(price * 1.0) / sqrt(count(*)), 8) AS ci FROM ticks GROUP BY 1""")
 def vwap_by_hour(spark, sf_dir):
-    return adapter.ticks(spark, sf_dir).groupBy(F.hour("ts").alias("hour_of_day")).agg(F.expr("sum(cnt * price) * 1d / sum(cnt)").alias("vwap"), F.sum("cnt").alias("contracts"), F.count(F.lit(1)).alias("n"), F.expr("round(avg(price * 1d), 8)").alias("mean_price"), F.expr("round(stddev_samp(price * 1d), 8)").alias("std_price"), F.expr("round(stddev_samp(price * 1d) / sqrt(count(1)), 8)").alias("se"))
+    return adapter.ticks(spark, sf_dir).groupBy(F.hour("ts").alias("hour_of_day")).agg(F.expr("sum(cnt * price) * 1d / sum(cnt)").alias("vwap"), F.sum("cnt").alias("contracts"), F.count(F.lit(1)).alias("n"), F.expr("round(avg(price * 1d), 8)").alias("mean_price"), F.expr("round(stddev_samp(price * 1d), 8)").alias("std_price"), F.expr("round(stddev_samp(price * 1d) / sqrt(count(1)), 8)").alias("se"), F.expr("round(1.96d * stddev_samp(price * 1d) / sqrt(count(1)), 8)").alias("ci"))
 
 
 @query("local_hour_volume", "SELECT CAST(hour(((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')) AS INTEGER) AS local_hour, CAST(sum(cnt) AS BIGINT) AS contracts FROM ticks GROUP BY 1")
@@ -75,11 +75,11 @@ def trade_size_by_role(spark, sf_dir):
 
 
 @query("win_rate_by_trade_size", """, s AS (SELECT round(pow(10.0, floor(log10(greatest(cnt * price / 100.0, 0.01)) * 4) / 4.0), 8) AS size_bin, won, price, won - price / 100.0 AS x, cnt * price AS cents FROM positions)
-SELECT size_bin, count(*) AS n, CAST(sum(cents) AS BIGINT) AS volume_cents, round(avg(won * 1.0), 8) AS win_rate, round(avg(price / 100.0), 8) AS expected, round(avg(x), 8) AS excess, round(var_samp(x), 8) AS var_samp, round(sqrt(var_samp(x) / count(*)), 8) AS se FROM s GROUP BY size_bin HAVING count(*) >= 10""")
+SELECT size_bin, count(*) AS n, CAST(sum(cents) AS BIGINT) AS volume_cents, round(avg(won * 1.0), 8) AS win_rate, round(avg(price / 100.0), 8) AS expected, round(avg(x), 8) AS excess, round(var_samp(x), 8) AS var_samp, round(sqrt(var_samp(x) / count(*)), 8) AS se, round(1.96 * sqrt(var_samp(x) / count(*)), 8) AS ci FROM s GROUP BY size_bin HAVING count(*) >= 10""")
 def win_rate_by_trade_size(spark, sf_dir):
     s = joined(spark, sf_dir).selectExpr("cnt", "stack(2, CASE WHEN side = 'yes' THEN yes_price ELSE no_price END, cast(side = result AS int), CASE WHEN side = 'yes' THEN no_price ELSE yes_price END, cast(side <> result AS int)) AS (price, won)")
     s = s.withColumns({"size_bin": F.round(log_bin(F.expr("cnt * price / 100d")), 8), "x": F.expr("won - price / 100d")}).groupBy("size_bin")
-    s = s.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(cnt * price)").alias("volume_cents"), F.expr("round(avg(won * 1d), 8)").alias("win_rate"), F.expr("round(avg(price / 100d), 8)").alias("expected"), F.expr("round(avg(x), 8)").alias("excess"), F.expr("round(var_samp(x), 8)").alias("var_samp"), F.expr("round(sqrt(var_samp(x) / count(1)), 8)").alias("se"))
+    s = s.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(cnt * price)").alias("volume_cents"), F.expr("round(avg(won * 1d), 8)").alias("win_rate"), F.expr("round(avg(price / 100d), 8)").alias("expected"), F.expr("round(avg(x), 8)").alias("excess"), F.expr("round(var_samp(x), 8)").alias("var_samp"), F.expr("round(sqrt(var_samp(x) / count(1)), 8)").alias("se"), F.expr("round(1.96d * sqrt(var_samp(x) / count(1)), 8)").alias("ci"))
     return s.where("n >= 10")
 
 
