@@ -110,6 +110,14 @@ def win_rate_at_last_day(spark, sf_dir):
     return daily_grid(spark, sf_dir).groupBy("price").agg(F.max_by(F.struct("n", "w"), "dy").alias("s")).selectExpr("price", "s.n AS n", "s.w AS wins", "100d * s.w / nullif(s.n, 0) AS win_rate")
 
 
+@query("win_rate_at_day", _GRID + "SELECT price, n, w AS wins, 100.0 * w / nullif(n, 0) AS win_rate FROM grid WHERE dy = DATE '2024-01-15'")
+def win_rate_at_day(spark, sf_dir, day: str = "2024-01-15"):
+    """The latest snapshot on or before any ``day``; prices without one have no win rate. No row comes from later ticks."""
+    t = adapter.ticks(spark, sf_dir).where(F.to_date("ts") <= F.lit(day).cast("date")).groupBy("price").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind").isin("purchase", "signup")).alias("wins"))
+    s = spark.range(1, 100).selectExpr("cast(id AS int) AS price").join(t, "price", "left")
+    return s.selectExpr("price", "coalesce(n, 0L) AS n", "coalesce(wins, 0L) AS wins", "100d * wins / nullif(n, 0) AS win_rate")
+
+
 @query("calibration_mad_weekly", """, b AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS week_end, price, count(*) AS n, sum(CASE WHEN kind IN ('purchase', 'signup') THEN 1 ELSE 0 END) AS w FROM ticks GROUP BY ALL),
 weeks AS (SELECT DISTINCT week_end FROM b), prices AS (SELECT DISTINCT price FROM b),
 g AS (SELECT k.week_end, p.price, sum(b.n) OVER w AS n, sum(b.w) OVER w AS w FROM weeks k CROSS JOIN prices p LEFT JOIN b ON b.week_end = k.week_end AND b.price = p.price WINDOW w AS (PARTITION BY p.price ORDER BY k.week_end))

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import shutil
+import tarfile
 import zipfile
 from dataclasses import asdict, dataclass
 from pathlib import Path
@@ -107,3 +108,32 @@ def install(archive: str, sha256: str, members: list[str], target: str) -> None:
 
 def count_rows(spark: SparkSession, path: str) -> int:
     return spark.read.option("header", True).csv(path).count()
+
+
+def pack(folder: str, archive: str) -> str:
+    """``folder`` as a tar archive compressed with zstd, members in order of their names; gives the checksum."""
+    import zstandard
+
+    part = f"{archive}.part"
+    with open(part, "wb") as f, zstandard.ZstdCompressor().stream_writer(f) as z, tarfile.open(fileobj=z, mode="w|") as tar:
+        for p in sorted(Path(folder).rglob("*")):
+            tar.add(p, p.relative_to(folder), recursive=False)
+    os.replace(part, archive)
+    return checksum(archive)
+
+
+def unpack(archive: str, target: str) -> bool:
+    """Unpacks what pack() made, unless ``target`` exists; the target appears whole or not at all. Gives whether it did."""
+    import zstandard
+
+    if os.path.exists(target):
+        return False
+    staging = f"{target}.staging"
+    shutil.rmtree(staging, ignore_errors=True)
+    try:
+        with open(archive, "rb") as f, zstandard.ZstdDecompressor().stream_reader(f) as z, tarfile.open(fileobj=z, mode="r|") as tar:
+            tar.extractall(staging, filter="data")
+        os.rename(staging, target)
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
+    return True
