@@ -1,11 +1,11 @@
-"""The ten queries on the training-data tables, and the SQL of those that SQL can express."""
+"""The queries on the training-data tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-from calibra.llm import chat_format, line_dedup, media_columns, multi_index, packing, quality, simhash, token_counts, transducer, url_filters
+from calibra.llm import chat_format, divergence, fill_middle, line_dedup, media_columns, multi_index, packing, quality, rule_ledger, simhash, token_counts, transducer, url_filters
 from calibra.llm.common import table
 
 
@@ -32,6 +32,9 @@ QUERIES = {
     "op8_quality_classifier": op8,
     "op9_media_columns": lambda spark, sf_dir: media_columns.media_columns(table(spark, sf_dir, "documents")),
     "op10_url_filters": url_filters.op10,
+    "op11_rule_ledger": rule_ledger.op11,
+    "op12_fill_in_middle": fill_middle.op12,
+    "op13_source_divergence": divergence.op13,
 }
 
 # The first escape covers every "<|"; texts with backslashes between the two characters get one more, as the operator has it.
@@ -48,4 +51,10 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_chat_formatting": _OP1, "op10_url_filters": url_filters.ORACLE}
+ORACLE_SQL = {
+    "op1_chat_formatting": _OP1,
+    "op10_url_filters": url_filters.ORACLE,
+    "op11_rule_ledger": rule_ledger.ORACLE,
+    "op12_fill_in_middle": fill_middle.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
+}
