@@ -1,90 +1,256 @@
-"""TF-IDF, truncated SVD and average-linkage clustering of short texts."""
+"""Short texts to clusters: TF-IDF, truncated SVD, average linkage, and assignment to supported centres.
+
+What is fitted is fitted on a bounded sample; every row is then encoded, in one pass without a shuffle, and assigned to a centre
+of its family. Bounds are parameters and hold for the fit alone.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.window import Window
+
+from calibra.operators.sampling import sample_each, salt
+
+WORD = r"\b\w\w+\b"
+OVERSAMPLE = 10
+
+
+def terms_of(text: Column) -> Column:
+    """Words of two characters or more in lower case, then the pairs of neighbours; a null text has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?U)" + WORD), F.lit(0))
+    return F.transform(F.array(words), lambda w: F.concat(w, F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))[0]
+
+
+def vocabulary(df: DataFrame, text: str = "text", terms: int = 20_000, min_docs: int = 2) -> DataFrame:
+    """(term, tf, df, idf, i): the ``terms`` most frequent terms that ``min_docs`` rows have, ties by term, numbered in the order
+    of terms; idf is ln((1 + rows) / (1 + df)) + 1."""
+    each = df.select(F.monotonically_increasing_id().alias("row"), terms_of(F.col(text)).alias("terms")).select("row", F.explode_outer("terms").alias("term"))
+    counted = each.groupBy("row", "term").agg(F.count(F.lit(1)).alias("n"))  # a row without terms has one null term
+    totals = counted.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    kept = totals.where(F.col("term").isNotNull() & (F.col("df") >= min_docs)).orderBy(F.desc("tf"), "term").limit(terms)
+    placed = kept.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)  # ``terms`` rows at most
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    return placed.crossJoin(rows).select("term", "tf", "df", (F.log((1.0 + F.col("rows")) / (1.0 + F.col("df"))) + 1.0).alias("idf"), "i")  # one row on the right
 
 
-def tfidf(df: DataFrame, text: str = "text", terms: int = 20_000, min_docs: int = 2):
-    """(transform, vocabulary): one- and two-word terms, 1 + ln tf, ln((1 + n) / (1 + df)) + 1, rows of unit length."""
-    words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\b\w\w+\b", gaps=False)
-    pairs = NGram(n=2, inputCol="_w", outputCol="_p")
+@dataclass
+class Encoder:
+    """A frozen vocabulary with its weights and, once fitted, a basis: 20,000 terms by 64 columns at the bounds, some 10 MB."""
 
-    def both(x: DataFrame) -> DataFrame:
-        return pairs.transform(words.transform(x.withColumn(text, F.coalesce(text, F.lit(""))))).withColumn("_t", F.concat("_w", "_p"))
+    terms: list[str]
+    idf: np.ndarray
+    basis: np.ndarray | None = None
+    singular: np.ndarray | None = None
 
-    counted = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=terms, minDF=min_docs).fit(both(df))
-    idf = IDF(inputCol="_c", outputCol="_i").fit(counted.transform(both(df))).idf.toArray() + 1.0
+    def sparse(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of lists of terms, in order of rows; 1 + ln tf, times idf, rows of unit length."""
+        code = pc.index_in(lists.flatten(), value_set=pa.array(self.terms, pa.string()).cast(lists.type.value_type)).to_numpy(zero_copy_only=False)
+        row = pc.list_parent_indices(lists).to_numpy()
+        known = ~np.isnan(code.astype(float)) if code.dtype.kind == "f" else code >= 0
+        width = max(1, len(self.terms))
+        keys, tf = np.unique(row[known].astype(np.int64) * width + code[known].astype(np.int64), return_counts=True)
+        row, term = keys // width, keys % width
+        w = (1 + np.log(tf)) * self.idf[term]
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lists)))
+        return row, term, w / norm[row]
 
-    @F.udf("struct<indices:array<int>,values:array<double>>")
-    def weigh(v):
-        x = (1 + np.log(v.values)) * idf[v.indices]
-        norm = np.sqrt((x * x).sum()) or 1.0
-        return v.indices.tolist(), (x / norm).tolist()
+    def dense(self, lists: pa.Array, onto: np.ndarray) -> np.ndarray:
+        """The rows of the sparse matrix times ``onto``, which has a row a term."""
+        row, term, w = self.sparse(lists)
+        out = np.zeros((len(lists), onto.shape[1]))
+        if len(row):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            out[row[first]] = np.add.reduceat(w[:, None] * onto[term], first)
+        return out
 
-    return lambda x: counted.transform(both(x)).withColumn("features", weigh("_c")).drop("_w", "_p", "_t", "_c"), counted.vocabulary
+    def encode(self, df: DataFrame, text: str = "text", name: str = "vector") -> DataFrame:
+        """df with a column of unit vectors on the basis, zero where no term is known. No shuffle, batch by batch."""
+        kept = [f for f in df.schema.fields if f.name not in ("__terms", name)]
+        schema = StructType([*kept, StructField(name, ArrayType(DoubleType()))])
+        arrow = to_arrow_schema(schema)
+        mine, k = self, self.basis.shape[1]
 
+        def work(batches):
+            for batch in batches:
+                x = mine.dense(batch.column("__terms"), mine.basis)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norm == 0, 1, norm)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(x) + 1) * k, k), pa.int32()), pa.array(x.ravel()))
+                columns = [batch.column(f.name).cast(arrow.field(f.name).type) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, vectors.cast(arrow.field(name).type)], schema=arrow)
 
-def svd(features: DataFrame, size: int, dims: int = 64):
-    """Projection onto at most ``dims`` right singular vectors (uncentred); rows of unit length."""
-    n = features.count()
+        return df.select(*[f.name for f in kept], terms_of(F.col(text)).alias("__terms")).mapInArrow(work, schema)
+
+
+def fit_vocabulary(sample: DataFrame, text: str = "text", terms: int = 20_000, min_docs: int = 2) -> Encoder:
+    rows = vocabulary(sample, text, terms, min_docs).select("term", "idf", "i").toPandas().sort_values("i")  # ``terms`` rows at most
+    return Encoder(rows["term"].tolist(), rows["idf"].to_numpy())
+
+
+def fit_svd(encoder: Encoder, sample: DataFrame, text: str = "text", dims: int = 64, rounds: int = 6, seed: int = 42) -> Encoder:
+    """The encoder with the leading right singular vectors of the sample's TF-IDF matrix (uncentred), by randomised subspace iteration.
+
+    In a round each task multiplies its rows by the subspace and adds their outer products up; Spark sums the parts by
+    term. The driver holds a matrix of terms by dimensions, orthonormalises it and sends it out for the next round. A
+    Rayleigh-Ritz step at the end turns the subspace to singular vectors. The dimensions are ``dims`` at most, and fewer than terms and rows.
+    """
+    n, size = sample.count(), len(encoder.terms)
     k = min(dims, size - 1, n - 1)
     if k < 2:
         raise ValueError("too few texts or terms for two dimensions")
-    rows = features.select("features").rdd.map(lambda r: OldVectors.sparse(size, r[0].indices, r[0].values))
-    v = RowMatrix(rows).computeSVD(k).V.toArray()
+    width = min(size, k + OVERSAMPLE)
+    lists = sample.select(terms_of(F.col(text)).alias("__terms")).persist()
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    names = [f"z{j}" for j in range(width)]
+    ddl = "i long, " + ", ".join(f"{c} double" for c in names)
 
-    def project(batches):
-        for pdf in batches:
-            x = np.array([np.asarray(f["values"]) @ v[np.asarray(f["indices"], dtype=int)] if len(f["indices"]) else np.zeros(k) for f in pdf["features"]]).reshape(-1, k)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            yield pdf.drop(columns="features").assign(vector=list(x / np.where(norm == 0, 1, norm)))
+    def gram(basis: np.ndarray) -> np.ndarray:
+        """A'A times the basis, A the sample's matrix."""
 
-    def transform(df: DataFrame) -> DataFrame:
-        kept = [c for c in df.columns if c != "features"]
-        ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-        return df.mapInPandas(project, f"{ddl}, vector array<double>")
+        def work(batches):
+            total, seen = np.zeros(basis.shape), np.zeros(len(basis), dtype=bool)
+            for batch in batches:
+                row, term, w = encoder.sparse(batch.column(0))
+                y = encoder.dense(batch.column(0), basis)
+                np.add.at(total, term, w[:, None] * y[row])
+                seen[term] = True
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(total[at, j]) for j in range(basis.shape[1])]], names=["i", *names])
 
-    return transform
+        out = np.zeros(basis.shape)
+        parts = lists.mapInArrow(work, ddl).groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # a row a term
+        out[parts["i"].to_numpy(dtype=int)] = parts[names].to_numpy()
+        return out
+
+    try:
+        for _ in range(rounds):
+            basis = np.linalg.qr(gram(basis))[0]
+        values, turn = np.linalg.eigh(basis.T @ gram(basis))
+    finally:
+        lists.unpersist()
+    order = np.argsort(values)[::-1][:k]
+    return Encoder(encoder.terms, encoder.idf, basis @ turn[:, order], np.sqrt(np.maximum(values[order], 0)))
 
 
 def average_linkage(x: np.ndarray, distance: float = 0.35) -> np.ndarray:
-    """Labels of agglomerative clustering by mean cosine distance, merged until none is under ``distance``."""
+    """Labels of agglomerative clustering of unit rows by mean cosine distance; clusters ``distance`` or more apart stay apart.
+
+    Nearest-neighbour chains: average linkage never gets nearer by a merge, so mutual nearest neighbours can be merged in
+    any order and the cut made afterwards; quadratic in the rows. Labels are numbered by each cluster's first row.
+    """
     n = len(x)
-    label = np.arange(n)
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    while n > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] > distance:
-            break
-        i, j = min(i, j), max(i, j)
+    size, alive = np.ones(n), np.ones(n, dtype=bool)
+    chain: list[int] = []
+    label = np.arange(n)
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    merges = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            i = chain[-1]
+            j = int(np.argmin(d[i]))
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        merges.append((i, j, d[i, j]))
         merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = d[j] = d[:, j] = np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+        d[j], d[:, j] = merged, merged
+        d[j, j] = d[i] = d[:, i] = np.inf
+        alive[i] = False
+        size[j] += size[i]
+    # a merge joins the clusters whose representatives were i and j; a representative stays a member of its cluster
+    for i, j, height in merges:
+        if height < distance:
+            a, b = root(i), root(j)
+            label[max(a, b)] = min(a, b)
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
 
 
-def family_clusters(vectors: DataFrame, most: int = 1000) -> DataFrame:
-    """vectors (id, family, vector) -> (id, family, cluster): the first ``most`` of each family by hash of their id.
+def family_centres(vectors: DataFrame, key: str = "id", most: int = 1000, distance: float = 0.35, seed: int = 42) -> DataFrame:
+    """vectors (key, family, vector) -> (family, cluster, centre, members): unit mean vectors of the clusters of each family.
 
-    The bound is the operation's own: average linkage is cubic in a family's size.
+    Clusters are made of the ``most`` rows of a family with the smallest seeded hash, those with a zero vector left out; a
+    family with fewer than two such rows has none. Every row finds its centre later, by ``nearest_centres``.
     """
-    from pyspark.sql.window import Window
-
-    held = vectors.withColumn("_k", F.row_number().over(Window.partitionBy("family").orderBy(F.sha2(F.col("id").cast("string"), 256)))).where(F.col("_k") <= most).drop("_k")
+    held = sample_each(vectors.select(key, "family", "vector"), "family", key, most, seed)
+    known = held.where(F.exists("vector", lambda v: v != 0))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pdf[["id", "family"]].assign(cluster=average_linkage(np.stack(pdf["vector"].to_list())))
+        pdf = pdf.sort_values(key)
+        found = []
+        x = np.stack(pdf["vector"].to_list())
+        label = average_linkage(x, distance)
+        for k in range(label.max() + 1 if len(x) > 1 else 0):
+            mean = x[label == k].mean(axis=0)
+            found.append((pdf["family"].iloc[0], k, mean / (np.linalg.norm(mean) or 1), int((label == k).sum())))
+        return pd.DataFrame(found, columns=["family", "cluster", "centre", "members"])
+
+    return known.groupBy("family").applyInPandas(cluster, "family string, cluster int, centre array<double>, members long")
+
 
-    return held.groupBy("family").applyInPandas(cluster, f"id {vectors.schema['id'].dataType.simpleString()}, family string, cluster long")
+def nearest_centres(vectors: DataFrame, centres: DataFrame, key: str = "id", rows: int = 50_000) -> DataFrame:
+    """vectors, all of them, with cluster and similarity of the most similar centre of their family, ties to the smaller cluster;
+    both null where the family has no centre.
+
+    A family's rows are dealt over tasks of about ``rows``, each of which gets the family's centres (1,000 at most).
+    """
+    parts = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts")
+    sizes = vectors.groupBy("family").agg(parts)
+    dealt = vectors.join(sizes, "family").withColumn("part", salt(F.col(key), F.col("parts"))).drop("parts")
+    spread = centres.join(sizes, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", "part", "cluster", "centre")
+    kept = [f for f in vectors.schema.fields if f.name not in ("cluster", "similarity")]
+    schema = StructType([*kept, *StructType.fromDDL("cluster int, similarity double").fields])
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[[f.name for f in kept]].copy()
+        if not len(right) or not len(left):
+            return out.assign(cluster=pd.array([None] * len(out), dtype="Int32"), similarity=np.nan if len(out) else pd.Series(dtype=float))
+        right = right.sort_values("cluster")
+        scores = np.stack(left["vector"].to_list()) @ np.stack(right["centre"].to_list()).T
+        best = scores.argmax(axis=1)
+        return out.assign(cluster=pd.array(right["cluster"].to_numpy()[best], dtype="Int32"), similarity=scores[np.arange(len(best)), best])
+
+    found = dealt.groupBy("family", "part").cogroup(spread.groupBy("family", "part")).applyInPandas(assign, schema)
+    return found.withColumn("similarity", F.when(F.col("cluster").isNotNull(), F.col("similarity")))
+
+
+def assignments(nearest: DataFrame, event: str = "event_id", least: float = 0.75, contracts: int = 20, events: int = 10) -> DataFrame:
+    """nearest (family, split, event, cluster, similarity, ...) -> the same with status, and cluster only where status is 'assigned'.
+
+    A cluster has support if ``contracts`` training rows of ``events`` events are ``least`` similar to it. unseen_family: no
+    training row has the family; insufficient_training_support: no centre, or a similar one without support; distant: no centre ``least`` similar.
+    """
+    train = F.col("split") == "train"
+    seen = nearest.where(train).select("family").distinct().withColumn("__seen", F.lit(True))
+    close = nearest.where(train & (F.col("similarity") >= least)).groupBy("family", "cluster")
+    support = close.agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(event).alias("__e")).where((F.col("__n") >= contracts) & (F.col("__e") >= events)).select("family", "cluster", F.lit(True).alias("__supported"))
+    known = nearest.join(seen, "family", "left").join(support, ["family", "cluster"], "left")
+    status = (
+        F.when(F.col("__seen").isNull(), "unseen_family")
+        .when(F.col("cluster").isNull(), "insufficient_training_support")
+        .when(F.col("similarity") < least, "distant")
+        .when(F.col("__supported").isNull(), "insufficient_training_support")
+        .otherwise("assigned")
+    )
+    named = known.withColumn("status", status)
+    label = F.when(F.col("status") == "assigned", F.concat("family", F.lit("/"), F.lpad(F.col("cluster").cast("string"), 3, "0")))
+    return named.select(*[c for c in nearest.columns if c not in ("cluster", "similarity", "vector")], label.alias("cluster"), F.when(F.col("__seen"), F.col("similarity")).alias("similarity"), "status")

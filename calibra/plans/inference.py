@@ -1,13 +1,12 @@
-"""Hypothesis tests, clustered errors, text rules, vectors and models."""
+"""Hypothesis tests, clustered errors, text rules and vectors."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from calibra.functions.buckets import equal_width
 from calibra.functions.stats import normal_upper, student_two_sided
 from calibra.operators.positions import cells, dual, joined, positions
+from calibra.operators.resample import resampled_sums
 from calibra.plans.base import query
 from calibra.plans.market import customers, splits
 from calibra.sources import adapter
@@ -122,24 +121,11 @@ query("clustered_se_event", _clustered("event_id"))(lambda spark, sf_dir: cluste
 
 @query("event_bootstrap")
 def event_bootstrap(spark, sf_dir, repetitions: int = 2000, seed: int = 340):
-    """Percentile interval of the loss difference under resampling of whole events.
-
-    In each repetition an event counts as often as a Poisson number of mean 1 says, which is what drawing as many events
-    as there are comes to for many events. An event's numbers are seeded by its own hash, so results don't depend on
-    partitions; each task sends one row of sums a repetition.
-    """
+    """Percentile interval of the loss difference of the price and the constant 0.5 when whole events are drawn again; see
+    model_comparison for two models on held-out events."""
     loss = {"base": "sum(contracts * pow(won - price / 100d, 2d))", "flat": "sum(contracts * pow(won - 0.5d, 2d))"}
-    e = positions(spark, sf_dir, "event_id").groupBy("event_id").agg(*[F.expr(x).alias(k) for k, x in loss.items()], F.sum("contracts").cast("double").alias("w")).withColumn("h", F.expr("xxhash64(event_id)"))
-
-    def draw(batches):
-        total = np.zeros((repetitions, 3))
-        for pdf in batches:
-            for h, *x in pdf[["h", "base", "flat", "w"]].itertuples(index=False):
-                times = np.random.default_rng([seed, int(h) & (1 << 64) - 1]).poisson(1.0, repetitions)
-                total += times[:, None] * np.array(x)
-        yield pd.DataFrame({"rep": np.arange(repetitions), "base": total[:, 0], "flat": total[:, 1], "w": total[:, 2]})
-
-    d = e.select("h", "base", "flat", "w").mapInPandas(draw, "rep long, base double, flat double, w double").groupBy("rep").agg(F.expr("(sum(base) - sum(flat)) / sum(w)").alias("d"))
+    e = positions(spark, sf_dir, "event_id").groupBy("event_id").agg(*[F.expr(x).alias(k) for k, x in loss.items()], F.sum("contracts").alias("w"))
+    d = resampled_sums(e, "event_id", ["base", "flat", "w"], repetitions, seed).select(((F.col("base") - F.col("flat")) / F.col("w")).alias("d"))
     return d.agg(F.expr("percentile(d, 0.025d)").alias("low"), F.expr("percentile(d, 0.975d)").alias("high"), F.avg("d").alias("mean"), F.count(F.lit(1)).alias("repetitions"))
 
 
@@ -200,35 +186,3 @@ def nearest_centre(spark, sf_dir, least: float = 0.3):
     dot = F.transform("cs", lambda s: F.struct(F.aggregate(F.zip_with("v", s["c"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("sim"), s["label"].alias("label")))
     best = F.array_max(dot)
     return e.select("vec_id", "label", best["label"].alias("nearest"), F.round(best["sim"], 6).alias("similarity"), F.when(best["sim"] >= least, "assigned").otherwise("distant").alias("status"))
-
-
-@query("ridge_scores")
-def ridge_scores(spark, sf_dir, alphas: tuple = (0.1, 1.0, 10.0, 100.0)):
-    """Weighted ridge on the price residual over p, p^2, p^3 and segment; alpha by validation Brier, the smaller wins ties.
-
-    The design is sums over (segment, price, outcome, split) cells: the normal equations come from at most 99 prices by
-    the number of segments, and are solved on the driver.
-    """
-    c = joined(spark, sf_dir).groupBy("ticker", "event_id", "result", "yes_price").agg(F.sum("cnt").alias("w"))
-    c = c.join(splits(spark, sf_dir).select("ticker", "split"), "ticker").join(customers(spark, sf_dir).select("event_id", "segment"), "event_id")
-    cell = c.groupBy("split", "segment", "yes_price", "result").agg(F.sum("w").alias("w")).toPandas()  # 3 x segments x 99 x 2 rows at most
-    names = sorted(cell["segment"].unique())
-    p = cell["yes_price"].to_numpy() / 100
-    y, w, split = (cell["result"] == "yes").to_numpy().astype(float), cell["w"].to_numpy().astype(float), cell["split"].to_numpy()
-    x = np.stack([p, p**2, p**3], axis=1)
-    train = split == "train"
-    wt = w[train] / w[train].mean()
-    mean = np.average(x[train], axis=0, weights=wt)
-    x = (x - mean) / np.sqrt(np.average((x[train] - mean) ** 2, axis=0, weights=wt))
-    x = np.column_stack([x, *[(cell["segment"] == n).to_numpy().astype(float) for n in names]])
-    mx, my = np.average(x[train], axis=0, weights=wt), np.average((y - p)[train], weights=wt)
-    best = None
-    for alpha in alphas:
-        xc = x[train] - mx
-        beta = np.linalg.solve(xc.T @ (xc * wt[:, None]) + alpha * np.eye(x.shape[1]), xc.T @ (wt * ((y - p)[train] - my)))
-        q = np.clip(p + my + (x - mx) @ beta, 0, 1)
-        brier = {s: float(np.average((q - y)[split == s] ** 2, weights=w[split == s])) for s in ("train", "validation", "test")}
-        if best is None or brier["validation"] < best[1]["validation"]:
-            best = (alpha, brier)
-    raw = {s: float(np.average((p - y)[split == s] ** 2, weights=w[split == s])) for s in best[1]}
-    return spark.createDataFrame([(s, best[0], best[1][s], raw[s]) for s in best[1]], "split string, alpha double, model_brier double, market_brier double")

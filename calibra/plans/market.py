@@ -106,10 +106,20 @@ def duplicate_audit(spark, sf_dir):
     return m.crossJoin(adapter.ticks(spark, sf_dir).agg((F.count(F.lit(1)) - F.countDistinct("trade_id")).alias("duplicate_ticks")))
 
 
+def bucket_of(event, ticker):
+    return portable_bucket(F.concat(F.lit("340:"), F.coalesce(event, ticker).cast("string")))
+
+
+def split_of(event, ticker):
+    """The split of an event: train (70), test (20), validation (10) by a portable hash."""
+    b = bucket_of(event, ticker)
+    return F.when(b < 70, "train").when(b < 90, "test").otherwise("validation")
+
+
 def splits(spark, sf_dir):
-    """Events by a portable hash to train (70), test (20), validation (10): an event's markets stay together."""
-    b = portable_bucket(F.concat(F.lit("340:"), F.coalesce(F.col("event_id"), F.col("ticker")).cast("string")))
-    return adapter.markets(spark, sf_dir).withColumn("bucket", b).withColumn("split", F.when(F.col("bucket") < 70, "train").when(F.col("bucket") < 90, "test").otherwise("validation"))
+    """Markets with the split of their event: an event's markets stay together."""
+    m = adapter.markets(spark, sf_dir).withColumn("bucket", bucket_of(F.col("event_id"), F.col("ticker")))
+    return m.withColumn("split", F.when(F.col("bucket") < 70, "train").when(F.col("bucket") < 90, "test").otherwise("validation"))
 
 
 _SPLIT = """, split AS (SELECT *, CAST(CAST('0x' || substr(md5('340:' || coalesce(event_id, ticker)), 1, 8) AS BIGINT) % 100 AS INTEGER) AS bucket FROM markets),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from calibra.functions import buckets as b
 from calibra.functions import stats as st
 from calibra.operators.positions import cells, dual
-from calibra.operators.text import average_linkage, family_clusters, svd, tfidf
 from calibra.sources import readers as r
 from calibra.sources import sinks as s
 from calibra.streaming import ingest as i
@@ -117,17 +116,6 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sum(x.n for x in days) == events.count() + 50
 
 
-def test_text_clusters(spark):
-    texts = ["red apple pie", "red apple tart", "blue ocean wave", "blue ocean tide", "red apple pie crust", "blue ocean"]
-    df = spark.createDataFrame([(k, "f", t) for k, t in enumerate(texts)], "id long, family string, text string")
-    transform, vocabulary = tfidf(df)
-    features = transform(df).drop("text")
-    vectors = svd(features, len(vocabulary), 3)(features)
-    got = {x.id: x.cluster for x in family_clusters(vectors).collect()}
-    assert got[0] == got[1] == got[4] and got[2] == got[3] == got[5] and got[0] != got[2]
-    assert average_linkage(np.eye(3)).tolist() == [0, 1, 2]
-
-
 def test_inferred_csv(spark, tmp_path):
     from calibra.sources.readers import inferred_csv
 
