@@ -136,7 +136,7 @@ a AS (SELECT scope, w, sq FROM s UNION ALL SELECT 'all', sum(w), sum(sq) FROM s)
 def brier_top_markets(spark, sf_dir, k: int = 25):
     """Brier score of the k most traded markets, of the rest, and of all; the two parts add up to all."""
     m = joined(spark, sf_dir).groupBy("ticker").agg(F.sum("cnt").alias("w"), F.expr("cast(sum(cnt * (100 * cast(result = 'yes' AS int) - yes_price) * (100 * cast(result = 'yes' AS int) - yes_price)) AS bigint)").alias("sq"))
-    top = m.orderBy(F.desc("w"), "ticker").limit(k).select("ticker", F.lit(True).alias("top"))
-    s = m.join(F.broadcast(top), "ticker", "left")  # k rows
-    s = s.rollup(F.when(F.col("top"), "top").otherwise("rest").alias("scope")).agg(F.sum("w").alias("w"), F.sum("sq").alias("sq"))
-    return s.selectExpr("coalesce(scope, 'all') AS scope", "w", "sq / (10000d * w) AS brier")
+    top = m.orderBy(F.desc("w"), "ticker").limit(k).agg(F.sum("w").alias("tw"), F.sum("sq").alias("tsq"))
+    both = m.agg(F.sum("w").alias("w"), F.sum("sq").alias("sq")).crossJoin(top)  # one row each, of the same aggregate
+    s = both.selectExpr("stack(3, 'top', tw, tsq, 'rest', w - tw, sq - tsq, 'all', w, sq) AS (scope, w, sq)").where("w > 0")
+    return s.selectExpr("scope", "w", "sq / (10000d * w) AS brier")

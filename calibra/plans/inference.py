@@ -79,7 +79,7 @@ def correlations(spark, sf_dir):
     t = joined(spark, sf_dir).selectExpr("cnt", "stack(2, CASE WHEN side = 'yes' THEN yes_price ELSE no_price END, cast(side = result AS int), CASE WHEN side = 'yes' THEN no_price ELSE yes_price END, cast(side <> result AS int)) AS (price, won)")
     c = t.groupBy("price", "cnt", "won").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.expr("(100 * won - price) * 1d"))
     rank = lambda k: c.groupBy(k).agg(F.sum("n").alias("m")).select(k, (F.sum("m").over(Window.orderBy(k)) - F.col("m") + (F.col("m") + 1) / F.lit(2.0)).alias(f"r_{k}"))
-    c = c.join(rank("price"), "price").join(rank("cnt"), "cnt")
+    c = c.join(rank("price"), "price", "left").join(rank("cnt"), "cnt", "left")  # left: no null filters on one side alone, so the cells' shuffle is shared
     moments = lambda a, b: f"(sum(n * {a} * {b}) * sum(n) - sum(n * {a}) * sum(n * {b})) / (sqrt(sum(n * {a} * {a}) * sum(n) - pow(sum(n * {a}), 2d)) * sqrt(sum(n * {b} * {b}) * sum(n) - pow(sum(n * {b}), 2d)))"
     c = c.selectExpr("cast(n AS double) AS n", "cast(price AS double) AS p", "cast(cnt AS double) AS s", "x", "r_price / 1e3d AS rp", "r_cnt / 1e3d AS rc")
     return c.agg(F.expr(f"round({moments('p', 's')}, 7)").alias("pearson_price_size"), F.expr(f"round({moments('s', 'x')}, 7)").alias("pearson_size_return"), F.expr(f"round({moments('rp', 'rc')}, 7)").alias("spearman_price_size"), F.expr("cast(sum(n) AS bigint)").alias("n"))
@@ -100,13 +100,15 @@ def binned_fit(spark, sf_dir):
 
 
 def clustered(spark, sf_dir, key):
-    """Paired maker less taker mispricing, with the error of influence sums by cluster."""
-    c = dual(cells(joined(spark, sf_dir), key), key).groupBy(key, "role").agg(F.expr("sum(contracts)").alias("w"), F.expr("sum(contracts * (100 * won - price))").alias("s"))
-    wide = c.groupBy(key).pivot("role", ["maker", "taker"]).agg(F.first("w").alias("w"), F.first("s").alias("s")).na.fill(0)
-    t = wide.agg(*[F.sum(x).cast("double").alias(f"t_{x}") for x in ("maker_w", "maker_s", "taker_w", "taker_s")])
-    j = wide.crossJoin(F.broadcast(t)).selectExpr("*", "t_maker_s / t_maker_w AS mm", "t_taker_s / t_taker_w AS mt")  # one row of totals
-    i = j.selectExpr("mm", "mt", "(maker_s - maker_w * mm) / t_maker_w - (taker_s - taker_w * mt) / t_taker_w AS influence")
-    return i.groupBy("mm", "mt").agg(F.count(F.lit(1)).alias("clusters"), F.expr("sum(influence * influence)").alias("ss")).selectExpr("clusters", "round(mm, 8) AS maker", "round(mt, 8) AS taker", "round(mm - mt, 8) AS gap", "round(sqrt(clusters / (clusters - 1d) * ss), 8) AS se")
+    """Paired maker less taker mispricing, with the error of influence sums by cluster.
+
+    A maker has what its taker loses, on as many contracts: the taker's sums by cluster give both sides.
+    """
+    won = F.expr("100 * cast(side = result AS int) - CASE WHEN side = 'yes' THEN yes_price ELSE no_price END")
+    c = joined(spark, sf_dir).groupBy(key).agg(F.sum("cnt").alias("w"), F.sum(F.col("cnt") * won).alias("s"))
+    t = c.agg(F.sum("w").cast("double").alias("tw"), F.sum("s").cast("double").alias("ts"))
+    j = c.crossJoin(F.broadcast(t)).selectExpr("ts / tw AS mt", "2d * (s - w * (ts / tw)) / tw AS influence")  # one row of totals
+    return j.groupBy("mt").agg(F.count(F.lit(1)).alias("clusters"), F.expr("sum(influence * influence)").alias("ss")).selectExpr("clusters", "round(-mt, 8) AS maker", "round(mt, 8) AS taker", "round(-2 * mt, 8) AS gap", "round(sqrt(clusters / (clusters - 1d) * ss), 8) AS se")
 
 
 def _clustered(key: str) -> str:

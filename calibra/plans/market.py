@@ -3,14 +3,15 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from calibra.functions.buckets import first_rule, leading_category, portable_bucket, seeded_order
-from calibra.operators.positions import cells, dual, joined, positions
+from calibra.functions.buckets import leading_category, portable_bucket, seeded_order
+from calibra.operators.positions import joined, positions
+from calibra.operators.rules import RuleTable
 from calibra.plans.base import query
 from calibra.sources import adapter
 from calibra.sources.adapter import table
 
 #: Our own small rule set, by segment; the first pattern found counts.
-RULES = [("AUTO", "Industry"), ("MACHIN", "Industry"), ("BUILD", "Property"), ("HOUSE", "Property")]
+RULES = RuleTable([("AUTO", "Industry"), ("MACHIN", "Industry"), ("BUILD", "Property"), ("HOUSE", "Property")], ("grp",))
 _RULE = "CASE WHEN upper({0}) LIKE '%AUTO%' THEN 'Industry' WHEN upper({0}) LIKE '%MACHIN%' THEN 'Industry' WHEN upper({0}) LIKE '%BUILD%' THEN 'Property' WHEN upper({0}) LIKE '%HOUSE%' THEN 'Property' ELSE 'Other' END"
 
 
@@ -25,13 +26,16 @@ def customers(spark, sf_dir):
 g AS (SELECT category, {_RULE.format('category')} AS grp, role, sum(cnt) AS w, sum(cnt * (100 * won - price)) AS cents, count(*) AS n, sum(cnt * price) AS vol FROM c GROUP BY ALL)
 SELECT grp, sum(cents) FILTER (role = 'taker') * 1.0 / sum(w) FILTER (role = 'taker') AS taker_excess, sum(cents) FILTER (role = 'maker') * 1.0 / sum(w) FILTER (role = 'maker') AS maker_excess, CAST(sum(n) AS BIGINT) AS n, CAST(sum(vol) AS BIGINT) AS volume_cents, CAST(sum(cents) FILTER (role = 'taker') AS BIGINT) AS taker_pnl FROM g GROUP BY grp""")
 def category_returns(spark, sf_dir):
-    """Cells by event first, then categories on the few events, then groups: rules never run on trades."""
-    by_event = dual(cells(joined(spark, sf_dir), "event_id"), "event_id").groupBy("event_id", "role").agg(F.sum("contracts").alias("w"), F.expr("sum(contracts * (100 * won - price))").alias("cents"), F.sum("n").alias("n"), F.expr("sum(contracts * price)").alias("vol"))
+    """Sums by event in the pass that joins, then categories of the few events, then groups of the distinct categories.
+
+    A maker has what its taker loses, and a trade's two prices add up to 100: the taker's sums give both sides.
+    """
+    won = F.expr("100 * cast(side = result AS int) - CASE WHEN side = 'yes' THEN yes_price ELSE no_price END")
+    e = joined(spark, sf_dir).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("w"), F.sum(F.col("cnt") * won).alias("cents"))
     k = customers(spark, sf_dir).select("event_id", leading_category(F.col("event_ticker")).alias("category"))
-    g = by_event.join(k, "event_id").groupBy("category", "role").agg(*[F.sum(c).alias(c) for c in ("w", "cents", "n", "vol")])
-    g = g.withColumn("grp", first_rule(F.col("category"), RULES, F.lit("Other"))).groupBy("grp")
-    of = lambda role, c: F.sum(F.when(F.col("role") == role, F.col(c)))
-    return g.agg((of("taker", "cents") * F.lit(1.0) / of("taker", "w")).alias("taker_excess"), (of("maker", "cents") * F.lit(1.0) / of("maker", "w")).alias("maker_excess"), F.sum("n").alias("n"), F.sum("vol").alias("volume_cents"), of("taker", "cents").alias("taker_pnl"))
+    c = e.join(k, "event_id").groupBy("category").agg(*[F.sum(x).alias(x) for x in ("n", "w", "cents")])
+    g = RULES.classify(c, "category").groupBy("grp").agg(*[F.sum(x).alias(x) for x in ("n", "w", "cents")])
+    return g.selectExpr("grp", "cents * 1d / w AS taker_excess", "-cents * 1d / w AS maker_excess", "2 * n AS n", "100 * w AS volume_cents", "cents AS taker_pnl")
 
 
 @query("category_tree", """SELECT r_name, n_name, segment, count(*) AS market_count, CAST(sum(CAST(round(volume * 100) AS BIGINT)) AS BIGINT) AS volume_cents, CAST(grouping(r_name) + grouping(n_name) + grouping(segment) AS INTEGER) AS depth FROM markets JOIN customers USING (event_id) GROUP BY ROLLUP (r_name, n_name, segment)""")
@@ -40,6 +44,84 @@ def category_tree(spark, sf_dir):
     return m.rollup("r_name", "n_name", "segment").agg(F.count(F.lit(1)).alias("market_count"), F.expr("sum(cast(round(volume * 100) AS bigint))").alias("volume_cents"), (F.grouping("r_name").cast("int") + F.grouping("n_name").cast("int") + F.grouping("segment").cast("int")).alias("depth"))
 
 
+def series_events(spark, sf_dir):
+    """Events with a finer series: segment, nation and one of 40 lists, as in MACHINERYN7P31-1231."""
+    c = table(spark, sf_dir, "customer")
+    return c.selectExpr("c_custkey AS event_id", "upper(c_mktsegment) || 'N' || c_nationkey || 'P' || c_custkey % 40 || '-' || c_custkey AS event_ticker")
+
+
+def series_rules(spark, sf_dir) -> RuleTable:
+    """Rules made of the tables: each segment of nations 0 to 19, what is left of nations 0 to 21, one segment elsewhere.
+
+    A longer pattern comes before one that it holds; nations 22 to 24 have no other rule.
+    """
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nations = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+    segments = table(spark, sf_dir, "customer").selectExpr("upper(c_mktsegment) AS segment").distinct()
+    fine = nations.where("n_nationkey < 20").join(segments)  # five segments
+    rules = fine.selectExpr("1 AS tier", "segment || 'N' || n_nationkey || 'P' AS pattern", "r_name AS grp", "n_name AS mid", "initcap(segment) AS sub")
+    rules = rules.union(nations.where("n_nationkey < 22").selectExpr("2", "'N' || n_nationkey || 'P'", "r_name", "n_name", "'Rest of ' || n_name"))
+    rules = rules.union(spark.sql("SELECT 3, 'HOUSEHOLD', 'Household', 'Household', 'Household'"))
+    return RuleTable.read(rules, ("grp", "mid", "sub"), priority="tier")
+
+
+def pruned_tree(leaves, least: float = 0.01):
+    """leaves (grp, mid, sub, volume, n) -> (depth, grp, mid, sub, volume, n, children): the tree, without nodes under ``least`` of their parent.
+
+    A node that goes takes what is below it along; parents keep their volume. A single child of its parent's name is
+    left out, as its parent says the same. Windows over the few nodes of a parent, not a pass a level.
+    """
+    volume = F.sum("volume").alias("volume")
+    sub = leaves.groupBy("grp", "mid", "sub").agg(volume, F.sum("n").alias("n"))
+    of_mid, of_grp = Window.partitionBy("grp", "mid"), Window.partitionBy("grp")
+    sub = sub.withColumns({"v2": F.sum("volume").over(of_mid), "n2": F.sum("n").over(of_mid), "v1": F.sum("volume").over(of_grp), "n1": F.sum("n").over(of_grp)})
+    sub = sub.withColumns({"keep2": F.col("v2") >= least * F.col("v1"), "keep3": F.col("volume") >= least * F.col("v2")})
+    kids = F.count_if("keep3").over(of_mid)
+    sub = sub.withColumn("kids", F.when((kids == 1) & (F.max(F.when(F.col("keep3"), F.col("sub"))).over(of_mid) == F.col("mid")), 0).otherwise(kids))
+    mids = sub.groupBy("grp", "mid", "v1", "n1", "v2", "n2", "keep2", "kids").agg(F.lit(1))
+    groups = mids.groupBy("grp", "v1", "n1").agg(F.count_if("keep2").alias("kids"))
+    none = F.lit(None).cast("string")
+    out = groups.select(F.lit(1).alias("depth"), "grp", none.alias("mid"), none.alias("sub"), F.col("v1").alias("volume"), F.col("n1").alias("n"), F.col("kids").alias("children"))
+    out = out.union(mids.where("keep2").select(F.lit(2), "grp", "mid", none, "v2", "n2", "kids"))
+    return out.union(sub.where("keep2 AND keep3 AND kids > 0").select(F.lit(3), "grp", "mid", "sub", "volume", "n", F.lit(0).cast("long")))
+
+
+_RULED = """, series AS (SELECT c_custkey AS event_id, regexp_extract(upper(c_mktsegment) || 'N' || c_nationkey || 'P' || c_custkey % 40 || '-' || c_custkey, '^([A-Z0-9]+)', 1) AS category FROM customer),
+rules AS (SELECT DISTINCT 1 AS tier, upper(c_mktsegment) || 'N' || n_nationkey || 'P' AS pattern, r_name AS grp, n_name AS mid, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS sub FROM customer, nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20
+  UNION ALL SELECT 2, 'N' || n_nationkey || 'P', r_name, n_name, 'Rest of ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 22
+  UNION ALL SELECT 3, 'HOUSEHOLD', 'Household', 'Household', 'Household'),
+v AS (SELECT category, sum(CAST(round(volume * 100) AS BIGINT)) AS volume, count(*) AS n FROM markets JOIN series USING (event_id) GROUP BY category),
+h AS (SELECT v.*, r.grp, r.mid, r.sub, row_number() OVER (PARTITION BY v.category ORDER BY r.tier, r.pattern) AS nth FROM v LEFT JOIN rules r ON contains(v.category, r.pattern)),
+l AS (SELECT category, coalesce(grp, 'Other') AS grp, coalesce(mid, 'Other') AS mid, coalesce(sub, category) AS sub, volume, n FROM h WHERE nth = 1)
+"""
+
+
+def ruled_categories(spark, sf_dir):
+    """Volume and markets of each series, with its group, category and subcategory."""
+    by_event = adapter.markets(spark, sf_dir).groupBy("event_id").agg(F.expr("sum(cast(round(volume * 100) AS bigint))").alias("volume"), F.count(F.lit(1)).alias("n"))
+    k = series_events(spark, sf_dir).select("event_id", leading_category(F.col("event_ticker")).alias("category"))
+    v = by_event.join(k, "event_id").groupBy("category").agg(F.sum("volume").alias("volume"), F.sum("n").alias("n"))
+    return series_rules(spark, sf_dir).classify(v, "category")
+
+
+@query("category_hierarchy", _RULED + "SELECT category, grp, mid, sub, CAST(volume AS BIGINT) AS volume_cents, n AS markets FROM l")
+def category_hierarchy(spark, sf_dir):
+    return ruled_categories(spark, sf_dir).select("category", "grp", "mid", "sub", F.col("volume").alias("volume_cents"), F.col("n").alias("markets"))
+
+
+@query("category_treemap", _RULED + """, s AS (SELECT grp, mid, sub, sum(volume) AS volume, sum(n) AS n FROM l GROUP BY ALL),
+m AS (SELECT grp, mid, sum(volume) AS volume, sum(n) AS n FROM l GROUP BY ALL), g AS (SELECT grp, sum(volume) AS volume, sum(n) AS n FROM l GROUP BY ALL),
+km AS (SELECT m.* FROM m JOIN g USING (grp) WHERE m.volume >= 0.01 * g.volume),
+ks AS (SELECT s.* FROM s JOIN km ON km.grp = s.grp AND km.mid = s.mid WHERE s.volume >= 0.01 * km.volume),
+c AS (SELECT grp, mid, CASE WHEN count(*) = 1 AND max(sub) = mid THEN 0 ELSE count(*) END AS kids FROM ks GROUP BY grp, mid)
+SELECT 1 AS depth, g.grp, NULL AS mid, NULL AS sub, CAST(g.volume AS BIGINT) AS volume_cents, CAST(g.n AS BIGINT) AS markets, (SELECT count(*) FROM km WHERE km.grp = g.grp) AS children FROM g
+UNION ALL SELECT 2, km.grp, km.mid, NULL, CAST(km.volume AS BIGINT), CAST(km.n AS BIGINT), coalesce(c.kids, 0) FROM km LEFT JOIN c ON c.grp = km.grp AND c.mid = km.mid
+UNION ALL SELECT 3, ks.grp, ks.mid, ks.sub, CAST(ks.volume AS BIGINT), CAST(ks.n AS BIGINT), 0 FROM ks JOIN c ON c.grp = ks.grp AND c.mid = ks.mid WHERE c.kids > 0""")
+def category_treemap(spark, sf_dir):
+    """The category tree by volume, without nodes under 1 % of their parent."""
+    return pruned_tree(ruled_categories(spark, sf_dir)).withColumnsRenamed({"volume": "volume_cents", "n": "markets"})
+
+
 @query("category_top_n", """, v AS (SELECT r_name, n_name, sum(CAST(round(volume * 100) AS BIGINT)) AS c, count(*) AS n FROM markets JOIN customers USING (event_id) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY c DESC, n_name) AS rn FROM v)
 SELECT r_name, CASE WHEN rn <= 3 THEN n_name ELSE 'Other' END AS child, CAST(sum(c) AS BIGINT) AS volume_cents, CAST(sum(n) AS BIGINT) AS market_count FROM k GROUP BY ALL""")
@@ -85,7 +167,9 @@ def attrition(spark, sf_dir):
 @query("category_roles", """, s AS (SELECT k.segment, p.event_id, p.role, sum(cnt * (100 * won - price)) * 1.0 / sum(cnt) AS m, sum(cnt) AS w FROM positions p JOIN customers k USING (event_id) GROUP BY ALL)
 SELECT segment, role, round(sum(m * w) / sum(w), 8) AS weighted_mean, round(avg(m), 8) AS mean_of_means, count(*) AS events FROM s GROUP BY segment, role""")
 def category_roles(spark, sf_dir):
-    e = dual(cells(joined(spark, sf_dir), "event_id"), "event_id").groupBy("event_id", "role").agg(F.expr("sum(contracts * (100 * won - price)) * 1d / sum(contracts)").alias("m"), F.sum("contracts").alias("w"))
+    won = F.expr("100 * cast(side = result AS int) - CASE WHEN side = 'yes' THEN yes_price ELSE no_price END")
+    e = joined(spark, sf_dir).groupBy("event_id").agg((F.sum(F.col("cnt") * won) * F.lit(1.0) / F.sum("cnt")).alias("m"), F.sum("cnt").alias("w"))  # a maker has what the taker loses
+    e = e.selectExpr("event_id", "w", "stack(2, 'taker', m, 'maker', -m) AS (role, m)")
     s = e.join(customers(spark, sf_dir).select("event_id", "segment"), "event_id").groupBy("segment", "role")
     return s.agg(F.expr("round(sum(m * w) / sum(w), 8)").alias("weighted_mean"), F.expr("round(avg(m), 8)").alias("mean_of_means"), F.count(F.lit(1)).alias("events"))
 
@@ -154,10 +238,9 @@ def topk_markets(spark, sf_dir):
 
 @query("top_two_per_event", ", r AS (SELECT event_id, ticker, volume, row_number() OVER (PARTITION BY event_id ORDER BY volume DESC, ticker) AS rn, count(*) OVER (PARTITION BY event_id) AS n FROM markets) SELECT event_id, ticker, rn, n FROM r WHERE rn <= 2")
 def top_two_per_event(spark, sf_dir):
-    m = adapter.markets(spark, sf_dir)
-    w = Window.partitionBy("event_id")
-    m = m.join(m.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")), "event_id")
-    return m.withColumn("rn", F.row_number().over(w.orderBy(F.desc("volume"), "ticker")).cast("long")).where("rn <= 2").select("event_id", "ticker", "rn", "n")
+    own = Window.partitionBy("event_id")
+    m = adapter.markets(spark, sf_dir).withColumns({"n": F.count(F.lit(1)).over(own), "rn": F.row_number().over(own.orderBy(F.desc("volume"), "ticker")).cast("long")})
+    return m.where("rn <= 2").select("event_id", "ticker", "rn", "n")
 
 
 @query("every_second_day", ", d AS (SELECT CAST(ts AS DATE) AS dy, count(*) AS n FROM ticks GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY dy) AS rn FROM d) SELECT dy, n FROM r WHERE rn % 2 = 1")
@@ -235,11 +318,11 @@ SELECT block + k AS block, t + (nt - t) * k // (nb - block) AS t FROM (SELECT *,
 def block_interpolation(spark, sf_dir):
     """Sampled blocks' times filled in linearly, up to the last sampled block itself. The sample before a block is found in ranges: a window over each, and the next range's first sample."""
     span = 10_000
-    s = table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("event_id AS block", "cast(floor(unix_micros(cast(ts AS timestamp)) / 1e6 + 0.5) AS bigint) AS t").withColumn("part", F.expr(f"block div {span}"))
-    w = Window.partitionBy("part").orderBy("block")
-    firsts = s.groupBy("part").agg(F.min(F.struct("block", "t")).alias("f"))
+    s = table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr(f"event_id div {span} AS part", "struct(event_id AS block, cast(floor(unix_micros(cast(ts AS timestamp)) / 1e6 + 0.5) AS bigint) AS t) AS s")
+    own = Window.partitionBy("part")
+    firsts = s.select("part", F.min("s").over(own).alias("f")).distinct()  # from the same shuffle as the windows over each range
     after = firsts.withColumn("next", F.lead("f").over(Window.orderBy("part"))).select("part", "next")  # one row a range
-    n = s.withColumn("n", F.lead(F.struct("block", "t")).over(w)).join(after, "part", "left").withColumn("n", F.coalesce("n", "next"))
+    n = s.withColumn("n", F.lead("s").over(own.orderBy("s"))).join(after, "part", "left").withColumn("n", F.coalesce("n", "next")).select("s.block", "s.t", "n")
     return n.select("block", "t", "n", F.explode(F.expr("sequence(0L, coalesce(n.block - block - 1, 0L))")).alias("k")).selectExpr("block + k AS block", "t + coalesce((n.t - t) * k div (n.block - block), 0) AS t")
 
 

@@ -158,10 +158,10 @@ def complement_gap(spark, sf_dir):
 
 @query("conservation_checks", """SELECT (SELECT count(*) FROM positions) AS positions, (SELECT 2 * count(*) FROM joined) AS twice_trades, (SELECT CAST(sum(cnt * (100 * won - price)) AS BIGINT) FROM positions) AS pnl_cents, (SELECT CAST(sum(won) AS BIGINT) FROM positions) AS wins""")
 def conservation_checks(spark, sf_dir):
-    c = cells(joined(spark, sf_dir))
-    total = dual(c).selectExpr("sum(n) AS positions", "sum(contracts * (100 * won - price)) AS pnl_cents", "sum(n * won) AS wins")
-    trades = c.agg(F.sum("n").alias("trades"))  # one row, from the same cells before they become positions
-    return total.crossJoin(trades).selectExpr("positions", "2 * trades AS twice_trades", "pnl_cents", "wins")
+    """Trades are counted from the cells before they become positions; the few cells are carried along, so that one pass serves both."""
+    one = cells(joined(spark, sf_dir)).agg(F.sum("n").alias("trades"), F.collect_list(F.struct("*")).alias("cells"))  # 396 cells at most
+    p = dual(one.select("trades", F.inline("cells")), "trades")
+    return p.selectExpr("sum(n) AS positions", "2 * max(trades) AS twice_trades", "sum(contracts * (100 * won - price)) AS pnl_cents", "sum(n * won) AS wins")
 
 
 @query("decomposition", """, p AS (SELECT price, role, direction, sum(cnt) AS w, sum(cnt * won) * 1.0 / sum(cnt) - price / 100.0 AS m FROM positions WHERE price BETWEEN 1 AND 99 GROUP BY price, role, direction),

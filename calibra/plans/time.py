@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from calibra.functions.buckets import log_bin
-from calibra.operators.positions import joined, positions
+from calibra.operators.positions import cells, dual, joined, positions
 from calibra.plans.base import query
 from calibra.sources import adapter
 
@@ -40,7 +40,8 @@ def price_band_pivot(spark, sf_dir):
 @query("maker_taker_gap_over_time", """, g AS (SELECT CAST(date_trunc('quarter', traded_on) AS DATE) AS quarter, role, count(*) AS n, sum(100 * won - price) / (1.0 * count(*)) AS ret, sum(cnt * price) / 100.0 AS volume FROM positions GROUP BY 1, 2 HAVING count(*) >= 100)
 SELECT t.quarter, round(t.ret, 8) AS taker_return, round(m.ret, 8) AS maker_return, round(m.ret - t.ret, 8) AS gap_pp, t.n, round(t.volume + m.volume, 2) AS volume FROM g t JOIN g m ON t.quarter = m.quarter AND t.role = 'taker' AND m.role = 'maker'""")
 def maker_taker_gap_over_time(spark, sf_dir):
-    p = positions(spark, sf_dir, "traded_on").groupBy(F.expr(QUARTER).alias("quarter"), "role").agg(F.sum("n").alias("n"), F.expr("sum(n * (100 * won - price))").alias("cents"), F.expr("sum(contracts * price)").alias("volume"))
+    t = joined(spark, sf_dir).withColumn("quarter", F.expr(QUARTER))  # before cells are made, so that a task has few of them
+    p = dual(cells(t, "quarter"), "quarter").groupBy("quarter", "role").agg(F.sum("n").alias("n"), F.expr("sum(n * (100 * won - price))").alias("cents"), F.expr("sum(contracts * price)").alias("volume"))
     wide = p.where("n >= 100").groupBy("quarter").pivot("role", ["taker", "maker"]).agg(F.first("n").alias("n"), F.first("cents").alias("c"), F.first("volume").alias("v"))
     wide = wide.dropna(subset=["taker_n", "maker_n"]).selectExpr("*", "taker_c / (1d * taker_n) AS t", "maker_c / (1d * maker_n) AS m")
     return wide.selectExpr("quarter", "round(t, 8) AS taker_return", "round(m, 8) AS maker_return", "round(m - t, 8) AS gap_pp", "taker_n AS n", "round(taker_v / 100d + maker_v / 100d, 2) AS volume")
@@ -119,15 +120,21 @@ def win_rate_at_day(spark, sf_dir, day: str = "2024-01-15"):
 
 
 @query("calibration_mad_weekly", """, b AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS week_end, price, count(*) AS n, sum(CASE WHEN kind IN ('purchase', 'signup') THEN 1 ELSE 0 END) AS w FROM ticks GROUP BY ALL),
-weeks AS (SELECT DISTINCT week_end FROM b), prices AS (SELECT DISTINCT price FROM b),
+weeks AS (SELECT CAST(unnest(generate_series((SELECT min(week_end) FROM b)::TIMESTAMP, (SELECT max(week_end) FROM b)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_end), prices AS (SELECT DISTINCT price FROM b),
 g AS (SELECT k.week_end, p.price, sum(b.n) OVER w AS n, sum(b.w) OVER w AS w FROM weeks k CROSS JOIN prices p LEFT JOIN b ON b.week_end = k.week_end AND b.price = p.price WINDOW w AS (PARTITION BY p.price ORDER BY k.week_end))
 SELECT CAST(week_end AS DATE) AS week_end, CAST(sum(n) AS BIGINT) AS n, round(avg(abs(100.0 * w / n - price)), 8) AS mean_absolute_deviation FROM g WHERE n > 0 GROUP BY week_end HAVING sum(n) >= 1000""")
 def calibration_mad_weekly(spark, sf_dir):
-    """Each trade goes to the Sunday that ends its week; running sums replace a join on 'traded before the week's end'."""
+    """Every Sunday from the first trade's week to the last's, with or without trades of its own.
+
+    A trade goes to the Sunday that ends its week; running sums replace a join on 'traded before the week's end'. Each of
+    the 99 prices gets the calendar's weeks along with its own, so the ticks are scanned once.
+    """
     b = adapter.ticks(spark, sf_dir).selectExpr("date_add(cast(date_trunc('week', ts) AS date), 6) AS week_end", "price", "CASE WHEN kind IN ('purchase', 'signup') THEN 1 ELSE 0 END AS won").groupBy("week_end", "price").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
-    spine = b.groupBy("price").agg(F.min("week_end")).select("price").crossJoin(F.broadcast(b.select("week_end").distinct()))  # 99 prices by weeks
+    p = b.groupBy("price").agg(F.collect_list(F.struct("week_end", "n", "w")).alias("weeks"), F.min("week_end").alias("a"), F.max("week_end").alias("z"))
+    p = p.withColumns({"a": F.min("a").over(Window.partitionBy()), "z": F.max("z").over(Window.partitionBy())})  # 99 rows
+    filled = p.selectExpr("price", "inline(concat(weeks, transform(sequence(a, z, interval 7 days), d -> named_struct('week_end', d, 'n', 0L, 'w', 0L))))").groupBy("price", "week_end").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     run = Window.partitionBy("price").orderBy("week_end")
-    g = spine.join(b, ["price", "week_end"], "left").select("week_end", "price", F.sum("n").over(run).alias("n"), F.sum("w").over(run).alias("w")).where("n > 0")
+    g = filled.select("week_end", "price", F.sum("n").over(run).alias("n"), F.sum("w").over(run).alias("w")).where("n > 0")
     return g.groupBy("week_end").agg(F.sum("n").alias("n"), F.expr("round(avg(abs(100d * w / n - price)), 8)").alias("mean_absolute_deviation")).where("n >= 1000")
 
 
