@@ -102,6 +102,11 @@ class PartVisitor:
         out.expanded_tokens += tokens
 
 
+def whole(text: str) -> str:
+    """The text with U+FFFD for each lone surrogate, as long as it was."""
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
+
+
 def head(role: str) -> str:
     return START + escape(role).replace("\n", FEED) + "\n"
 
@@ -145,8 +150,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def format_parts(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, segment, expanded_tokens, attachments) of messages whose ``content`` is JSON: a string or a list of typed parts.
 
-    Null or malformed JSON, or a bare number, is plain text as it stands; parts of unknown types are text, as JSON. Ordinals start
-    anew in each turn; extra columns are left behind.
+    Null or malformed JSON, JSON nested too deeply to be read, or a bare number, is plain text as it stands; parts of unknown
+    types are text, as JSON. Half of a surrogate pair, which JSON can spell and no text can hold, becomes U+FFFD. Ordinals
+    start anew in each turn; extra columns are left behind.
     """
     kind = "array<struct<kind:string,ordinal:int,ref:string,tokens:int,offset:int>>"
 
@@ -156,10 +162,11 @@ def format_parts(messages: DataFrame) -> DataFrame:
             for conv_id, turn, role, content in zip(pdf["conv_id"], pdf["turn"], pdf["role"], pdf["content"], strict=True):
                 try:
                     parsed = json.loads(content) if content else content
-                except ValueError:
-                    parsed = content
-                flat = PartVisitor(strict=False).visit(parsed if isinstance(parsed, (str, list, dict)) else content)
-                rows.append((conv_id, turn, wrap(role or "", flat.text), flat.expanded_tokens, flat.attachments))
+                    flat = PartVisitor(strict=False).visit(parsed if isinstance(parsed, (str, list, dict)) else content)
+                except (ValueError, RecursionError):
+                    flat = PartVisitor().visit(content)
+                attachments = [(kind, k, whole(ref), tokens, at) for kind, k, ref, tokens, at in flat.attachments]
+                rows.append((conv_id, turn, wrap(role or "", whole(flat.text)), flat.expanded_tokens, attachments))
             yield type(pdf)(rows, columns=["conv_id", "turn", "segment", "expanded_tokens", "attachments"])
 
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("content")]

@@ -5,13 +5,14 @@ from __future__ import annotations
 import gc
 import os
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibra.operators.stage import staged
+
 #: Where vocabulary files are looked for when no path is given.
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -30,29 +31,9 @@ def vocabulary(name: str) -> str:
         return os.path.join(TOKENIZER_DIR, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("/tmp/calibra-checkpoints")
-    return sc.getCheckpointDir()
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: short lineage, survives lost executors.
-
-    The files go when the session's file systems close.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/calibra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet into the shared folder and read it back: short lineage, survives lost executors."""
+    return staged(df)
 
 
 def release(spark: SparkSession) -> None:

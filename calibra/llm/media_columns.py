@@ -120,7 +120,11 @@ def elements(data: bytes, at: int, end: int, stop: frozenset[int] = frozenset())
 
 
 def number(data: bytes, at: int, end: int) -> int:
-    return int.from_bytes(data[at:end], "big")
+    """An unsigned number of 62 bits at most, so that times and places made of it fit 64."""
+    value = int.from_bytes(data[at:end], "big")
+    if value >> 62:
+        raise Malformed("a number of over 62 bits")
+    return value
 
 
 def read_block(data: bytes, at: int, end: int, time: int, cluster_at: int, media: Media, key: bool | None) -> None:

@@ -55,16 +55,9 @@ def halves(n: int) -> int:
     return max(1, n // 2)
 
 
-def fit_codebooks(entries: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    """Codebooks of both halves, from the ``sample`` vectors with the smallest hash of their id; None for an empty table.
-
-    Of vectors of unequal length, the commonest over all rows counts (the shorter of two as common).
-    """
-    sizes = entries.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
-        return None
-    size = sizes["size"]
-    x = np.array([r["v"] for r in hashed_sample(entries.where(F.size("v") == size), "vec_id", sample).collect()])
+def fit_codebooks(entries: DataFrame, size: int, centroids: int = CENTROIDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Codebooks of both halves of vectors of one length, from the ``sample`` with the smallest hash of their id."""
+    x = np.array([r["v"] for r in hashed_sample(entries, "vec_id", sample).collect()])
     h = halves(size)
     return kmeans(x[:, :h], centroids), kmeans(x[:, h:], centroids)
 
@@ -89,19 +82,26 @@ def multi_index_search(vectors: DataFrame, queries: DataFrame, k: int = K, share
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, by largest inner product in double precision.
 
     vectors and queries have vec_id and embedding; a query's own vec_id is no candidate of it. Ties go to the smaller
-    vec_id. Vectors that are null, empty, zero or hold null or non-finite components take no part; of vectors of unequal
-    length, those of another length than the commonest take none either. Repeated ids are entries of their own. Equal
-    vectors are one entry with its k + 1 smallest ids: no others of them can be among a query's k nearest. Entries of a
-    cell are cut into blocks, so a large cell is many rows of bounded size, and each block keeps k a query.
+    vec_id. Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of every length
+    that a query has are an index of their own: an inner product needs two of one length. Repeated ids are entries of
+    their own. Equal vectors are one entry with its k + 1 smallest ids: no others of them can be among a query's k nearest.
+    Entries of a cell are cut into blocks, so a large cell is many rows of bounded size, and each block keeps k a query.
     """
     spark = vectors.sparkSession
-    entries = usable(vectors)
-    books = fit_codebooks(entries, centroids, sample)
-    if books is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = books[0].shape[1] + books[1].shape[1]
+    entries, asked = usable(vectors), usable(queries)
+    lengths = asked.select(F.size("v").alias("size")).distinct().join(entries.select(F.size("v").alias("size")).distinct(), "size").collect()
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size in sorted(r["size"] for r in lengths):
+        of = F.size("v") == size
+        found = found.union(search_length(entries.where(of), asked.where(of), size, k, share, centroids, sample, block))
+    return found
+
+
+def search_length(entries: DataFrame, asked: DataFrame, size: int, k: int, share: float, centroids: int, sample: int, block: int) -> DataFrame:
+    """multi_index_search of (vec_id, v) of one length."""
+    spark = entries.sparkSession
+    books = fit_codebooks(entries, size, centroids, sample)
     h, n_cells = books[0].shape[1], len(books[0]) * len(books[1])
-    entries = entries.where(F.size("v") == size)
     first_ids = entries.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     shared = spark.sparkContext.broadcast(books)
 
@@ -121,7 +121,6 @@ def multi_index_search(vectors: DataFrame, queries: DataFrame, k: int = K, share
     deal = F.array(*[F.lit(int(n)) for n in parts])
     blocks = coded.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.get(deal, F.col("cell"))).cast("int")).groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("entries"))
     wanted = max(int(np.ceil(share * sizes.sum())), k + 1)  # one may be the query's own
-    asked = usable(queries).where(F.size("v") == size)
 
     def visit(batches):
         one, two = shared.value
@@ -131,17 +130,17 @@ def multi_index_search(vectors: DataFrame, queries: DataFrame, k: int = K, share
                 continue
             ids, x = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
             a, b = x[:, :h] @ one.T, x[:, h:] @ two.T
-            cells: dict[tuple[int, int], list[int]] = {}
+            cells: dict[int, list[int]] = {}
             for i in range(len(ids)):
                 for p, q in traverse(a[i], b[i], grid, wanted):
-                    for part in range(parts[p * len(two) + q]):
-                        cells.setdefault((p * len(two) + q, part), []).append(i)
-            for (cell, part), rows in cells.items():
+                    cells.setdefault(p * len(two) + q, []).append(i)
+            for cell, rows in cells.items():
                 for at in range(0, len(rows), 256):
                     some = rows[at : at + 256]
-                    yield {"cell": [cell], "part": [part], "ids": [[ids[i] for i in some]], "q": [x[some].tobytes()]}
+                    yield {"cell": [cell], "ids": [[ids[i] for i in some]], "q": [x[some].tobytes()]}
 
-    visits = map_arrow(asked, visit, "cell int, part int, ids array<long>, q binary")
+    visits = map_arrow(asked, visit, "cell int, ids array<long>, q binary")
+    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(deal, F.col("cell")) - 1)))  # a cell's blocks, row by row
     met = visits.join(blocks, ["cell", "part"]).select("ids", "q", "entries")
 
     def score(batches):

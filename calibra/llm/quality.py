@@ -122,9 +122,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def labelled_features(docs: DataFrame, grades: DataFrame, most: int = MAX_LABELLED) -> list[tuple[np.ndarray, int]]:
-    """Features and grade of at most ``most`` labelled documents, collected. The broadcast holds ``most`` ids."""
+    """Features and grade of at most ``most`` labelled documents, collected. The broadcast holds ``most`` ids. Of rows that share
+    a doc_id, the one whose text has the smallest hash is taken, so that a repeated document weighs no more than another."""
     sample = hashed_sample(grades, "doc_id", most)
-    chosen = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
+    found = documents(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    chosen = found.select("doc_id", F.col("first.text").alias("text"), "grade")
 
     def work(batches):
         hasher = Hasher()

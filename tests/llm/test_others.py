@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "documents", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     want = db.execute(ORACLE_SQL[name]).fetchall()
@@ -194,3 +194,89 @@ def test_url_filter_of_odd_rows(spark):
     assert got == [(1, "allow", True), (1, "allow", True), (2, "none", True), (3, "none", True), (4, "none", True), (5, "block", False)]
     assert uf.url_filters(captures.where("false"), entries).count() == 0
     assert {r.action for r in uf.url_filters(captures, entries.where("false")).collect()} == {"none"}
+
+
+def test_parts_of_broken_json(spark):
+    odd = ['"\\ud800"', '[{"type":"image","ref":"\\udfff"},"a\\ud83d\\ude00b"]', "[" * 100_000, '{"text":' * 3000 + "1" + "}" * 3000, "[" * 900 + "]" * 900]
+    df = spark.createDataFrame([(k, 0, "user", x) for k, x in enumerate(odd)], "conv_id long, turn long, role string, content string")
+    got = {r.conv_id: r for r in cf.format_parts(df).collect()}
+    texts = {k: cf.read_turn(r.segment)[1] for k, r in got.items()}
+    assert texts[0] == "\ufffd" and texts[2] == odd[2] and len(got) == len(odd)
+    assert got[1].attachments[0].ref == "\ufffd" and texts[1].endswith("a\U0001f600b")
+
+
+def test_packets_of_huge_numbers(spark):
+    good = mc.store(mc.padded("some text")[0])
+    at = good.index(bytes([mc.CLUSTER_TIME, 0x81]))  # a cluster's time, of one byte
+    huge = good[:at] + bytes([mc.CLUSTER_TIME, 0x88]) + b"\xff" * 8 + good[at + 3 :]
+    rows = [(1, good), (2, huge), (3, None), (4, b"\xff" * 40), (5, good[: len(good) // 2])]
+    packets = mc.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in packets} == {1}
+    with pytest.raises(mc.Malformed):
+        mc.number(b"\xff" * 8, 0, 8)
+
+
+def test_repeated_ids_are_one_label(spark):
+    docs = spark.createDataFrame([(7, f"text number {k}") for k in range(300)] + [(8, "other words"), (9, None)], "doc_id long, text string")
+    grades = spark.createDataFrame([(7, 1), (8, 2)], "doc_id long, grade int")
+    got = q.labelled_features(docs, grades, most=2)
+    assert len(got) == 2 and sorted(g for _, g in got) == [1, 2]
+    assert [x.tolist() for x, _ in got] == [x.tolist() for x, _ in q.labelled_features(docs.repartition(5), grades, most=2)]
+
+
+def plain_loss(theta, xs, ys, weight, penalty):
+    """Penalised mean negative log likelihood of cumulative links, written out."""
+    w, a, gap = theta[:-2], theta[-2], theta[-1]
+    cuts = [-np.inf, a, a + np.exp(gap), np.inf]
+    loss = 0.0
+    for x, y, u in zip(xs, ys, weight, strict=True):
+        s = sum(w[i] for i in x)
+        loss -= u * np.log(1 / (1 + np.exp(-(cuts[y + 1] - s))) - 1 / (1 + np.exp(-(cuts[y] - s))))
+    return loss / len(xs) + penalty / 2 * (w**2).sum()
+
+
+def test_fit_is_a_stationary_point():
+    """Finite differences of the loss, written out plainly, are near zero at the fitted values, and expected grade and tail agree with it."""
+    rng = np.random.default_rng(3)
+    xs = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(80)]
+    ys = [int(np.clip(len(set(x) & {0, 1, 2}) - (rng.random() < 0.3), 0, 2)) for x in xs]
+    m = q.fit(list(zip(xs, ys, strict=True)), rounds=6000, penalty=0.02, rate=0.01)
+    share = 1 / np.bincount(ys, minlength=3).clip(1) ** 0.5
+    weight = (share / share[ys].mean())[ys]
+    theta = np.concatenate([m.weights[:6].astype(float), [m.thresholds[0], np.log(m.thresholds[1] - m.thresholds[0])]])
+    slopes = [(plain_loss(theta + e, xs, ys, weight, 0.02) - plain_loss(theta - e, xs, ys, weight, 0.02)) / 2e-4 for e in 1e-4 * np.eye(8)]
+    assert np.abs(slopes).max() < 2e-3
+    s = np.array([m.weights[x].sum() for x in xs], dtype=float)
+    above = [1 / (1 + np.exp(c - s)) for c in m.thresholds]
+    assert np.allclose(m.expected(s), above[0] + above[1]) and np.allclose(m.tail(s), above[1]) and np.allclose(m.tail(s, 1), above[0])
+
+
+def test_search_serves_every_length(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(6)] + [(20 + k, [1.0, float(k), 2.0]) for k in range(4)] + [(40, [3.0]), (41, [2.0]), (60, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mi.multi_index_search(df, df.where("vec_id % 20 = 0")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = dict(rows)
+    for query in (0, 20, 40):
+        want = sorted(((-sum(a * b for a, b in zip(x[query], v, strict=True)), k) for k, v in rows if k != query and len(v) == len(x[query])))
+        assert by[query] == [(k, -s) for s, k in want]
+    assert 60 not in by
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_at_scale(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = df.collect()
+    x, ids = np.array([r.embedding for r in rows], dtype=float), np.array([r.vec_id for r in rows])
+    found = {}
+    for r in mi.multi_index_search(df, df.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for query, got in found.items():
+        s = x @ x[ids == query][0]
+        s[ids == query] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:20]]
+        hits, total = hits + len(got & set(best.tolist())), total + 20
+    assert len(found) == (ids % 20 == 0).sum() and hits / total >= 0.9
