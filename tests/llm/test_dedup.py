@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,15 +62,16 @@ def test_links_find_every_pair_within_the_radius(spark):
     assert groups(len(fps), [(at[r.a], at[r.b]) for r in sh.fingerprint_links(df, tile=7).collect()]) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 30, 1 << 20])
+def test_components(spark, local):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, rng.randint(8, 60)) for _ in range(50)] + [(3, 3), (200, 201), (200, 201)]
     df = spark.createDataFrame([*links, (None, 4), (5, None)], "x long, y long")
-    got = {r.node: r.component for r in connected_components(df).collect()}
+    got = {r.node: r.component for r in connected_components(df, local=local).collect()}
     label = groups(300, [x for x in links if x[0] != x[1]])
     touched = {v for x in links if x[0] != x[1] for v in x}
     assert got == {v: label[v] for v in touched}
-    assert connected_components(df.where("false")).count() == 0
+    assert connected_components(df.where("false"), local=local).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
