@@ -123,7 +123,7 @@ def win_rate_at_day(spark, sf_dir, day: str = "2024-01-15"):
 weeks AS (SELECT CAST(unnest(generate_series((SELECT min(week_end) FROM b)::TIMESTAMP, (SELECT max(week_end) FROM b)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_end), prices AS (SELECT DISTINCT price FROM b),
 g AS (SELECT k.week_end, p.price, sum(b.n) OVER w AS n, sum(b.w) OVER w AS w FROM weeks k CROSS JOIN prices p LEFT JOIN b ON b.week_end = k.week_end AND b.price = p.price WINDOW w AS (PARTITION BY p.price ORDER BY k.week_end))
 SELECT CAST(week_end AS DATE) AS week_end, CAST(sum(n) AS BIGINT) AS n, round(avg(abs(100.0 * w / n - price)), 8) AS mean_absolute_deviation FROM g WHERE n > 0 GROUP BY week_end HAVING sum(n) >= 1000""")
-def calibration_mad_weekly(spark, sf_dir):
+def calibration_mad_weekly(spark, sf_dir, least: int = 1000):
     """Every Sunday from the first trade's week to the last's, with or without trades of its own.
 
     A trade goes to the Sunday that ends its week; running sums replace a join on 'traded before the week's end'. Each of
@@ -135,7 +135,7 @@ def calibration_mad_weekly(spark, sf_dir):
     filled = p.selectExpr("price", "inline(concat(weeks, transform(sequence(a, z, interval 7 days), d -> named_struct('week_end', d, 'n', 0L, 'w', 0L))))").groupBy("price", "week_end").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     run = Window.partitionBy("price").orderBy("week_end")
     g = filled.select("week_end", "price", F.sum("n").over(run).alias("n"), F.sum("w").over(run).alias("w")).where("n > 0")
-    return g.groupBy("week_end").agg(F.sum("n").alias("n"), F.expr("round(avg(abs(100d * w / n - price)), 8)").alias("mean_absolute_deviation")).where("n >= 1000")
+    return g.groupBy("week_end").agg(F.sum("n").alias("n"), F.expr("round(avg(abs(100d * w / n - price)), 8)").alias("mean_absolute_deviation")).where(F.col("n") >= least)
 
 
 @query("daily_windows", "SELECT CAST(ts AS DATE) AS dy, kind, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS contracts FROM ticks GROUP BY ALL")

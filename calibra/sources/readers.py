@@ -50,12 +50,12 @@ def word(data: str, k: int) -> Column:
 
 
 def word_number(data: str, k: int) -> Column:
-    """Word k as a decimal; null beyond 38 digits. Two halves of 15 hexadecimal digits are exact in a long."""
+    """Word k as a decimal; null beyond 38 digits. Parts of 2, 15 and 15 hexadecimal digits are exact in a long."""
     text = word(data, k)
-    high = F.conv(F.substring(text, 35, 15), 16, 10).cast("decimal(38,0)")
-    low = F.conv(F.substring(text, 50, 15), 16, 10).cast("decimal(38,0)")
-    fits = F.substring(text, 1, 34) == "0" * 34
-    return F.when(fits, (high * F.lit(16**15).cast("decimal(20,0)") + low).cast("decimal(38,0)"))
+    part = lambda at, n: F.conv(F.substring(text, at, n), 16, 10).cast("decimal(20,0)")
+    low = (part(35, 15) * F.lit(16**15).cast("decimal(20,0)") + part(50, 15)).cast("decimal(38,0)")
+    top = F.try_multiply(part(33, 2).cast("decimal(3,0)"), F.lit(str(16**30)).cast("decimal(38,0)")).cast("decimal(38,0)")
+    return F.when(F.substring(text, 1, 32) == "0" * 32, F.try_add(top, low).cast("decimal(38,0)"))
 
 
 def word_address(data: str, k: int) -> Column:
