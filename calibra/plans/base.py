@@ -18,3 +18,14 @@ def query(name: str, sql: str | None = None, views: bool = True):
         return f
 
     return register
+
+
+def onward(name: str, select: str) -> str:
+    """The SQL of a registered query as a view ``rows_``, and ``select`` from it; to register another query with."""
+    sql = ORACLE_SQL[name].removeprefix(adapter.SQL)
+    depth, last = 0, 0
+    for k, ch in enumerate(sql):
+        depth += (ch == "(") - (ch == ")")
+        if not depth and sql.startswith("SELECT", k):
+            last = k
+    return f"{sql[:last]}, rows_ AS ({sql[last:]}) {select}"

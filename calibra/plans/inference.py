@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from calibra.functions.buckets import equal_width
-from calibra.functions.stats import normal_upper, student_two_sided
 from calibra.operators.positions import cells, dual, joined, positions
 from calibra.operators.resample import resampled_sums
 from calibra.plans.base import query
@@ -37,11 +36,6 @@ def mann_whitney(spark, sf_dir):
     return s.selectExpr("band", "n1", "n2", "u", "round(1d - 2d * u / (n1 * 1d * n2), 8) AS effect", "round((u - n1 * 1d * n2 / 2d - 0.5d) / nullif(sqrt(n1 * 1d * n2 / 12d * (n + 1d - ties / (n * (n - 1d)))), 0d), 6) AS z")
 
 
-@query("mann_whitney_p_values")
-def mann_whitney_p_values(spark, sf_dir):
-    return mann_whitney(spark, sf_dir).select("band", "z", normal_upper("z").alias("p_value"))
-
-
 _WELCH = """, v AS (SELECT k.segment, 100 * won - price AS x FROM positions p JOIN customers k USING (event_id) WHERE role = 'maker'), g AS (SELECT segment, count(*) AS n, avg(x * 1.0) AS m, var_samp(x * 1.0) AS s FROM v GROUP BY segment),
 b AS (SELECT g.segment, g.n, g.m - h.m AS d, g.s / g.n AS e1, h.s / h.n AS e2, g.n AS n1, h.n AS n2, sqrt(((g.n - 1) * g.s + (h.n - 1) * h.s) / (g.n + h.n - 2)) AS pooled FROM g JOIN g h ON h.segment = 'BUILDING' AND g.segment <> 'BUILDING' WHERE g.n >= 100)
 SELECT segment, n, round(d / sqrt(e1 + e2), 6) AS t, round(pow(e1 + e2, 2) / (pow(e1, 2) / (n1 - 1) + pow(e2, 2) / (n2 - 1)), 4) AS dof, round(CASE WHEN pooled = 0 THEN 0 ELSE d / pooled END, 8) AS cohens_d FROM b"""
@@ -57,11 +51,6 @@ def welch(spark, sf_dir):
     return b.selectExpr("segment", "n", "round(d / sqrt(e1 + e2), 6) AS t", "round(pow(e1 + e2, 2d) / (pow(e1, 2d) / (n - 1) + pow(e2, 2d) / (n2 - 1)), 4) AS dof", "round(CASE WHEN pooled = 0 THEN 0d ELSE d / pooled END, 8) AS cohens_d")
 
 
-@query("welch_p_values")
-def welch_p_values(spark, sf_dir):
-    return welch(spark, sf_dir).select("segment", "t", "dof", student_two_sided("t", "dof").alias("p_value"))
-
-
 @query("direction_welch", """, v AS (SELECT direction, least(cnt, 100) AS w, won - price / 100.0 AS x FROM positions WHERE role = 'maker'), g AS (SELECT direction, sum(w) AS n, sum(w * x) / sum(w) AS m, sum(w * x * x) / sum(w) AS q FROM v GROUP BY direction),
 s AS (SELECT *, (q - m * m) * n / (n - 1.0) AS s FROM g) SELECT CAST(y.n AS BIGINT) AS n_yes, CAST(o.n AS BIGINT) AS n_no, round((y.m - o.m) / sqrt(y.s / y.n + o.s / o.n), 5) AS t FROM s y, s o WHERE y.direction = 'yes' AND o.direction = 'no'""")
 def direction_welch(spark, sf_dir):

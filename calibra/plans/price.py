@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from calibra.functions.stats import normal_two_sided
 from calibra.operators.positions import cells, dual, joined, positions
 from calibra.plans.base import query
 from calibra.sources import adapter
@@ -47,12 +46,6 @@ def by_role(spark, sf_dir):
 query("maker_vs_taker_returns", _ROLES)(by_role)
 
 
-@query("maker_vs_taker_p_values")
-def maker_vs_taker_p_values(spark, sf_dir):
-    """The two-sided normal p of each z: no SQL twin, as neither engine has erf."""
-    return by_role(spark, sf_dir).select("price", "role", "z", normal_two_sided("z").alias("p_value"))
-
-
 def _direction(role_filter: str, weighted: bool) -> str:
     num, den = ("won * cnt", "cnt") if weighted else ("won", "1")
     return f""", d AS (SELECT price, direction, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS contracts, round(sum({num}) * 1.0 / sum({den}) - price / 100.0, 8) AS excess FROM positions WHERE {role_filter} GROUP BY price, direction),

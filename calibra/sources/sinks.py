@@ -8,13 +8,20 @@ import os
 import shutil
 import tarfile
 import zipfile
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_ROWS = 10_000
+# The names of the chart contract.
 CHART_TYPES = ("line", "bar", "stacked-bar", "stacked-bar-100", "area", "stacked-area-100", "pie", "scatter", "heatmap", "treemap")
+UNITS = ("dollars", "percent", "bytes", "eth", "btc", "cents", "number")
+SCALES = ("linear", "log")
+CHART_FIELDS = {
+    "type": "type", "data": "data", "series": "series", "x": "xKey", "y": "yKeys", "y_one": "yKey", "z": "zKey", "title": "title", "height": "height", "stacked": "stacked", "name": "nameKey", "value": "valueKey",
+    "children": "childrenKey", "x_scale": "xScale", "y_scale": "yScale", "y_unit": "yUnit", "dashes": "strokeDasharrays", "caption": "caption", "colors": "colors", "x_label": "xLabel", "y_label": "yLabel",
+}
 
 
 def append_chunks(df: DataFrame, path: str, rows: int = CHUNK_ROWS) -> None:
@@ -51,29 +58,109 @@ def save(df: DataFrame, folder: str, name: str, formats: list[str]) -> list[str]
 
 @dataclass
 class Chart:
-    """A chart specification; what isn't set is left out of its JSON."""
+    """A chart specification. Its JSON has the contract's names; what isn't set is left out."""
 
     type: str
     data: list[dict]
-    title: str | None = None
+    series: dict[str, list[dict]] | None = None  # name -> points
     x: str | None = None
     y: list[str] | None = None
-    unit: str | None = None
+    y_one: str | None = None
+    z: str | None = None
+    title: str | None = None
+    height: int | None = None
+    stacked: bool | None = None
+    name: str | None = None
+    value: str | None = None
+    children: str | None = None
+    x_scale: str | None = None
     y_scale: str | None = None
+    y_unit: str | None = None
+    dashes: list[str | None] | None = None
+    caption: str | None = None
+    colors: dict[str, str] | None = None
     x_label: str | None = None
     y_label: str | None = None
 
     def __post_init__(self):
-        if self.type not in CHART_TYPES:
-            raise ValueError(f"no such chart type: {self.type}")
+        for value, known, what in ((self.type, CHART_TYPES, "chart type"), (self.y_unit, UNITS, "unit"), (self.x_scale, SCALES, "scale"), (self.y_scale, SCALES, "scale")):
+            if value is not None and value not in known:
+                raise ValueError(f"no such {what}: {value}")
+
+    def to_dict(self) -> dict:
+        out = {k: getattr(self, f) for f, k in CHART_FIELDS.items() if getattr(self, f) is not None}
+        if self.series is not None:
+            out["series"] = [{"name": n, "data": points} for n, points in self.series.items()]
+        return out
 
     def to_json(self) -> str:
-        return json.dumps({k: v for k, v in asdict(self).items() if v is not None}, default=str)
+        return json.dumps(self.to_dict(), indent=2, default=plain)
+
+
+def plain(value):
+    """Dates and times as ISO text, decimals as numbers."""
+    return value.isoformat() if hasattr(value, "isoformat") else float(value) if hasattr(value, "__float__") else str(value)
+
+
+def rows_of(data, most: int = 10_000) -> list[dict]:
+    """The rows of a small result, or dicts as they are. A chart of more than ``most`` points is an error."""
+    rows = [r.asDict(recursive=True) for r in data.limit(most + 1).collect()] if isinstance(data, DataFrame) else list(data)
+    if len(rows) > most:
+        raise ValueError(f"a chart of more than {most} points")
+    return rows
+
+
+def _ys(y) -> list[str]:
+    return [y] if isinstance(y, str) else list(y)
+
+
+def line_chart(data, x: str = "x", y: str | list[str] = "y", **more) -> Chart:
+    return Chart("line", rows_of(data), x=x, y=_ys(y), **more)
+
+
+def bar_chart(data, x: str = "x", y: str | list[str] = "y", stacked: bool = False, **more) -> Chart:
+    return Chart("stacked-bar" if stacked else "bar", rows_of(data), x=x, y=_ys(y), **more)
+
+
+def area_chart(data, x: str = "x", y: str | list[str] = "y", stacked: bool = False, **more) -> Chart:
+    return Chart("area", rows_of(data), x=x, y=_ys(y), stacked=stacked, **more)
+
+
+def pie_chart(data, name: str = "name", value: str = "value", **more) -> Chart:
+    return Chart("pie", rows_of(data), name=name, value=value, **more)
+
+
+def scatter_chart(data, x: str = "x", y: str = "y", z: str | None = None, series: dict[str, list[dict]] | None = None, **more) -> Chart:
+    return Chart("scatter", rows_of(data), x=x, y=[y], z=z, series=series, **more)
+
+
+def heatmap(data, x: str = "x", y: str = "y", value: str = "value", **more) -> Chart:
+    return Chart("heatmap", rows_of(data), x=x, y_one=y, value=value, **more)
+
+
+def treemap(data, name: str = "name", value: str = "value", children: str = "children", **more) -> Chart:
+    return Chart("treemap", rows_of(data), name=name, value=value, children=children, **more)
+
+
+def nested(tree: DataFrame, levels: list[str], value: str) -> list[dict]:
+    """A tree as rows (depth, a column a level, value), such as category_treemap's, nested by value, the largest first."""
+    rows = sorted(rows_of(tree), key=lambda r: (r["depth"], -r[value], *[str(r[c]) for c in levels]))
+    roots: list[dict] = []
+    held = {}
+    for r in rows:
+        path = tuple(r[c] for c in levels[: r["depth"]])
+        node = {"name": path[-1], "value": r[value]}
+        held[path] = node
+        if len(path) == 1:
+            roots.append(node)
+        else:
+            held[path[:-1]].setdefault("children", []).append(node)
+    return roots
 
 
 def chart_of(df: DataFrame, kind: str, x: str, y: list[str], **more) -> Chart:
     """A chart of a small result."""
-    return Chart(kind, [r.asDict() for r in df.select(x, *y).orderBy(x).collect()], x=x, y=y, **more)
+    return Chart(kind, rows_of(df.select(x, *y).orderBy(x)), x=x, y=y, **more)
 
 
 def manifest(path: str, **facts) -> None:

@@ -122,3 +122,36 @@ def test_histogram_equals_numpy(spark):
         want = np.histogram(v, edges, weights=w / w.sum())[0]
         assert np.allclose([a for _, _, a in mine], edges[:-1], atol=1e-9) and abs(sum(s for _, s, _ in mine) - 1) < 1e-9
         assert np.abs(np.cumsum([s for _, s, _ in mine]) - np.cumsum(want)).max() < 0.01
+
+
+def test_ridge_scores_equal_numpy(spark):
+    from calibra.plans.market import customers, splits
+
+    sf = "/root/testdata/sf0.001"
+    segment = {r.event_id: r.segment for r in customers(spark, sf).collect()}
+    split = {r.ticker: r.split for r in splits(spark, sf).collect()}
+    sums = {}
+    for r in models.market_cells(spark, sf).collect():
+        key = split[r.ticker], segment[r.event_id], r.price, r.outcome
+        sums[key] = sums.get(key, 0) + r.contracts
+    rows = [dict(zip(("split", "segment", "price", "outcome"), k, strict=True)) | {"n": float(n)} for k, n in sums.items()]
+    loss = lambda of, q: np.average((q - [r["outcome"] for r in of]) ** 2, weights=[r["n"] for r in of])
+    by = {s: [r for r in rows if r["split"] == s] for s in ("train", "validation", "test")}
+    fits = {a: plain_fit(rows, ("segment",), a)[2] for a in (0.1, 1.0, 10.0, 100.0)}
+    best = min(fits, key=lambda a: loss(by["validation"], fits[a](by["validation"])))
+    for r in models.ridge_scores(spark, sf).collect():
+        assert r.alpha == best and abs(r.model_brier - loss(by[r.split], fits[best](by[r.split]))) < 1e-9
+        assert abs(r.market_brier - loss(by[r.split], np.array([x["price"] for x in by[r.split]]))) < 1e-9
+
+
+def test_sizes_and_comparison_of_the_queries(spark):
+    sf = "/root/testdata/sf0.001"
+    held = models.heldout_predictions(spark, sf)
+    sizes = {r.approach: r for r in models.model_sizes(spark, sf).collect()}
+    assert set(sizes) == set(models.SETS) and sizes["pooled"].features == 3 < sizes["structural"].features < sizes["structural_text"].features
+    scores = ridge.brier(held.where("split = 'validation'"), list(models.SETS)).first()
+    assert all(abs(scores[k] - r.validation_brier) < 1e-9 for k, r in sizes.items())
+    test = [r.asDict() for r in held.where("split = 'test'").collect()]
+    for r in models.model_comparison(spark, sf).collect():
+        gain = sum(x["n"] * ((x["outcome"] - x[r.baseline]) ** 2 - (x["outcome"] - x[r.candidate]) ** 2) for x in test) / sum(x["n"] for x in test)
+        assert abs(r.improvement - gain) < 1e-9 and r.ci_low <= r.ci_high and r.events == len({x["event_id"] for x in test})

@@ -90,7 +90,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 30
     assert [p.rsplit(".", 1)[-1] for p in s.save(df, str(tmp_path), "x", ["csv", "png", "json"])] == ["csv", "json"]
     assert s.count_rows(spark, f"{tmp_path}/x.csv") == 25
-    assert json.loads(s.chart_of(df, "line", "k", ["k"]).to_json()).keys() == {"type", "data", "x", "y"}
+    assert json.loads(s.chart_of(df, "line", "k", ["k"]).to_json()).keys() == {"type", "data", "xKey", "yKeys"}
     archive = tmp_path / "a.zip"
     with zipfile.ZipFile(archive, "w") as z:
         z.writestr("m.csv", "a")

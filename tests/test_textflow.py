@@ -187,3 +187,20 @@ def test_no_contract_is_lost(spark):
     _, a = plain_tfidf([r.text for r in rows], fit=[r.text for r in rows if r.split == "train"])
     s = np.linalg.svd(a[[k for k, r in enumerate(rows) if r.split == "train"]], compute_uv=False)
     assert np.allclose(textflow.fitted(spark, SF).singular[:40], s[:40], rtol=0.01)
+
+
+def test_queries_of_the_flow_agree(spark):
+    rows = textflow.text_assignments(spark, SF).collect()
+    count = Counter((r.split, r.status) for r in rows)
+    for r in textflow.assignment_coverage(spark, SF).collect():
+        assert [r[c] for c in ("assigned", "distant", "insufficient_training_support", "unseen_family")] == [count[r.split, c] for c in ("assigned", "distant", "insufficient_training_support", "unseen_family")]
+        assert r.contracts == sum(n for (s, _), n in count.items() if s == r.split) and r.assigned_share == r.assigned / r.contracts
+    held = defaultdict(list)
+    for r in rows:
+        if r.cluster:
+            held[r.cluster, r.split].append(r.event_id)
+    assert {(r.cluster, r.split): (r.contracts, r.events) for r in textflow.cluster_support(spark, SF).collect()} == {k: (len(v), len(set(v))) for k, v in held.items()}
+    centres = textflow.text_centres(spark, SF).collect()
+    assert all(abs(np.linalg.norm(c.centre) - 1) < 1e-9 for c in centres) and sum(c.members for c in centres) <= sum(n for (s, _), n in count.items() if s == "train")
+    vectors = [np.linalg.norm(r.vector) for r in textflow.text_vectors(spark, SF).collect()]
+    assert len(vectors) == len(rows) and all(abs(v - 1) < 1e-9 for v in vectors)
