@@ -11,6 +11,11 @@ def decile(x: Column, closed: str = "left") -> Column:
     return (F.floor(x / F.lit(10.0)) * 10).cast("int") if closed == "left" else F.floor((x - 1) / F.lit(10.0)).cast("int")
 
 
+def quarter_label(day: Column) -> Column:
+    """A quarter in short, as in Q1 '24 for early 2024."""
+    return F.concat(F.lit("Q"), F.quarter(day).cast("string"), F.lit(" '"), F.date_format(day, "yy"))
+
+
 def log_bin(x: Column, parts: int = 4) -> Column:
     """The lower edge of a logarithmic bin, ``parts`` to a decade."""
     return F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(x, F.lit(0.01))) * parts) / F.lit(float(parts)))

@@ -125,3 +125,36 @@ def size_fit(spark, sf_dir):
     f = s.selectExpr("(mly - ml * my) / (mll - ml * ml) AS slope", "ml", "my", "wy", "bins").selectExpr("slope", "my - slope * ml AS intercept", "wy", "inline(bins)")
     r2 = "1 - sum(sqrt(n) * pow(y - slope * l - intercept, 2d)) / sum(sqrt(n) * pow(y - wy, 2d))"
     return f.agg(F.expr("round(100 * max(slope), 6)").alias("slope_pp_per_log10"), F.expr("round(max(intercept), 7)").alias("intercept"), F.expr(f"round({r2}, 6)").alias("r_squared"), F.count(F.lit(1)).alias("bins"))
+
+
+_LEVELS = f""", p AS (SELECT ticker, event_id, CASE WHEN side = 'yes' THEN yes_price ELSE no_price END / 100.0 AS p, CAST(side = result AS INTEGER) AS won FROM joined),
+m AS (SELECT ticker, any_value(event_id) AS event_id, count(*) * 1.0 AS n, sum(won - p) AS res, sum((won - p) / p) AS roi_t, sum((p - won) / (1 - p)) AS roi_m FROM p GROUP BY ticker),
+u AS (SELECT 'market' AS cluster_level, n, res, roi_t, roi_m FROM m UNION ALL SELECT 'event', sum(n), sum(res), sum(roi_t), sum(roi_m) FROM m GROUP BY event_id),
+t AS (SELECT cluster_level, count(*) AS g, sum(n) AS n, sum(res) / sum(n) AS res, sum(roi_t) / sum(n) AS roi_t, sum(roi_m) / sum(n) AS roi_m FROM u GROUP BY cluster_level),
+i AS (SELECT u.cluster_level, t.g, t.res, t.roi_t, t.roi_m, (u.res - u.n * t.res) / t.n AS ir, (u.roi_t - u.n * t.roi_t) / t.n AS it, (u.roi_m - u.n * t.roi_m) / t.n AS im FROM u JOIN t USING (cluster_level)),
+e AS (SELECT cluster_level, g, res, roi_t, roi_m, sum(ir * ir) AS rr, sum(it * it) AS tt, sum(im * im) AS mm, sum((im - it) * (im - it)) AS dd FROM i GROUP BY ALL),
+r AS (
+  SELECT cluster_level, g, 'mispricing_pp' AS metric, 'taker' AS comparison, res AS v, rr AS ss FROM e UNION ALL SELECT cluster_level, g, 'mispricing_pp', 'maker', -res, rr FROM e UNION ALL SELECT cluster_level, g, 'mispricing_pp', 'maker - taker', -2 * res, 4 * rr FROM e
+  UNION ALL SELECT cluster_level, g, 'gross_roi_pct', 'taker', roi_t, tt FROM e UNION ALL SELECT cluster_level, g, 'gross_roi_pct', 'maker', roi_m, mm FROM e UNION ALL SELECT cluster_level, g, 'gross_roi_pct', 'maker - taker', roi_m - roi_t, dd FROM e),
+s AS (SELECT *, sqrt(g / (g - 1.0) * ss) AS se FROM r), z AS (SELECT *, round(v / nullif(se, 0), 5) AS z FROM s)
+SELECT cluster_level, g AS clusters, metric, comparison, round(100 * v, 6) AS estimate, round(100 * se, 6) AS se, round(100 * (v - 1.96 * se), 6) AS ci_low, round(100 * (v + 1.96 * se), 6) AS ci_high, round({normal_sql('z')}, 5) AS p_value FROM z"""
+
+
+@query("clustered_role_estimates", _LEVELS)
+def clustered_role_estimates(spark, sf_dir):
+    """Mispricing and gross return of takers, makers and their paired gap, with errors by market and by event clusters.
+
+    One aggregation by market gives all sums: a maker's error is the taker's negated, and a cluster's influence is its sum
+    less its executions times the mean. Events are sums of their markets.
+    """
+    p = joined(spark, sf_dir).selectExpr("ticker", "event_id", "CASE WHEN side = 'yes' THEN yes_price ELSE no_price END / 100d AS p", "cast(side = result AS int) AS won")
+    m = p.groupBy("ticker").agg(F.first("event_id").alias("event_id"), F.count(F.lit(1)).cast("double").alias("n"), F.expr("sum(won - p)").alias("res"), F.expr("sum((won - p) / p)").alias("roi_t"), F.expr("sum((p - won) / (1 - p))").alias("roi_m"))
+    sums = ["n", "res", "roi_t", "roi_m"]
+    u = m.selectExpr("'market' AS cluster_level", *sums).union(m.groupBy("event_id").agg(*[F.sum(c).alias(c) for c in sums]).selectExpr("'event'", *sums))
+    t = u.groupBy("cluster_level").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tn"), *[F.expr(f"sum({c}) / sum(n)").alias(f"t_{c}") for c in sums[1:]])
+    i = u.join(F.broadcast(t), "cluster_level").selectExpr("cluster_level", "g", *[f"t_{c}" for c in sums[1:]], *[f"({c} - n * t_{c}) / tn AS i_{c}" for c in sums[1:]])  # two rows on the right
+    e = i.groupBy("cluster_level", "g", *[f"t_{c}" for c in sums[1:]]).agg(*[F.expr(f"sum({x} * {x})").alias(k) for k, x in (("rr", "i_res"), ("tt", "i_roi_t"), ("mm", "i_roi_m"), ("dd", "(i_roi_m - i_roi_t)"))])
+    rows = "stack(6, 'mispricing_pp', 'taker', t_res, rr, 'mispricing_pp', 'maker', -t_res, rr, 'mispricing_pp', 'maker - taker', -2 * t_res, 4 * rr, 'gross_roi_pct', 'taker', t_roi_t, tt, 'gross_roi_pct', 'maker', t_roi_m, mm, 'gross_roi_pct', 'maker - taker', t_roi_m - t_roi_t, dd) AS (metric, comparison, v, ss)"
+    s = e.selectExpr("cluster_level", "g AS clusters", rows).selectExpr("*", "sqrt(clusters / (clusters - 1d) * ss) AS e")
+    z = s.selectExpr("*", "round(v / nullif(e, 0d), 5) AS z")
+    return z.select("cluster_level", "clusters", "metric", "comparison", *[F.expr(f"round({x}, 6)").alias(k) for k, x in (("estimate", "100 * v"), ("se", "100 * e"), ("ci_low", "100 * (v - 1.96d * e)"), ("ci_high", "100 * (v + 1.96d * e)"))], F.round(normal_two_sided("z"), 5).alias("p_value"))

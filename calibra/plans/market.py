@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from calibra.functions.buckets import leading_category, portable_bucket, seeded_order
+from calibra.functions.buckets import decile, leading_category, portable_bucket, quarter_label, seeded_order
 from calibra.operators.positions import joined, positions
 from calibra.operators.rules import RuleTable
-from calibra.plans.base import query
+from calibra.plans.base import onward, query
 from calibra.sources import adapter
 from calibra.sources.adapter import table
+from calibra.sources.readers import valid_trade
 
 #: Our own small rule set, by segment; the first pattern found counts.
 RULES = RuleTable([("AUTO", "Industry"), ("MACHIN", "Industry"), ("BUILD", "Property"), ("HOUSE", "Property")], ("grp",))
@@ -138,6 +139,16 @@ def meta_stats(spark, sf_dir):
     return t.crossJoin(m)  # one row each
 
 
+_META = (("trades", "n_trades"), ("contracts", "contracts"), ("traded markets", "tickers"), ("markets", "n_markets"), ("resolved markets", "n_resolved"), ("events", "n_events"))
+
+
+@query("meta_report", onward("meta_stats", " UNION ALL ".join(f"SELECT '{name}' AS metric, CAST({c} AS BIGINT) AS value, format('{{:,}}', CAST({c} AS BIGINT)) AS shown FROM rows_" for name, c in _META)))
+def meta_report(spark, sf_dir):
+    """The size of the data set, a row a measure, with the number as it is shown."""
+    rows = meta_stats(spark, sf_dir).selectExpr(f"stack({len(_META)}, " + ", ".join(f"'{name}', cast({c} AS bigint)" for name, c in _META) + ") AS (metric, value)")
+    return rows.withColumn("shown", F.format_number("value", 0))
+
+
 @query("trade_audit", "SELECT count(*) AS n, count(*) FILTER (WHERE l_quantity <= 0 OR l_quantity IS NULL) AS bad_count, count(*) FILTER (WHERE l_linestatus NOT IN ('O', 'F')) AS bad_side, count(*) FILTER (WHERE NOT (l_partkey BETWEEN 1 AND 1000000000)) AS bad_part, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS repeated_lines, min(l_shipdate) AS first_ship FROM lineitem", views=False)
 def trade_audit(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
@@ -294,6 +305,46 @@ def ctf_win_rate(spark, sf_dir):
     return fills(spark, sf_dir).where(F.col("price").between(1, 99)).groupBy("price").agg(F.count(F.lit(1)).alias("total_trades"), F.count_if("won").alias("wins")).withColumn("win_rate", F.lit(100.0) * F.col("wins") / F.col("total_trades"))
 
 
+@query("chain_calibration_by_bucket", _FILLS + """SELECT CAST(floor(price / 10.0) * 10 AS INTEGER) AS bucket_low, count(*) AS total, CAST(sum(won::INTEGER) AS BIGINT) AS wins, CAST(sum(price) AS BIGINT) / (100.0 * count(*)) AS mean_predicted, sum(won::INTEGER) * 1.0 / count(*) AS actual_rate
+FROM both_sides WHERE price BETWEEN 1 AND 99 GROUP BY 1""")
+def chain_calibration_by_bucket(spark, sf_dir):
+    b = fills(spark, sf_dir).where(F.col("price").between(1, 99)).groupBy(decile(F.col("price")).alias("bucket_low"))
+    b = b.agg(F.count(F.lit(1)).alias("total"), F.count_if("won").alias("wins"), F.sum("price").alias("p"))
+    return b.selectExpr("bucket_low", "total", "wins", "p / (100d * total) AS mean_predicted", "wins * 1d / total AS actual_rate")
+
+
+@query("chain_volume", """, looked AS (SELECT c_custkey AS pool, CASE WHEN c_custkey % 4 = 0 THEN 'DAI' ELSE 'USDC' END AS collateral FROM customer), b AS (SELECT event_id // 1000 AS bucket, min(ts) AS t FROM events GROUP BY 1),
+f AS (SELECT event_id // 1000 AS bucket, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_type = 'purchase' OR (event_type = 'click' AND user_id IN (SELECT pool FROM looked WHERE collateral = 'USDC'))),
+q AS (SELECT CAST(date_trunc('quarter', t) AS DATE) AS quarter, sum(cents) AS c, count(*) AS n FROM f JOIN b USING (bucket) GROUP BY 1)
+SELECT quarter, CAST(c AS BIGINT) AS volume_cents, n, 'Q' || quarter(quarter) || ' ''' || substr(CAST(year(quarter) AS VARCHAR), 3) AS label FROM q""")
+def chain_volume(spark, sf_dir):
+    """Order-book fills, and those pool trades whose pool a lookup says is in USDC, by the quarter of their block bucket; buckets get their time once summed."""
+    looked = table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "CASE WHEN c_custkey % 4 = 0 THEN 'DAI' ELSE 'USDC' END AS collateral").where("collateral = 'USDC'")
+    e = table(spark, sf_dir, "events").selectExpr("event_id div 1000 AS bucket", "event_type", "user_id", "ts", "cast(round(value * 100) AS bigint) AS cents")
+    told = e.join(looked.select("user_id", F.lit(True).alias("usdc")), "user_id", "left")
+    taken = F.expr("event_type = 'purchase' OR (event_type = 'click' AND coalesce(usdc, false))")
+    by = told.groupBy("bucket").agg(F.min("ts").alias("t"), F.sum(F.when(taken, F.col("cents"))).alias("c"), F.count_if(taken).alias("n")).where("n > 0")
+    q = by.groupBy(F.expr("cast(date_trunc('quarter', t) AS date)").alias("quarter")).agg(F.sum("c").alias("volume_cents"), F.sum("n").alias("n"))
+    return q.withColumn("label", quarter_label(F.col("quarter")))
+
+
+@query("malformed_trades", """, raw AS (SELECT *, l_partkey % 101 AS yes, 99 + l_partkey % 2 - l_partkey % 101 AS no FROM lineitem)
+SELECT count(*) AS trades, count(*) FILTER (WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS without_id, count(*) FILTER (WHERE l_linestatus IS NULL OR l_linestatus NOT IN ('O', 'F')) AS odd_side, count(*) FILTER (WHERE yes NOT BETWEEN 1 AND 99 OR no NOT BETWEEN 1 AND 99) AS odd_price,
+  count(*) FILTER (WHERE yes + no <> 100) AS odd_sum, count(*) FILTER (WHERE NOT coalesce(l_quantity > 0, false)) AS odd_count,
+  count(*) FILTER (WHERE yes BETWEEN 1 AND 99 AND no BETWEEN 1 AND 99 AND yes + no = 100 AND l_linestatus IN ('O', 'F') AND l_quantity > 0 AND l_shipdate IS NOT NULL) AS valid FROM raw""")
+def malformed_trades(spark, sf_dir):
+    """Trades whose raw fields break a rule, by rule, and how many break none: ids, side, prices, their sum of 100, count, time.
+
+    The raw prices are made of the part's key so that some break a rule: 0 and 100 occur, and every other sum is 99.
+    """
+    t = table(spark, sf_dir, "lineitem").selectExpr("concat(l_orderkey, '-', l_linenumber) AS trade_id", "cast(l_orderkey AS string) AS ticker", "CASE l_linestatus WHEN 'O' THEN 'yes' WHEN 'F' THEN 'no' END AS taker_side",
+        "l_partkey % 101 AS yes_price", "99 + l_partkey % 2 - l_partkey % 101 AS no_price", "l_quantity AS `count`", "l_shipdate AS created_time")
+    return t.agg(
+        F.count(F.lit(1)).alias("trades"), F.count_if(F.col("trade_id").isNull()).alias("without_id"), F.count_if(F.col("taker_side").isNull()).alias("odd_side"), F.count_if(~(F.col("yes_price").between(1, 99) & F.col("no_price").between(1, 99))).alias("odd_price"),
+        F.count_if(F.col("yes_price") + F.col("no_price") != 100).alias("odd_sum"), F.count_if(~F.coalesce(F.col("count") > 0, F.lit(False))).alias("odd_count"), F.count_if(valid_trade()).alias("valid"),
+    )
+
+
 @query("block_volume", """, b AS (SELECT event_id // 1000 AS bucket, min(ts) AS t FROM events GROUP BY 1), f AS (SELECT event_id // 1000 AS bucket, event_type, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_type IN ('purchase', 'click') OR event_id % 7 = 0)
 SELECT CAST(date_trunc('week', t) AS DATE) AS week_start, CAST(sum(cents) AS BIGINT) AS volume_cents, count(*) AS n FROM f JOIN b USING (bucket) GROUP BY 1""")
 def block_volume(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calibra.operators import text
 from calibra.operators.attributes import attributes
+from calibra.operators.guards import require
 from calibra.operators.sampling import stable_sample
 from calibra.operators.stage import staged
 from calibra.plans.base import query
@@ -53,6 +54,7 @@ def text_vocabulary(spark, sf_dir):
 
 
 def fitted(spark, sf_dir) -> text.Encoder:
+    require(families(spark, sf_dir).select("ticker", "event_id", "split"), "ticker", "event_id", "split")  # no contract twice, no event in two splits
     sample = training_sample(spark, sf_dir).persist()
     try:
         return text.fit_svd(text.fit_vocabulary(sample), sample)

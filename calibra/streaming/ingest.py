@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibra.sources.chunks import CHUNK_ROWS, ChunkStore
 from calibra.sources.sinks import insert_absent
 
 
@@ -38,6 +39,15 @@ def upsert_absent(stream: DataFrame, target: str, checkpoint: str, key: str, aft
     return query
 
 
+def upsert_chunks(stream: DataFrame, folder: str, name: str, checkpoint: str, key: str, rows: int = CHUNK_ROWS):
+    """Appends rows whose key isn't stored yet to a chunked store, which reads the keys of those chunks only that may hold one.
+    A batch that comes again after an interruption adds nothing, as its keys are there."""
+    store = ChunkStore(stream.sparkSession, folder, name, key, rows)
+    query = stream.writeStream.foreachBatch(lambda df, _: store.append(df) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def tumbling_counts(stream: DataFrame, event_time: str = "ts", width: str = "1 day", late: str = "1 hour") -> DataFrame:
     timed = stream.withColumn("_at", F.col(event_time).cast("timestamp")).withWatermark("_at", late)
     return timed.groupBy(F.window("_at", width).alias("w")).agg(F.count(F.lit(1)).alias("n")).selectExpr("w.start AS window_start", "n")
