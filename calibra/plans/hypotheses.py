@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from calibra.functions.buckets import equal_width
 from calibra.functions.stats import normal_sql, normal_two_sided, normal_upper, student_sql, student_two_sided
 from calibra.operators.positions import joined, positions
-from calibra.plans.base import onward, query
+from calibra.plans.base import ORACLE_SQL, QUERIES, onward, query
 from calibra.plans.inference import mann_whitney, welch
 from calibra.plans.price import by_role
 
@@ -158,3 +158,25 @@ def clustered_role_estimates(spark, sf_dir):
     s = e.selectExpr("cluster_level", "g AS clusters", rows).selectExpr("*", "sqrt(clusters / (clusters - 1d) * ss) AS e")
     z = s.selectExpr("*", "round(v / nullif(e, 0d), 5) AS z")
     return z.select("cluster_level", "clusters", "metric", "comparison", *[F.expr(f"round({x}, 6)").alias(k) for k, x in (("estimate", "100 * v"), ("se", "100 * e"), ("ci_low", "100 * (v - 1.96d * e)"), ("ci_high", "100 * (v + 1.96d * e)"))], F.round(normal_two_sided("z"), 5).alias("p_value"))
+
+
+#: What the summary takes of each test: (query, [(metric, SQL over its rows)]). The SQL is read alike by both engines.
+_SUMMARY = (
+    ("mann_whitney_p_values", [("bands", "count(*)"), ("significant", "coalesce(sum(CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END), 0)")]),
+    ("yes_no_asymmetry", [("prices", "count(*)"), ("significant", "coalesce(sum(CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END), 0)"), ("no_better", "coalesce(sum(CASE WHEN no_better THEN 1 ELSE 0 END), 0)"), ("largest_z", "max(abs(z_statistic))")]),
+    ("welch_p_values", [("groups", "count(*)"), ("significant", "coalesce(sum(CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END), 0)"), ("largest_t", "max(abs(t))")]),
+    ("size_correlations", [("pearson_r", "max(CASE WHEN kind = 'pearson' THEN r END)"), ("pearson_p", "max(CASE WHEN kind = 'pearson' THEN p_value END)"), ("spearman_r", "max(CASE WHEN kind = 'spearman' THEN r END)"), ("spearman_p", "max(CASE WHEN kind = 'spearman' THEN p_value END)")]),
+    ("size_fit", [("slope_pp_per_log10", "max(slope_pp_per_log10)"), ("r_squared", "max(r_squared)")]),
+    ("maker_direction_by_range", [("ranges", "count(*)"), ("significant", "coalesce(sum(CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END), 0)"), ("no_better", "coalesce(sum(CASE WHEN no_better THEN 1 ELSE 0 END), 0)"), ("largest_t", "max(abs(t))")]),
+)
+
+
+@query("statistical_tests", " UNION ALL ".join(f"SELECT '{name}' AS test, '{metric}' AS metric, CAST({x} AS DOUBLE) AS value FROM ({ORACLE_SQL[name]}) r" for name, parts in _SUMMARY for metric, x in parts), views=False)
+def statistical_tests(spark, sf_dir):
+    """The outcome of every test as one table: test, metric, value."""
+    out = None
+    for name, parts in _SUMMARY:
+        row = QUERIES[name](spark, sf_dir).agg(*[F.expr(f"cast({x} AS double)").alias(m) for m, x in parts])
+        rows = row.selectExpr(f"stack({len(parts)}, " + ", ".join(f"'{m}', {m}" for m, _ in parts) + ") AS (metric, value)").select(F.lit(name).alias("test"), "metric", "value")
+        out = rows if out is None else out.union(rows)
+    return out
