@@ -97,7 +97,8 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The measurements of every document, and failed_bits: bit k is set where the rule with bit k is broken.
 
     A null text counts as empty and has no words. Null doc_ids stay null; repeated rows give a row each; an empty table
-    gives none; extra columns, whatever their names, stay behind.
+    gives none; extra columns, whatever their names, stay behind. A ledger is there to be written and read by policies: a filter
+    on one that isn't goes down to the texts with its measurements, which are then made twice.
     """
     bits = sum((F.when(F.expr(r.broken), 1 << r.bit).otherwise(0).cast("long") for r in rules[1:]), F.when(F.expr(rules[0].broken), 1 << rules[0].bit).otherwise(0).cast("long"))
     return measurements(docs).withColumn("failed_bits", bits)

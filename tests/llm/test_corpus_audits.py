@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from calibra.llm import divergence as dv
 from calibra.llm import fill_middle as fm
 from calibra.llm import rule_ledger as rl
+from calibra.llm.common import materialise
 
 TEXTS = [
     None, "", " \t\n\x0b\x0c\r ", "a", "a b c", "a a a a", "a b a b a b", "x y z " * 40, "one\ntwo\none\n\n \none two\none", "# $5 & <b> 100% a|b *",
@@ -84,7 +85,7 @@ def test_policies_and_ablations(texts):
 def test_clean_documents_are_kept(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id", "left_semi")
-    kept = rl.ledger(docs).where(rl.passes(rl.Policy("base", 1, rl.BASE)))
+    kept = materialise(rl.ledger(docs)).where(rl.passes(rl.Policy("base", 1, rl.BASE)))
     assert kept.where(~rl.passes(rl.CURRENT)).count() == 0
 
 
