@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from calibra.operators.sampling import sample_each, salt
+from calibra.operators.stage import staged
 
 WORD = r"\b\w\w+\b"
 OVERSAMPLE = 10
@@ -72,6 +73,12 @@ class Encoder:
             out[row[first]] = np.add.reduceat(w[:, None] * onto[term], first)
         return out
 
+    def unit(self, lists: pa.Array) -> np.ndarray:
+        """The rows on the basis, of unit length, zero where no term is known."""
+        x = self.dense(lists, self.basis)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norm == 0, 1, norm)
+
     def encode(self, df: DataFrame, text: str = "text", name: str = "vector") -> DataFrame:
         """df with a column of unit vectors on the basis, zero where no term is known. No shuffle, batch by batch."""
         kept = [f for f in df.schema.fields if f.name not in ("__terms", name)]
@@ -81,9 +88,7 @@ class Encoder:
 
         def work(batches):
             for batch in batches:
-                x = mine.dense(batch.column("__terms"), mine.basis)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                x = x / np.where(norm == 0, 1, norm)
+                x = mine.unit(batch.column("__terms"))
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(x) + 1) * k, k), pa.int32()), pa.array(x.ravel()))
                 columns = [batch.column(f.name).cast(arrow.field(f.name).type) for f in kept]
                 yield pa.RecordBatch.from_arrays([*columns, vectors.cast(arrow.field(name).type)], schema=arrow)
@@ -207,30 +212,57 @@ def family_centres(vectors: DataFrame, key: str = "id", most: int = 1000, distan
     return known.groupBy("family").applyInPandas(cluster, "family string, cluster int, centre array<double>, members long")
 
 
-def nearest_centres(vectors: DataFrame, centres: DataFrame, key: str = "id", rows: int = 50_000) -> DataFrame:
+def nearest_centres(vectors: DataFrame, centres: DataFrame, key: str = "id", rows: int = 50_000, encoder: Encoder | None = None, text: str = "text") -> DataFrame:
     """vectors, all of them, with cluster and similarity of the most similar centre of their family, ties to the smaller cluster;
-    both null where the family has no centre.
+    both null where the family has no centre. The vectors themselves stay behind.
 
-    A family's rows are dealt over tasks of about ``rows``, each of which gets the family's centres (1,000 at most).
+    With ``encoder``, rows have ``text`` in the place of a vector, and are encoded in the task that has the centres: a vector
+    takes several times the room of a title, so none is shuffled or written. A family's rows are dealt over tasks of about
+    ``rows``, to each of which the family's centres (1,000 at most) come first; rows then pass batch by batch.
     """
-    parts = F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts")
-    sizes = vectors.groupBy("family").agg(parts)
-    dealt = vectors.join(sizes, "family").withColumn("part", salt(F.col(key), F.col("parts"))).drop("parts")
-    spread = centres.join(sizes, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", "part", "cluster", "centre")
-    kept = [f for f in vectors.schema.fields if f.name not in ("cluster", "similarity")]
+    sizes = staged(vectors.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("__parts")))  # a row a family; written, its size is known
+    kept = [f for f in vectors.schema.fields if f.name not in ("cluster", "similarity", "vector", *([text] if encoder else []))]
+    own = [F.col(text).alias("__text")] if encoder else [F.col("vector").alias("__vector")]
+    dealt = vectors.join(sizes, "family", "left").select(*[f.name for f in kept], salt(F.col(key), F.coalesce("__parts", F.lit(1))).alias("__part"), *own)
+    spread = centres.join(sizes, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), F.col("cluster").alias("__cluster"), F.col("centre").alias("__vector"))
+    met = dealt.unionByName(spread, allowMissingColumns=True).repartition("family", "__part").sortWithinPartitions("family", "__part", F.col("__cluster").asc_nulls_last())
+    if encoder:
+        met = met.withColumn("__text", terms_of(F.col("__text")))
     schema = StructType([*kept, *StructType.fromDDL("cluster int, similarity double").fields])
-
-    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[[f.name for f in kept]].copy()
-        if not len(right) or not len(left):
-            return out.assign(cluster=pd.array([None] * len(out), dtype="Int32"), similarity=np.nan if len(out) else pd.Series(dtype=float))
-        right = right.sort_values("cluster")
-        scores = np.stack(left["vector"].to_list()) @ np.stack(right["centre"].to_list()).T
-        best = scores.argmax(axis=1)
-        return out.assign(cluster=pd.array(right["cluster"].to_numpy()[best], dtype="Int32"), similarity=scores[np.arange(len(best)), best])
-
-    found = dealt.groupBy("family", "part").cogroup(spread.groupBy("family", "part")).applyInPandas(assign, schema)
-    return found.withColumn("similarity", F.when(F.col("cluster").isNotNull(), F.col("similarity")))
+    arrow = to_arrow_schema(schema)
+
+    def work(batches):
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            family, part, number = batch.column("family"), batch.column("__part").to_numpy(), batch.column("__cluster")
+            code = family.dictionary_encode().indices.fill_null(-1).to_numpy()
+            spot = number.is_valid().to_numpy(zero_copy_only=False)
+            number = number.fill_null(-1).to_numpy()
+            given = batch.column("__vector")
+            there = given.is_valid().to_numpy(zero_copy_only=False)
+            given, place = given.flatten().to_numpy().reshape(int(there.sum()), -1) if there.any() else None, np.cumsum(there) - 1
+            x = encoder.unit(batch.column("__text")) if encoder else given[place]
+            cluster, score = np.full(batch.num_rows, -1, dtype=np.int32), np.zeros(batch.num_rows)
+            cuts = (np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1]) | (spot[1:] != spot[:-1])) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if (now := (family[a].as_py(), int(part[a]))) != last:
+                    last, held = now, []
+                if spot[a]:
+                    held.append((number[a:b], given[place[a:b]]))
+                elif held:
+                    names, centre = (np.concatenate(h) for h in zip(*held, strict=True))
+                    held = [(names, centre)]
+                    near = x[a:b] @ centre.T
+                    best = near.argmax(axis=1)
+                    cluster[a:b], score[a:b] = names[best], near[np.arange(b - a), best]
+            rest = np.flatnonzero(~spot)
+            columns = [batch.column(f.name).take(pa.array(rest)).cast(arrow.field(f.name).type) for f in kept]
+            none = cluster[rest] < 0
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cluster[rest], pa.int32(), mask=none), pa.array(score[rest], pa.float64(), mask=none)], schema=arrow)
+
+    return met.mapInArrow(work, schema)
 
 
 def assignments(nearest: DataFrame, event: str = "event_id", least: float = 0.75, contracts: int = 20, events: int = 10) -> DataFrame:
@@ -239,10 +271,11 @@ def assignments(nearest: DataFrame, event: str = "event_id", least: float = 0.75
     A cluster has support if ``contracts`` training rows of ``events`` events are ``least`` similar to it. unseen_family: no
     training row has the family; insufficient_training_support: no centre, or a similar one without support; distant: no centre ``least`` similar.
     """
-    train = F.col("split") == "train"
-    seen = nearest.where(train).select("family").distinct().withColumn("__seen", F.lit(True))
-    close = nearest.where(train & (F.col("similarity") >= least)).groupBy("family", "cluster")
-    support = close.agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(event).alias("__e")).where((F.col("__n") >= contracts) & (F.col("__e") >= events)).select("family", "cluster", F.lit(True).alias("__supported"))
+    close = F.col("similarity") >= least
+    groups = nearest.where("split = 'train'").groupBy("family", "cluster").agg(F.count_if(close).alias("__n"), F.countDistinct(F.when(close, F.col(event))).alias("__e"))
+    groups = staged(groups)  # a row a cluster; written, its size is known, and ``nearest`` need not be shuffled to meet it
+    seen = groups.select("family").distinct().withColumn("__seen", F.lit(True))
+    support = groups.where((F.col("__n") >= contracts) & (F.col("__e") >= events)).select("family", "cluster", F.lit(True).alias("__supported"))
     known = nearest.join(seen, "family", "left").join(support, ["family", "cluster"], "left")
     status = (
         F.when(F.col("__seen").isNull(), "unseen_family")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from calibra.operators import text
 from calibra.operators.attributes import attributes
 from calibra.operators.guards import require
-from calibra.operators.sampling import stable_sample
-from calibra.operators.stage import staged
+from calibra.operators.sampling import sample_each, stable_sample
+from calibra.operators.stage import discard, staged
 from calibra.plans.base import query
 from calibra.plans.market import _SPLIT, split_of
 from calibra.sources import adapter
@@ -53,18 +53,27 @@ def text_vocabulary(spark, sf_dir):
     return text.vocabulary(training_sample(spark, sf_dir)).select("term", "tf", "df", F.round("idf", 9).alias("idf"))
 
 
-def fitted(spark, sf_dir) -> text.Encoder:
-    require(families(spark, sf_dir).select("ticker", "event_id", "split"), "ticker", "event_id", "split")  # no contract twice, no event in two splits
-    sample = training_sample(spark, sf_dir).persist()
+def titles(spark, sf_dir) -> DataFrame:
+    """Every contract's event, split, family and text, joined once and written: fit, centres and assignment read this table."""
+    return staged(families(spark, sf_dir).select("ticker", "event_id", "split", "family", "text"), "zstd")
+
+
+def fit(rows: DataFrame) -> text.Encoder:
+    require(rows.select("ticker", "event_id", "split"), "ticker", "event_id", "split")  # no contract twice, no event in two splits
+    sample = stable_sample(rows.where("split = 'train'").select("ticker", "text"), "ticker", FIT_ROWS).persist()
     try:
         return text.fit_svd(text.fit_vocabulary(sample), sample)
     finally:
         sample.unpersist()
 
 
+def fitted(spark, sf_dir) -> text.Encoder:
+    return fit(titles(spark, sf_dir))
+
+
 def vectors(spark, sf_dir) -> DataFrame:
-    rows = families(spark, sf_dir).select("ticker", "event_id", "split", "family", "text")
-    return fitted(spark, sf_dir).encode(rows).drop("text")
+    rows = titles(spark, sf_dir)
+    return fit(rows).encode(rows).drop("text")
 
 
 @query("text_vectors")
@@ -74,19 +83,23 @@ def text_vectors(spark, sf_dir):
 
 
 def centred(spark, sf_dir):
-    """(vectors, centres): centres of the families' training rows."""
-    v = staged(vectors(spark, sf_dir))
-    return v, staged(text.family_centres(v.where("split = 'train'"), "ticker", FAMILY_ROWS))
+    """(titles, encoder, centres): centres of the families' training rows. Only rows that may make a centre become vectors."""
+    rows = titles(spark, sf_dir)
+    encoder = fit(rows)
+    sample = sample_each(rows.where("split = 'train'").select("ticker", "family", "text"), "family", "ticker", FAMILY_ROWS)
+    return rows, encoder, staged(text.family_centres(encoder.encode(sample), "ticker", FAMILY_ROWS))
 
 
 @query("text_centres")
 def text_centres(spark, sf_dir):
-    return centred(spark, sf_dir)[1]
+    return centred(spark, sf_dir)[2]
 
 
 def assigned(spark, sf_dir) -> DataFrame:
-    v, c = centred(spark, sf_dir)
-    return text.assignments(staged(text.nearest_centres(v, c, "ticker")))
+    rows, encoder, centres = centred(spark, sf_dir)
+    near = staged(text.nearest_centres(rows, centres, "ticker", encoder=encoder))
+    discard(rows)
+    return text.assignments(near)
 
 
 @query("text_assignments")

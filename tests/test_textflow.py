@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from calibra.operators import text
 from calibra.operators.attributes import attributes
 from calibra.operators.sampling import sample_each, stable_sample
+from calibra.operators.stage import staged
 from calibra.plans import textflow
 
 SF = "/root/testdata/sf0.001"
@@ -204,3 +206,43 @@ def test_queries_of_the_flow_agree(spark):
     assert all(abs(np.linalg.norm(c.centre) - 1) < 1e-9 for c in centres) and sum(c.members for c in centres) <= sum(n for (s, _), n in count.items() if s == "train")
     vectors = [np.linalg.norm(r.vector) for r in textflow.text_vectors(spark, SF).collect()]
     assert len(vectors) == len(rows) and all(abs(v - 1) < 1e-9 for v in vectors)
+
+
+@pytest.mark.parametrize("query", ["text_assignments", "cluster_support", "assignment_coverage"])
+def test_no_table_of_vectors_is_written(spark, monkeypatch, query):
+    written = []
+
+    def watched(df, *args):
+        out = staged(df, *args)
+        written.append(out)
+        return out
+
+    monkeypatch.setattr(text, "staged", watched)
+    monkeypatch.setattr(textflow, "staged", watched)
+    getattr(textflow, query)(spark, SF).collect()
+    wide = [out.columns for out in written if {"vector", "text"} & set(out.columns)]
+    assert wide == [["ticker", "event_id", "split", "family", "text"]]
+    titles = next(out for out in written if "text" in out.columns)
+    assert not list(Path(titles.staged_at.removeprefix("file:")).glob("*.parquet"))  # gone once the assignment is written
+
+
+def test_texts_meet_centres_as_vectors_do(spark):
+    rows = [(k, f"f{k % 3}", t) for k, t in enumerate(TITLES * 3)] + [(900, None, "red apple"), (901, "alone", "blue ocean")]
+    df = spark.createDataFrame(rows, "id long, family string, text string")
+    encoder = text.fit_svd(text.fit_vocabulary(df), df)
+    vectors = encoder.encode(df)
+    centres = text.family_centres(vectors.where("family in ('f0', 'f1')"), most=20).persist()
+    own = {r.id: np.array(r.vector) for r in vectors.collect()}
+    of = {f: sorted((r.cluster, np.array(r.centre)) for r in centres.collect() if r.family == f) for f in ("f0", "f1")}
+    for limit in (4, 50_000):
+        by_text = {r.id: r for r in text.nearest_centres(df, centres, rows=limit, encoder=encoder).collect()}
+        by_vector = {r.id: r for r in text.nearest_centres(vectors.drop("text"), centres, rows=limit).collect()}
+        assert set(by_text) == set(by_vector) == set(own)
+        for k, family, _ in rows:
+            for r in (by_text[k], by_vector[k]):
+                assert r.family == family and "vector" not in r and "text" not in r
+                if family not in of:
+                    assert r.cluster is None and r.similarity is None
+                    continue
+                near = [float(own[k] @ c) for _, c in of[family]]
+                assert abs(r.similarity - max(near)) < 1e-9 and near[r.cluster] > max(near) - 1e-9
