@@ -61,15 +61,14 @@ def heldout_predictions(spark, sf_dir):
 @query("correction_histogram")
 def correction_histogram(spark, sf_dir):
     """Share of validation executions by the size of the correction, in 60 bins that all models share."""
-    v = staged(held_out(spark, sf_dir).where("split = 'validation'"))
-    each = v.select("n", F.expr("stack(3, " + ", ".join(f"'{k}', 100 * ({k} - price)" for k in SETS) + ") AS (approach, x)"))
-    values = each.groupBy("approach", "x").agg(F.sum("n").alias("n"))
+    each = held_out(spark, sf_dir).where("split = 'validation'").select("n", F.expr("stack(3, " + ", ".join(f"'{k}', 100 * ({k} - price)" for k in SETS) + ") AS (approach, x)"))
+    values = staged(each.groupBy("approach", "x").agg(F.sum("n").alias("n")))  # a row a correction, not a row a cell
     span = values.agg(F.min("x").alias("low"), F.max("x").alias("high"))
     width = (F.col("high") - F.col("low")) / BINS
     placed = values.crossJoin(span).withColumn("bin", F.least(F.lit(BINS - 1), F.coalesce(F.floor((F.col("x") - F.col("low")) / F.nullif(width, F.lit(0.0))), F.lit(0)).cast("int")))  # one row
     found = placed.groupBy("approach", "bin").agg(F.sum("n").alias("n"))
     spine = span.select(F.explode(F.array(*[F.lit(k) for k in SETS])).alias("approach"), "low", "high").select("approach", "low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
-    total = v.agg(F.sum("n").alias("total"))
+    total = values.where(F.col("approach") == next(iter(SETS))).agg(F.sum("n").alias("total"))  # every approach has all executions
     out = spine.join(found, ["approach", "bin"], "left").crossJoin(total)  # one row on the right
     return out.select("approach", "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("from_pp"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("to_pp"), (F.coalesce("n", F.lit(0.0)) / F.col("total")).alias("share"))
 
@@ -79,7 +78,8 @@ def compared(rows: DataFrame, pairs=PAIRS, repetitions: int = 2000, seed: int =
     events are drawn again, its sign, events."""
     loss = lambda c: f"n * pow(outcome - `{c}`, 2d)"
     names = [f"d{k}" for k in range(len(pairs))]
-    blocks = rows.groupBy("event_id").agg(F.sum("n").alias("w"), *[F.expr(f"sum({loss(base)} - {loss(cand)})").alias(d) for d, (cand, base) in zip(names, pairs, strict=True)])
+    sums = [F.expr(f"sum({loss(base)} - {loss(cand)})").alias(d) for d, (cand, base) in zip(names, pairs, strict=True)]
+    blocks = staged(rows.groupBy("event_id").agg(F.sum("n").alias("w"), *sums))  # a row an event; read twice below
     stacked = lambda df, extra="": df.selectExpr(*([extra] if extra else []), f"stack({len(pairs)}, " + ", ".join(f"'{c}', '{b}', {d} / w" for d, (c, b) in zip(names, pairs, strict=True)) + ") AS (candidate, baseline, x)")
     draws = stacked(resampled_sums(blocks, "event_id", ["w", *names], repetitions, seed))
     spread = draws.groupBy("candidate", "baseline").agg(F.expr("percentile(x, 0.025d)").alias("ci_low"), F.expr("percentile(x, 0.975d)").alias("ci_high"))
@@ -90,7 +90,7 @@ def compared(rows: DataFrame, pairs=PAIRS, repetitions: int = 2000, seed: int =
 
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
-    return compared(staged(held_out(spark, sf_dir).where("split = 'test'")))
+    return compared(held_out(spark, sf_dir).where("split = 'test'"))
 
 
 @query("ridge_scores")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from calibra.operators import resample, ridge
+from calibra.operators.stage import staged
 from calibra.plans import models
 
 
@@ -155,3 +156,12 @@ def test_sizes_and_comparison_of_the_queries(spark):
     for r in models.model_comparison(spark, sf).collect():
         gain = sum(x["n"] * ((x["outcome"] - x[r.baseline]) ** 2 - (x["outcome"] - x[r.candidate]) ** 2) for x in test) / sum(x["n"] for x in test)
         assert abs(r.improvement - gain) < 1e-9 and r.ci_low <= r.ci_high and r.events == len({x["event_id"] for x in test})
+
+
+@pytest.mark.parametrize("query", ["correction_histogram", "model_comparison", "model_sizes", "heldout_predictions"])
+def test_predictions_are_not_written_cell_by_cell(spark, monkeypatch, query):
+    written = []
+    monkeypatch.setattr(models, "staged", lambda df, *args: written.append(df.columns) or staged(df, *args))
+    getattr(models, query)(spark, "/root/testdata/sf0.001").collect()
+    assert [c for c in written if "ticker" in c] == [["ticker", "event_id", "price", "outcome", "n", "contracts", "split", "family", "cluster"]]
+    assert not [c for c in written if "vector" in c or set(models.SETS) & set(c)]
