@@ -16,12 +16,15 @@ each, so neither the JVM nor Python handles a record by itself.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from calibra.llm import line_words as lw
 from calibra.llm.common import map_arrow, materialise, release, slices
@@ -36,6 +39,8 @@ TILE, GROUP = 4096, 512
 SAMPLE, COMMON = 4000, 65_536
 #: Bytes of records that a task holds before it sends them, and that a bucket has, about.
 HELD, BUCKET = 16 << 20, 16 << 20
+#: What tells the number of words, and so of buckets, before texts are parsed; it sets the cost only.
+BYTES_A_WORD = 6
 #: What meets in a bucket: the key's low half, words and the key word's place (both 65535 at most; then the place is unknown), the line, its parities.
 RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8"), ("odd", "<u8", 3)])
 LONG_RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8")])
@@ -100,6 +105,15 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return keyed(docs).select(F.col(ID), F.col(HASH), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def line_rows(found: lw.Lines, batch: pa.RecordBatch, s: slice, similarity: float) -> dict:
+    """The columns of ``lines`` for the texts ``s`` of a batch (id, hash, text)."""
+    at = pa.array(found.doc + s.start)
+    wide = np.flatnonzero(found.n >= similarity * LONG)
+    parity = np.full(len(found.n), None, dtype=object)
+    parity[wide] = parities(found.words[found.word_places(wide)], found.n[wide]).to_pylist()
+    return {"doc_id": batch.column(0).take(at), "th": batch.column(1).take(at), "line_no": found.line_no, "lid": found.lid.view(np.int64), "n": found.n, "parity": parity}
+
+
 def lines(docs: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, th, line_no, lid, n, parity): every line with a word; lid hashes its normal form, n is its number of words.
     Lines that may be similar to one of more than LONG words have parities."""
@@ -108,12 +122,7 @@ def lines(docs: DataFrame, similarity: float) -> DataFrame:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for s in lw.some(texts):
-                found = lw.lines_of(texts[s])
-                at = pa.array(found.doc + s.start)
-                wide = np.flatnonzero(found.n >= similarity * LONG)
-                parity = np.full(len(found.n), None, dtype=object)
-                parity[wide] = parities(found.words[found.word_places(wide)], found.n[wide]).to_pylist()
-                yield {"doc_id": batch.column(0).take(at), "th": batch.column(1).take(at), "line_no": found.line_no, "lid": found.lid.view(np.int64), "n": found.n, "parity": parity}
+                yield line_rows(lw.lines_of(texts[s]), batch, s, similarity)
 
     return map_arrow(texts_of(docs), work, LINES)
 
@@ -212,14 +221,24 @@ def long_records(found: lw.Lines, chosen: np.ndarray, common: np.ndarray, simila
     return key, out
 
 
-def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, similarity: float) -> DataFrame:
-    """(bucket, long, data): the records of all lines of ``min_words`` or more, by the upper half of their keys."""
+def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, similarity: float, whole: bool = False) -> DataFrame:
+    """(bucket, long, data): the records of all lines of ``min_words`` or more, by the upper half of their keys. With ``whole``
+    also the rows of ``lines``, as Arrow streams in any bucket whose ``long`` is null, so that texts are parsed once for both."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
+    arrow = to_arrow_schema(StructType.fromDDL(LINES))
 
     def work(batches):
-        held, size, seen = ([], []), 0, set()
+        held, own, size, seen = ([], []), [], 0, set()
+        spots = count(TaskContext.get().partitionId() * 1_000_003)
 
         def send():
+            if own:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, arrow) as out:
+                    for rows in own:
+                        out.write_batch(rows)
+                yield {"bucket": [next(spots) % buckets], "long": [None], "data": [sink.getvalue().to_pybytes()]}
+                own.clear()
             for kind, parts in enumerate(held):
                 if parts:
                     keys, rows = (np.concatenate([h[k] for h in parts]) for k in (0, 1))
@@ -234,6 +253,10 @@ def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, si
             texts = batch.column("text").to_pylist()
             for s in lw.some(texts):
                 found = lw.lines_of(texts[s])
+                if whole:
+                    rows = line_rows(found, batch, s, similarity)
+                    own.append(pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in arrow], schema=arrow))
+                    size += own[-1].nbytes
                 lid, at = np.unique(found.lid, return_index=True)
                 new = [k for k, x in zip(at.tolist(), lid.tolist(), strict=True) if x not in seen]
                 seen.update(lid.tolist())
@@ -254,7 +277,7 @@ def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, si
 
 
 def whole_buckets(batches):
-    """(bucket, long, its records) of rows sorted by bucket and kind."""
+    """(bucket, long, its records) of rows sorted by bucket and kind; of kind null, each stream of lines by itself."""
     last, held = None, []
     for batch in batches:
         for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -262,6 +285,9 @@ def whole_buckets(batches):
                 yield *last, np.concatenate(held)
                 held = []
             last = bucket, kind
+            if kind is None:
+                yield bucket, kind, data.as_buffer()
+                continue
             held.append(np.frombuffer(data.as_buffer(), dtype=LONG_RECORD if kind else RECORD))
     if held:
         yield *last, np.concatenate(held)
@@ -338,26 +364,42 @@ def by_key_and_size(rows: np.ndarray) -> np.ndarray:
 
 
 def prefix_links(docs: DataFrame, distinct: DataFrame, words: int, n_docs: int, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, tile: int = TILE, few: int = FEW, bucket_bytes: int = BUCKET) -> DataFrame:
-    """(a, b): lines that share a key and may be similar, down to a spanning forest of each bucket. ``words``: of all lines.
+    """(a, b): lines that share a key and may be similar, down to a spanning forest of each bucket. ``words``: of all lines, about.
 
-    distinct: (lid, n, parity). A word of more than ``tile`` lines isn't compared in its bucket: its lines are dealt over
-    pairs of tiles. Nor are the lines of a word pair that has more than ``few``: they meet again with their wide parities.
+    distinct: (lid, n, parity).
+    """
+    return met_links(meetings(docs, words, n_docs, similarity, min_words, tile, few, bucket_bytes), distinct, similarity, tile)
+
+
+LINK, PAIR, HOT, HOT_LONG, LINE = range(5)
+
+
+def meetings(docs: DataFrame, words: int, n_docs: int, similarity: float, min_words: int, tile: int = TILE, few: int = FEW, bucket_bytes: int = BUCKET, whole: bool = False) -> DataFrame:
+    """What becomes of the buckets, by kind, as a written table; with ``whole`` also all lines (LINE: a is doc_id, b th, part line_no, data parity).
+
+    A word of more than ``tile`` lines isn't compared in its bucket: its lines are dealt over pairs of tiles. Nor are the
+    lines of a word pair that has more than ``few``: they meet again with their wide parities.
     """
     spark = docs.sparkSession
     expected = int(words * (1 - similarity) + 1) * RECORD.itemsize
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), expected // bucket_bytes)
-    sent = packed(docs, common_words(docs, n_docs), buckets, min_words, similarity)
-    schema = "kind int, a long, b long, part int, data binary"
-    LINK, PAIR, HOT, HOT_LONG = range(4)
+    sent = packed(docs, common_words(docs, n_docs), buckets, min_words, similarity, whole)
+    schema = "kind int, a long, b long, part int, data binary, lid long, n int"
 
     def rows_of(kind, a, b, part=None, data=None):
-        return {"kind": [kind] * len(a), "a": a, "b": b, "part": part or [None] * len(a), "data": data or [None] * len(a)}
+        none = [None] * len(a)
+        return {"kind": [kind] * len(a), "a": a, "b": b, "part": part or none, "data": data or none, "lid": none, "n": none}
 
     def work(batches):
         more: list[dict] = []
 
         def within(_):
             for bucket, kind, rows in whole_buckets(batches):
+                if kind is None:
+                    for own in pa.ipc.open_stream(rows):
+                        more.append({"kind": np.full(own.num_rows, LINE)} | {c: own.column(k) for k, c in enumerate(("a", "b", "part", "lid", "n", "data"))})
+                    yield {"a": [], "b": []}
+                    continue
                 rows = by_key_and_size(rows)
                 _, start, size = np.unique(rows["key"], return_index=True, return_counts=True)
                 most = few if kind else tile
@@ -384,6 +426,11 @@ def prefix_links(docs: DataFrame, distinct: DataFrame, words: int, n_docs: int,
     met = materialise(map_arrow(sent.repartition("bucket").sortWithinPartitions("bucket", "long"), work, schema))
     del sent
     release(spark)
+    return met
+
+
+def met_links(met: DataFrame, distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b) of ``meetings``: the links found in buckets, and those of what has to be compared elsewhere."""
     of = lambda kind: met.where(F.col("kind") == kind)
     hot = of(HOT).select(F.col("a").alias("key"), "part", "data")
     # every two parts of a hot word, each with itself among them
@@ -574,11 +621,12 @@ def fetched(docs: DataFrame, suspects: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, th, dropped): per document the numbers of the lines that go."""
-    all_lines = materialise(lines(docs, similarity))
-    size = all_lines.agg(F.sum("n").alias("words"), F.approx_count_distinct("doc_id").alias("docs")).first()
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
+    met = meetings(docs, (size["bytes"] or 0) // BYTES_A_WORD, size["docs"], similarity, min_words, whole=True)
+    all_lines = met.where(F.col("kind") == LINE).select(F.col("a").alias("doc_id"), F.col("b").alias("th"), F.col("part").alias("line_no"), "lid", "n", F.col("data").alias("parity"))
     place = F.struct("doc_id", "th", "line_no")
     distinct = materialise(all_lines.groupBy("lid").agg(F.min(F.struct("doc_id", "th", "line_no", "n", "parity")).alias("first"), F.count(F.lit(1)).alias("times")).select("lid", "first.n", "first.doc_id", "first.th", "first.line_no", "first.parity", "times"))
-    parts = connected_components(prefix_links(docs, distinct, size["words"] or 0, size["docs"], similarity, min_words))
+    parts = connected_components(met_links(met, distinct, similarity))
     suspects = distinct.join(parts, distinct["lid"] == parts["node"]).select("lid", "n", F.col("component").alias("comp"), "doc_id", "th", "line_no")
     linked = connected_components(verified_links(materialise(fetched(docs, suspects)), similarity))
     joined = distinct.join(linked, distinct["lid"] == linked["node"]).select("lid", "component", place.alias("first"))
@@ -615,7 +663,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_words: int =
     n = F.coalesce(F.size(F.col(DROPPED)), F.lit(0))
     left = F.array_join(F.filter(plain, lambda x, k: ~F.array_contains(F.col(DROPPED), k)), "\n")
     lines_name, dropped_name = (free_name(c, docs.columns) for c in ("n_lines", "n_dropped"))
-    out = met.withColumns({lines_name: F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(plain)), dropped_name: F.when(F.col(DROPPED).isNull(), 0).otherwise(n)})
+    out = met.withColumns({lines_name: F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1), dropped_name: F.when(F.col(DROPPED).isNull(), 0).otherwise(n)})
     return out.withColumn("text", F.when(F.col(DROPPED).isNull(), F.col("text")).otherwise(left)).drop(DROPPED)
 
 

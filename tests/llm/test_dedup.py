@@ -191,3 +191,13 @@ def test_long_lines_take_the_general_order():
     n, common = np.array([70_000, 10]), np.zeros(1 << 18, dtype=np.uint8)
     at = ld.ranked(words, n, common[words >> np.uint64(46)])
     assert (np.diff(words[at][:70_000].astype(object)) >= 0).all() and sorted(at[70_000:]) == list(range(70_000, 70_010))
+
+
+def test_texts_are_parsed_once_for_lines_and_records(spark, monkeypatch):
+    def apart(*_):
+        raise AssertionError("a pass of its own over all texts")
+
+    monkeypatch.setattr(ld, "lines", apart)
+    rows = [(k, f"one line that all of them have in common\nown{k} words of page{k} stay{k} here{k} too{k}\n\n--") for k in range(40)]
+    got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.text for r in got} == similar_lines(rows) and {r.n_lines for r in got} == {4} and sum(r.n_dropped for r in got) == 39
