@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from calibra.llm import line_words as lw
 from calibra.llm.common import map_arrow, materialise, release, slices
@@ -44,6 +42,8 @@ BYTES_A_WORD = 6
 #: What meets in a bucket: the key's low half, words and the key word's place (both 65535 at most; then the place is unknown), the line, its parities.
 RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8"), ("odd", "<u8", 3)])
 LONG_RECORD = np.dtype([("key", "<u4"), ("n", "<u2"), ("place", "<u2"), ("lid", "<u8")])
+#: A line's first place in what a task sends at once, with how often it is there; the other places go apart, as 0 times. ``known``: doc isn't null.
+PLACE = np.dtype([("lid", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("line", "<i4"), ("n", "<i4"), ("times", "<i4"), ("known", "?")])
 MOST = 65_535
 #: Words of the longer line beyond which a pair meets by word pairs (192 parities tell up to 140 apart); lines of a word pair of which every two are taken down.
 LONG, FEW = 60, 32
@@ -59,12 +59,13 @@ def line_words(line: str) -> list[str]:
 
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, a bit column at a time (Myers 1999, Hyyro 2003) on integers of any length."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
+    k, most = 0, min(len(a), len(b))
+    while k < most and a[k] == b[k]:
         k += 1
-    a, b = a[k:], b[k:]
+    end, most = 0, most - k
+    while end < most and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[k : len(a) - end], b[k : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
     where: dict = {}
@@ -108,9 +109,8 @@ def texts_of(docs: DataFrame) -> DataFrame:
 def line_rows(found: lw.Lines, batch: pa.RecordBatch, s: slice, similarity: float) -> dict:
     """The columns of ``lines`` for the texts ``s`` of a batch (id, hash, text)."""
     at = pa.array(found.doc + s.start)
-    wide = np.flatnonzero(found.n >= similarity * LONG)
-    parity = np.full(len(found.n), None, dtype=object)
-    parity[wide] = parities(found.words[found.word_places(wide)], found.n[wide]).to_pylist()
+    wide = found.n >= similarity * LONG
+    parity = sparse(parities(found.words[found.word_places(np.flatnonzero(wide))], found.n[wide]), wide)
     return {"doc_id": batch.column(0).take(at), "th": batch.column(1).take(at), "line_no": found.line_no, "lid": found.lid.view(np.int64), "n": found.n, "parity": parity}
 
 
@@ -221,24 +221,57 @@ def long_records(found: lw.Lines, chosen: np.ndarray, common: np.ndarray, simila
     return key, out
 
 
+def sparse(values: pa.Array, there: np.ndarray) -> pa.Array:
+    """``values`` in the places that are ``there``, in order, null elsewhere."""
+    return values.take(pa.array(np.cumsum(there) - 1, mask=~there))
+
+
+def by_line(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether a line is new) of PLACEs: line by line, each line's first place (a null document, the smallest doc_id) first."""
+    order = np.argsort(rows["lid"], kind="stable")
+    lid = rows["lid"][order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = lid[1:] != lid[:-1]
+    many = ~new
+    many[:-1] |= ~new[1:]
+    at = order[many]
+    order[many] = at[np.lexsort([rows[c][at] for c in ("line", "th", "doc", "known", "lid")])]
+    return order, new
+
+
+def places_of(found: lw.Lines, batch: pa.RecordBatch, s: slice) -> np.ndarray:
+    """The PLACEs of all lines of the texts ``s`` of a batch (id, hash, text), each one time."""
+    doc, out = found.doc + s.start, np.empty(len(found.n), dtype=PLACE)
+    out["doc"], out["known"] = batch.column(0).fill_null(0).to_numpy()[doc], batch.column(0).is_valid().to_numpy(zero_copy_only=False)[doc]
+    out["lid"], out["th"], out["line"], out["n"], out["times"] = found.lid, batch.column(1).to_numpy()[doc], found.line_no, found.n, 1
+    return out
+
+
 def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, similarity: float, whole: bool = False) -> DataFrame:
-    """(bucket, long, data): the records of all lines of ``min_words`` or more, by the upper half of their keys. With ``whole``
-    also the rows of ``lines``, as Arrow streams in any bucket whose ``long`` is null, so that texts are parsed once for both."""
+    """(bucket, long, data, odd): the records of all lines of ``min_words`` or more, by the upper half of their keys. With ``whole``
+    also PLACEs of all lines, so that texts are parsed once for both. Their ``long`` is null, ``odd`` has the parities of wide ones.
+    First places go by the line's hash; what is beyond them, and so a line that is in every document, goes to any bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    arrow = to_arrow_schema(StructType.fromDDL(LINES))
 
     def work(batches):
-        held, own, size, seen = ([], []), [], 0, set()
+        held, own, size, seen = ([], []), ([], []), 0, set()
         spots = count(TaskContext.get().partitionId() * 1_000_003)
 
         def send():
-            if own:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, arrow) as out:
-                    for rows in own:
-                        out.write_batch(rows)
-                yield {"bucket": [next(spots) % buckets], "long": [None], "data": [sink.getvalue().to_pybytes()]}
-                own.clear()
+            if own[0]:
+                rows, parity = np.concatenate(own[0]), pa.concat_arrays(own[1])
+                order, new = by_line(rows)
+                at, more = order[new], rows[order[~new]]
+                more["times"], times = 0, np.diff(np.append(np.flatnonzero(new), len(order)))
+                rows, parity = rows[at], parity.take(pa.array(at))
+                rows["times"] = times
+                found, start = np.unique((rows["lid"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)  # in order, as lines are
+                cuts = list(zip(start.tolist(), np.append(start[1:], len(rows)).tolist(), strict=True))
+                yield {"bucket": found.astype(np.int64), "long": [None] * len(found), "data": [rows[a:b].tobytes() for a, b in cuts], "odd": [bytes_of(parity.slice(a, b - a)) for a, b in cuts]}
+                if len(more):
+                    yield {"bucket": [next(spots) % buckets], "long": [None], "data": [more.tobytes()], "odd": [b""]}
+                for parts in own:
+                    parts.clear()
             for kind, parts in enumerate(held):
                 if parts:
                     keys, rows = (np.concatenate([h[k] for h in parts]) for k in (0, 1))
@@ -246,17 +279,18 @@ def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, si
                     order = np.argsort(bucket, kind="stable")
                     rows, (found, at) = rows[order], np.unique(bucket[order], return_index=True)
                     ends = np.append(at[1:], len(rows))
-                    yield {"bucket": found.astype(np.int64), "long": np.full(len(found), bool(kind)), "data": [rows[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)]}
+                    yield {"bucket": found.astype(np.int64), "long": np.full(len(found), bool(kind)), "data": [rows[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], "odd": [None] * len(found)}
                     parts.clear()
 
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for s in lw.some(texts):
                 found = lw.lines_of(texts[s])
-                if whole:
-                    rows = line_rows(found, batch, s, similarity)
-                    own.append(pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in arrow], schema=arrow))
-                    size += own[-1].nbytes
+                if whole and len(found.n):
+                    wide = found.n >= similarity * LONG
+                    own[0].append(places_of(found, batch, s))
+                    own[1].append(sparse(parities(found.words[found.word_places(np.flatnonzero(wide))], found.n[wide]), wide))
+                    size += own[0][-1].nbytes + own[1][-1].nbytes
                 lid, at = np.unique(found.lid, return_index=True)
                 new = [k for k, x in zip(at.tolist(), lid.tolist(), strict=True) if x not in seen]
                 seen.update(lid.tolist())
@@ -273,24 +307,42 @@ def packed(docs: DataFrame, common: np.ndarray, buckets: int, min_words: int, si
                     size = 0
         yield from send()
 
-    return map_arrow(texts_of(docs), work, "bucket long, long boolean, data binary")
+    return map_arrow(texts_of(docs), work, "bucket long, long boolean, data binary, odd binary")
+
+
+def bytes_of(values: pa.Array) -> bytes:
+    """The bytes of binary values, one after another."""
+    a, b = np.frombuffer(values.buffers()[1], dtype=np.int32)[[values.offset, values.offset + len(values)]].tolist()
+    return values.buffers()[2][a:b].to_pybytes() if b > a else b""
 
 
 def whole_buckets(batches):
-    """(bucket, long, its records) of rows sorted by bucket and kind; of kind null, each stream of lines by itself."""
-    last, held = None, []
+    """(bucket, long, its records or PLACEs, parities) of rows sorted by bucket and kind."""
+    last, held, odd = None, [], []
     for batch in batches:
-        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for bucket, kind, data, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             if held and (bucket, kind) != last:
-                yield *last, np.concatenate(held)
-                held = []
+                yield *last, np.concatenate(held), odd
+                held, odd = [], []
             last = bucket, kind
+            held.append(np.frombuffer(data.as_buffer(), dtype=PLACE if kind is None else LONG_RECORD if kind else RECORD))
             if kind is None:
-                yield bucket, kind, data.as_buffer()
-                continue
-            held.append(np.frombuffer(data.as_buffer(), dtype=LONG_RECORD if kind else RECORD))
+                odd.append(bits.as_buffer())
     if held:
-        yield *last, np.concatenate(held)
+        yield *last, np.concatenate(held), odd
+
+
+def first_places(rows: np.ndarray, odd: list, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(first place, times, its parities) of each line of a bucket's PLACEs, and before these all other places."""
+    main = rows["times"] > 0
+    more, rows = rows[~main], rows[main]
+    wide = rows["n"] >= similarity * LONG
+    data = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in odd])
+    parity = sparse(binaries(data, parity_bits(rows["n"][wide]) // 8), wide)
+    order, new = by_line(rows)
+    at = order[new]
+    times = np.add.reduceat(rows["times"][order].astype(np.int64), np.flatnonzero(new)) if len(at) else np.zeros(0, dtype=np.int64)
+    return np.concatenate([more, rows[order[~new]]]), rows[at], times, parity.take(pa.array(at))
 
 
 class Places:
@@ -371,11 +423,12 @@ def prefix_links(docs: DataFrame, distinct: DataFrame, words: int, n_docs: int,
     return met_links(meetings(docs, words, n_docs, similarity, min_words, tile, few, bucket_bytes), distinct, similarity, tile)
 
 
-LINK, PAIR, HOT, HOT_LONG, LINE = range(5)
+LINK, PAIR, HOT, HOT_LONG, LINE, MORE = range(6)
 
 
 def meetings(docs: DataFrame, words: int, n_docs: int, similarity: float, min_words: int, tile: int = TILE, few: int = FEW, bucket_bytes: int = BUCKET, whole: bool = False) -> DataFrame:
-    """What becomes of the buckets, by kind, as a written table; with ``whole`` also all lines (LINE: a is doc_id, b th, part line_no, data parity).
+    """What becomes of the buckets, by kind, as a written table; with ``whole`` also all lines (LINE: each once, a is its first
+    doc_id, b th, part line_no, data parity; MORE: its other places).
 
     A word of more than ``tile`` lines isn't compared in its bucket: its lines are dealt over pairs of tiles. Nor are the
     lines of a word pair that has more than ``few``: they meet again with their wide parities.
@@ -384,20 +437,25 @@ def meetings(docs: DataFrame, words: int, n_docs: int, similarity: float, min_wo
     expected = int(words * (1 - similarity) + 1) * RECORD.itemsize
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), expected // bucket_bytes)
     sent = packed(docs, common_words(docs, n_docs), buckets, min_words, similarity, whole)
-    schema = "kind int, a long, b long, part int, data binary, lid long, n int"
+    schema = "kind int, a long, b long, part int, data binary, lid long, n int, times long"
 
     def rows_of(kind, a, b, part=None, data=None):
         none = [None] * len(a)
-        return {"kind": [kind] * len(a), "a": a, "b": b, "part": part or none, "data": data or none, "lid": none, "n": none}
+        return {"kind": [kind] * len(a), "a": a, "b": b, "part": none if part is None else part, "data": data or none, "lid": none, "n": none, "times": none}
+
+    def places(kind, rows, times=None, parity=None):
+        own = {c: np.ascontiguousarray(rows[c]) for c in PLACE.names}
+        empty = {"data": pa.nulls(len(rows), pa.binary()) if parity is None else parity, "times": pa.nulls(len(rows), pa.int64()) if times is None else times}
+        return {"kind": np.full(len(rows), kind), "a": pa.array(own["doc"], mask=~own["known"]), "b": own["th"], "part": own["line"], "lid": own["lid"].view(np.int64), "n": own["n"]} | empty
 
     def work(batches):
         more: list[dict] = []
 
         def within(_):
-            for bucket, kind, rows in whole_buckets(batches):
+            for bucket, kind, rows, odd in whole_buckets(batches):
                 if kind is None:
-                    for own in pa.ipc.open_stream(rows):
-                        more.append({"kind": np.full(own.num_rows, LINE)} | {c: own.column(k) for k, c in enumerate(("a", "b", "part", "lid", "n", "data"))})
+                    others, *first = first_places(rows, odd, similarity)
+                    more.extend([places(LINE, *first), places(MORE, others)])
                     yield {"a": [], "b": []}
                     continue
                 rows = by_key_and_size(rows)
@@ -406,10 +464,10 @@ def meetings(docs: DataFrame, words: int, n_docs: int, similarity: float, min_wo
                 for a, m in zip(start[size > most].tolist(), size[size > most].tolist(), strict=True):
                     _, own = np.unique(rows["lid"][a : a + m], return_index=True)
                     some, key = rows[a : a + m][own], int(rows["key"][a]) | bucket << 32
+                    parts = -(-len(own) // tile)
                     if kind:
-                        more.append(rows_of(HOT_LONG, np.full(len(some), key), some["lid"].view(np.int64)))
+                        more.append(rows_of(HOT_LONG, np.full(len(some), key), some["lid"].view(np.int64), np.full(len(some), parts)))
                         continue
-                    parts = -(-len(own) // tile)
                     home = (some["lid"] >> np.uint64(7)) % np.uint64(parts)
                     more.extend(rows_of(HOT, [key], [None], [k], [some[home == k].tobytes()]) for k in range(parts))
                 rows = rows[np.repeat(size <= most, size)]
@@ -459,9 +517,9 @@ def met_links(met: DataFrame, distinct: DataFrame, similarity: float, tile: int
                 alike = Told(np.repeat(np.arange(len(a)), 2), n.reshape(-1).astype(np.int64), parity, similarity).alike(at, at + 1)
                 yield {"a": a[alike], "b": b[alike]}
 
-    again = of(HOT_LONG).select(F.col("a").alias("key"), F.col("b").alias("lid")).join(wide, "lid")
+    again = of(HOT_LONG).select(F.col("a").alias("key"), F.col("b").alias("lid"), F.col("part").alias("tiles")).join(wide, "lid")
     cell = F.when(F.col("j") > 0, F.xxhash64("key", "i", "j")).otherwise(F.col("key")).alias("cell")
-    again = dealt(again, "key", "lid", tile).select(cell, "n", "lid", "parity").repartition("cell").sortWithinPartitions("cell", "n")
+    again = spread(again, "lid").select(cell, "n", "lid", "parity").repartition("cell").sortWithinPartitions("cell", "n")
 
     def meet(batches):
         for part in whole_groups(batches, 1):
@@ -529,11 +587,16 @@ def numbered(table: pa.Table, keys: int) -> np.ndarray:
 def dealt(rows: DataFrame, key: str, by: str, tile: int) -> DataFrame:
     """rows plus i, j: the tile pairs of their key that they meet in; one pair (0, 0) for keys of ``tile`` rows or fewer."""
     hot = rows.groupBy(key).count().where(F.col("count") > tile).select(key, F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    # hot keys are one in ``tile`` rows at most
+    return spread(rows.join(F.broadcast(hot), key, "left"), by)
+
+
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """rows (tiles, ...) -> i, j in the place of tiles: the tile pairs that a row meets in; one pair (0, 0) if tiles is null or 1."""
     own = F.pmod(F.xxhash64(by), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda s: F.struct(F.least(s, own).alias("i"), F.greatest(s, own).alias("j")))
-    # hot keys are one in ``tile`` rows at most
-    spread = rows.join(F.broadcast(hot), key, "left").withColumn("p", F.explode(F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)))
-    return spread.drop("tiles").withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p")
+    met = rows.withColumn("p", F.explode(F.when(F.col("tiles") > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
+    return met.drop("tiles").withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p")
 
 
 class Told:
@@ -542,6 +605,7 @@ class Told:
     def __init__(self, group: np.ndarray, n: np.ndarray, parity: list[bytes], similarity: float):
         self.group, self.n, self.similarity = group, n, similarity
         self.width = parity_bits(n) // 64
+        self.power = np.log2(self.width).astype(np.int64)
         self.first = np.cumsum(self.width) - self.width
         self.flat = np.frombuffer(b"".join(parity), dtype="<u8")
 
@@ -549,11 +613,16 @@ class Told:
         """Whether i and j, j no shorter, may be within their limit of edits: each changes two parities at most."""
         out = np.zeros(len(i), dtype=bool)
         most = 2 * np.floor((1 - self.similarity) * self.n[j] + 1e-9)
-        for w, v in set(zip(self.width[i].tolist(), self.width[j].tolist(), strict=True)):
-            at = np.flatnonzero((self.width[i] == w) & (self.width[j] == v))
-            x, y = (self.flat[self.first[k[at]][:, None] + np.arange(u)] for k, u in ((i, w), (j, v)))
-            y = np.bitwise_xor.reduce(y.reshape(len(at), v // w, w), axis=1)
-            out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[at]
+        both = self.power[i] * 64 + self.power[j]
+        for code in np.flatnonzero(np.bincount(both)).tolist():
+            at, w, v = np.flatnonzero(both == code), 1 << (code >> 6), 1 << (code & 63)
+            a, b, far = self.first[i[at]], self.first[j[at]], np.zeros(len(at), dtype=np.int64)
+            for k in range(w):
+                part = self.flat[a + k]
+                for u in range(k, v, w):  # the wider one's halves fold
+                    part ^= self.flat[b + u]
+                far += np.bitwise_count(part)
+            out[at] = far <= most[at]
         return out
 
     def pairs(self, linked):
@@ -601,7 +670,8 @@ def fetched(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     """(comp, lid, n, parity, words) of suspects (lid, n, comp, doc_id, th, line_no): words are read from the first document that has the line."""
     wanted = suspects.groupBy(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("line_no", "comp")).alias("wanted"))
     texts = texts_of(docs)
-    found = texts.join(wanted, texts[ID].eqNullSafe(wanted["of_id"]) & (texts[HASH] == wanted["of_th"])).select("text", "wanted")
+    # the texts, the larger side by far, needn't be sorted: no document is wanted twice
+    found = texts.join(wanted.hint("shuffle_hash"), texts[ID].eqNullSafe(wanted["of_id"]) & (texts[HASH] == wanted["of_th"])).select("text", "wanted")
 
     def work(batches):
         for batch in slices(batches):
@@ -623,19 +693,20 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, min_words: in
     """(doc_id, th, dropped): per document the numbers of the lines that go."""
     size = docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
     met = meetings(docs, (size["bytes"] or 0) // BYTES_A_WORD, size["docs"], similarity, min_words, whole=True)
-    all_lines = met.where(F.col("kind") == LINE).select(F.col("a").alias("doc_id"), F.col("b").alias("th"), F.col("part").alias("line_no"), "lid", "n", F.col("data").alias("parity"))
     place = F.struct("doc_id", "th", "line_no")
-    distinct = materialise(all_lines.groupBy("lid").agg(F.min(F.struct("doc_id", "th", "line_no", "n", "parity")).alias("first"), F.count(F.lit(1)).alias("times")).select("lid", "first.n", "first.doc_id", "first.th", "first.line_no", "first.parity", "times"))
+    at = [F.col("a").alias("doc_id"), F.col("b").alias("th"), F.col("part").alias("line_no"), "lid"]
+    distinct, more = met.where(F.col("kind") == LINE).select(*at, "n", F.col("data").alias("parity"), "times"), met.where(F.col("kind") == MORE).select(*at)
     parts = connected_components(met_links(met, distinct, similarity))
-    suspects = distinct.join(parts, distinct["lid"] == parts["node"]).select("lid", "n", F.col("component").alias("comp"), "doc_id", "th", "line_no")
+    suspects = materialise(distinct.join(parts, distinct["lid"] == parts["node"]).select("lid", "n", F.col("component").alias("comp"), "doc_id", "th", "line_no"))
     linked = connected_components(verified_links(materialise(fetched(docs, suspects)), similarity))
-    joined = distinct.join(linked, distinct["lid"] == linked["node"]).select("lid", "component", place.alias("first"))
+    joined = suspects.join(linked, suspects["lid"] == linked["node"]).select("lid", "component", place.alias("first"))
     kept = joined.groupBy("component").agg(F.min("first").alias("kept"))
-    of_group = joined.join(kept, "component").select("lid", "kept")
+    of_group = joined.join(kept, "component").select("lid", "first", "kept")
     least = F.when(F.col("n") < min_words, repeats).otherwise(2)
-    repeated = distinct.select("lid", "n", place.alias("first"), "times").join(of_group, "lid", "left").where(F.col("kept").isNotNull() | (F.col("times") >= least))
-    rule = materialise(repeated.select("lid", F.coalesce("kept", "first").alias("kept")))
-    gone = all_lines.select("doc_id", "th", "line_no", "lid").join(rule, "lid").where(~place.eqNullSafe(F.col("kept")))
+    repeated = distinct.where(F.col("times") >= least).select("lid", place.alias("own"))
+    rule = materialise(repeated.join(of_group, "lid", "full").select("lid", F.coalesce("first", "own").alias("first"), F.coalesce("kept", "own").alias("kept")))
+    gone = more.join(rule.select("lid", "kept"), "lid").where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "th", "line_no")
+    gone = gone.union(rule.where(~F.col("first").eqNullSafe(F.col("kept"))).select("first.doc_id", "first.th", "first.line_no"))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("dropped"))
 
 
@@ -658,7 +729,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, min_words: int =
     """
     gone = dropped_lines(docs, similarity, min_words, repeats).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("dropped").alias(DROPPED))
     full = keyed(docs)
-    met = full.join(gone, full[ID].eqNullSafe(gone["g_id"]) & (full[HASH] == gone["g_th"]), "left").select(*[full[c] for c in docs.columns], DROPPED)
+    met = full.join(gone.hint("shuffle_hash"), full[ID].eqNullSafe(gone["g_id"]) & (full[HASH] == gone["g_th"]), "left").select(*[full[c] for c in docs.columns], DROPPED)
     plain = F.split("text", "\n", -1)
     n = F.coalesce(F.size(F.col(DROPPED)), F.lit(0))
     left = F.array_join(F.filter(plain, lambda x, k: ~F.array_contains(F.col(DROPPED), k)), "\n")

@@ -13,8 +13,7 @@ import xxhash
 SIGNS = "ก-໿က-၉ၐ-႟ក-៓ぁ-ヺー-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 _SIGN = re.compile(f"[{SIGNS}]")
 _OTHER = re.compile(f"[^\\w\x00-\x7f{SIGNS}]")  # beyond ASCII, part of no word
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*b"abcdefghijklmnopqrstuvwxyz0123456789_", *range(128, 256)]] = True
+_LETTER = bytes(x in b"abcdefghijklmnopqrstuvwxyz0123456789_" or x >= 128 for x in range(256))
 SPAN = 1 << 16  # bytes of words that are hashed at once
 SOME = 1 << 20  # bytes of texts that become arrays at once, about
 
@@ -89,13 +88,14 @@ class Lines:
 def lines_of(texts: list[str]) -> Lines:
     data = [plain(t) for t in texts]
     counts = np.array([d.count(b"\n") + 1 for d in data], dtype=np.int64)
-    flat = np.frombuffer(b"\n".join(data), dtype=np.uint8)
-    word = _LETTER[flat]
-    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    whole = b"\n".join(data)
+    flat = np.frombuffer(whole, dtype=np.uint8)
+    word = np.zeros(len(flat) + 2, dtype=bool)
+    word[1:-1] = np.frombuffer(whole.translate(_LETTER), dtype=bool)
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end, word = edge[::2].copy(), edge[1::2].copy(), word[1:-1]
     feed = flat == 10
-    line = np.searchsorted(np.flatnonzero(feed), start)
-    n = np.bincount(line, minlength=int(counts.sum()))
+    n = np.diff(np.searchsorted(start, np.flatnonzero(feed)), prepend=0, append=len(start)) if texts else np.zeros(0, dtype=np.int64)
     out, keep = flat.copy(), word | feed
     gap = start[start > 0] - 1
     gap = gap[out[gap] != 10]

@@ -201,3 +201,18 @@ def test_texts_are_parsed_once_for_lines_and_records(spark, monkeypatch):
     rows = [(k, f"one line that all of them have in common\nown{k} words of page{k} stay{k} here{k} too{k}\n\n--") for k in range(40)]
     got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r.doc_id: r.text for r in got} == similar_lines(rows) and {r.n_lines for r in got} == {4} and sum(r.n_dropped for r in got) == 39
+
+
+def test_buckets_give_each_line_once_with_its_first_place(spark):
+    wide = " ".join(f"word{k}" for k in range(70))
+    rows = [(k % 7 if k else None, f"all the same in here\nown{k}\n{wide}\nshort" + "\nall the same, in here" * (k % 3)) for k in range(40)] + [(3, "all the same in here")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    met = ld.meetings(docs, 5_000, len(rows), 0.8, ld.MIN_WORDS, whole=True).collect()
+    want: dict = {}
+    for r in ld.lines(docs, 0.8).collect():
+        want.setdefault(r.lid, []).append((r.doc_id is not None, r.doc_id, r.th, r.line_no, r.n, r.parity))
+    firsts = [r for r in met if r.kind == ld.LINE]
+    assert len(firsts) == len(want) == 43 and sum(r.times for r in firsts) == sum(map(len, want.values()))
+    assert {r.lid: (r.a is not None, r.a, r.b, r.part, r.n, r.data) for r in firsts} == {k: min(v, key=lambda x: (x[0], x[1] or 0, *x[2:4])) for k, v in want.items()}
+    got = sorted(repr((r.lid, r.a, r.b, r.part)) for r in met if r.kind in (ld.LINE, ld.MORE))
+    assert got == sorted(repr((k, *x[1:4])) for k, v in want.items() for x in v)
