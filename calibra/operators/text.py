@@ -1,7 +1,8 @@
 """Short texts to clusters: TF-IDF, truncated SVD, average linkage, and assignment to supported centres.
 
-What is fitted is fitted on a bounded sample; every row is then encoded, in one pass without a shuffle, and assigned to a centre
-of its family. Bounds are parameters and hold for the fit alone.
+Fits take every row they are given. Rows with the same known terms have the same vector, so a fit works on bags: a row for each
+distinct combination of known terms, with the number of rows that have it. Every row is then encoded, in one pass without a
+shuffle, and assigned to a centre of its family.
 """
 
 from __future__ import annotations
@@ -9,13 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from calibra.operators.sampling import sample_each, salt
@@ -23,6 +23,9 @@ from calibra.operators.stage import staged
 
 WORD = r"\b\w\w+\b"
 OVERSAMPLE = 10
+#: Bags that a step of the singular vectors takes, and products of vectors that a step of linkage or assignment holds: memory, not a cut.
+BAGS = 2_000
+CELLS = 1 << 22
 
 
 def terms_of(text: Column) -> Column:
@@ -34,10 +37,11 @@ def terms_of(text: Column) -> Column:
 def vocabulary(df: DataFrame, text: str = "text", terms: int = 20_000, min_docs: int = 2) -> DataFrame:
     """(term, tf, df, idf, i): the ``terms`` most frequent terms that ``min_docs`` rows have, ties by term, numbered in the order
     of terms; idf is ln((1 + rows) / (1 + df)) + 1."""
-    each = df.select(F.monotonically_increasing_id().alias("row"), terms_of(F.col(text)).alias("terms")).select("row", F.explode_outer("terms").alias("term"))
-    counted = each.groupBy("row", "term").agg(F.count(F.lit(1)).alias("n"))  # a row without terms has one null term
-    totals = counted.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
-    kept = totals.where(F.col("term").isNotNull() & (F.col("df") >= min_docs)).orderBy(F.desc("tf"), "term").limit(terms)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    found = df.select(terms_of(F.col(text)).alias("terms"))
+    each = found.select(F.explode(F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), one.alias("tf"), none.alias("df"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), none.alias("tf"), one.alias("df"))))).alias("t"))
+    totals = each.groupBy("t.term").agg(F.sum("t.tf").alias("tf"), F.sum("t.df").alias("df"))  # summed by term in each task, no row of a document is shuffled
+    kept = totals.where(F.col("df") >= min_docs).orderBy(F.desc("tf"), "term").limit(terms)
     placed = kept.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)  # ``terms`` rows at most
     rows = df.agg(F.count(F.lit(1)).alias("rows"))
     return placed.crossJoin(rows).select("term", "tf", "df", (F.log((1.0 + F.col("rows")) / (1.0 + F.col("df"))) + 1.0).alias("idf"), "i")  # one row on the right
@@ -52,13 +56,18 @@ class Encoder:
     basis: np.ndarray | None = None
     singular: np.ndarray | None = None
 
+    def places(self, lists: pa.Array) -> np.ndarray:
+        """row * terms + term of each known term in lists of terms or of their numbers, in order."""
+        code, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        if not pa.types.is_integer(code.type):
+            code = pc.index_in(code, value_set=pa.array(self.terms, pa.string()).cast(code.type)).fill_null(-1)
+        code = code.to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.sort(row[code >= 0] * max(1, len(self.terms)) + code[code >= 0])
+
     def sparse(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, weight) of lists of terms, in order of rows; 1 + ln tf, times idf, rows of unit length."""
-        code = pc.index_in(lists.flatten(), value_set=pa.array(self.terms, pa.string()).cast(lists.type.value_type)).to_numpy(zero_copy_only=False)
-        row = pc.list_parent_indices(lists).to_numpy()
-        known = ~np.isnan(code.astype(float)) if code.dtype.kind == "f" else code >= 0
+        """(row, term, weight) of lists of terms or of their numbers, in order of rows; 1 + ln tf, times idf, rows of unit length."""
         width = max(1, len(self.terms))
-        keys, tf = np.unique(row[known].astype(np.int64) * width + code[known].astype(np.int64), return_counts=True)
+        keys, tf = np.unique(self.places(lists), return_counts=True)
         row, term = keys // width, keys % width
         w = (1 + np.log(tf)) * self.idf[term]
         norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lists)))
@@ -79,6 +88,26 @@ class Encoder:
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.where(norm == 0, 1, norm)
 
+    def bags(self, df: DataFrame, text: str = "text", key: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+        """(by, bag, n, first): the numbers of the known terms, in order and with repeats, of all rows that share them; how many
+        rows, and the smallest ``key`` of these. Rows meet in each task before they are shuffled."""
+        kept = [f for f in df.schema.fields if f.name in (*by, key)]
+        schema = StructType([*kept, StructField("bag", ArrayType(IntegerType()))])
+        arrow = to_arrow_schema(schema)
+        mine, width = self, max(1, len(self.terms))
+
+        def work(batches):
+            for batch in batches:
+                lists = batch.column("__terms")
+                at = mine.places(lists)
+                starts = np.r_[0, np.cumsum(np.bincount(at // width, minlength=len(lists)))]
+                bag = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(at % width, pa.int32()))
+                columns = [batch.column(f.name).cast(arrow.field(f.name).type) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, bag.cast(arrow.field("bag").type)], schema=arrow)
+
+        each = df.select(*[f.name for f in kept], terms_of(F.col(text)).alias("__terms")).mapInArrow(work, schema)
+        return each.groupBy(*by, "bag").agg(F.count(F.lit(1)).alias("n"), *([F.min(key).alias("first")] if key else []))
+
     def encode(self, df: DataFrame, text: str = "text", name: str = "vector") -> DataFrame:
         """df with a column of unit vectors on the basis, zero where no term is known. No shuffle, batch by batch."""
         kept = [f for f in df.schema.fields if f.name not in ("__terms", name)]
@@ -102,18 +131,23 @@ def fit_vocabulary(sample: DataFrame, text: str = "text", terms: int = 20_000, m
 
 
 def fit_svd(encoder: Encoder, sample: DataFrame, text: str = "text", dims: int = 64, rounds: int = 6, seed: int = 42) -> Encoder:
-    """The encoder with the leading right singular vectors of the sample's TF-IDF matrix (uncentred), by randomised subspace iteration.
+    """The encoder with the leading right singular vectors of the sample's TF-IDF matrix (uncentred)."""
+    return fit_bags(encoder, encoder.bags(sample, text), dims, rounds, seed)
+
+
+def fit_bags(encoder: Encoder, bags: DataFrame, dims: int = 64, rounds: int = 6, seed: int = 42) -> Encoder:
+    """The same from the sample's bags (bag, n), by randomised subspace iteration; a bag counts ``n`` times.
 
     In a round each task multiplies its rows by the subspace and adds their outer products up; Spark sums the parts by
     term. The driver holds a matrix of terms by dimensions, orthonormalises it and sends it out for the next round. A
     Rayleigh-Ritz step at the end turns the subspace to singular vectors. The dimensions are ``dims`` at most, and fewer than terms and rows.
     """
-    n, size = sample.count(), len(encoder.terms)
+    n, size = bags.agg(F.sum("n")).first()[0] or 0, len(encoder.terms)
     k = min(dims, size - 1, n - 1)
     if k < 2:
         raise ValueError("too few texts or terms for two dimensions")
     width = min(size, k + OVERSAMPLE)
-    lists = sample.select(terms_of(F.col(text)).alias("__terms")).persist()
+    lists = bags.select("bag", "n").repartition(bags.sparkSession.sparkContext.defaultParallelism).persist()
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
     names = [f"z{j}" for j in range(width)]
     ddl = "i long, " + ", ".join(f"{c} double" for c in names)
@@ -123,10 +157,15 @@ def fit_svd(encoder: Encoder, sample: DataFrame, text: str = "text", dims: int =
 
         def work(batches):
             total, seen = np.zeros(basis.shape), np.zeros(len(basis), dtype=bool)
-            for batch in batches:
+            for batch in (b.slice(k, BAGS) for b in batches for k in range(0, b.num_rows, BAGS)):
                 row, term, w = encoder.sparse(batch.column(0))
-                y = encoder.dense(batch.column(0), basis)
-                np.add.at(total, term, w[:, None] * y[row])
+                if not len(row):
+                    continue
+                y = encoder.dense(batch.column(0), basis) * batch.column(1).to_numpy()[:, None]
+                order = np.argsort(term, kind="stable")
+                row, term, w = row[order], term[order], w[order]
+                first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+                total[term[first]] += np.add.reduceat(w[:, None] * y[row], first)
                 seen[term] = True
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(total[at, j]) for j in range(basis.shape[1])]], names=["i", *names])
@@ -146,70 +185,79 @@ def fit_svd(encoder: Encoder, sample: DataFrame, text: str = "text", dims: int =
     return Encoder(encoder.terms, encoder.idf, basis @ turn[:, order], np.sqrt(np.maximum(values[order], 0)))
 
 
-def average_linkage(x: np.ndarray, distance: float = 0.35) -> np.ndarray:
+def average_linkage(x: np.ndarray, distance: float = 0.35, n: np.ndarray | None = None) -> np.ndarray:
     """Labels of agglomerative clustering of unit rows by mean cosine distance; clusters ``distance`` or more apart stay apart.
 
-    Nearest-neighbour chains: average linkage never gets nearer by a merge, so mutual nearest neighbours can be merged in
-    any order and the cut made afterwards; quadratic in the rows. Labels are numbered by each cluster's first row.
+    ``n`` says how many rows each stands for. The mean distance of two clusters is 1 less the product of their mean vectors, so
+    no matrix of distances is kept. Average linkage never gets nearer by a merge: all mutual nearest neighbours are merged at
+    once, only who had one of them for nearest looks again, and a cluster apart from all others is done. Time is quadratic in
+    the rows, memory in proportion to them. Labels are numbered by each cluster's first row.
     """
-    n = len(x)
-    d = 1 - x @ x.T
-    np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, dtype=bool)
-    chain: list[int] = []
-    label = np.arange(n)
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    merges = []
-    for _ in range(n - 1):
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        while True:
-            i = chain[-1]
-            j = int(np.argmin(d[i]))
-            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
-                j = chain[-2]
-                break
-            chain.append(j)
-        chain = chain[:-2]
-        merges.append((i, j, d[i, j]))
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[j], d[:, j] = merged, merged
-        d[j, j] = d[i] = d[:, i] = np.inf
-        alive[i] = False
-        size[j] += size[i]
-    # a merge joins the clusters whose representatives were i and j; a representative stays a member of its cluster
-    for i, j, height in merges:
-        if height < distance:
-            a, b = root(i), root(j)
-            label[max(a, b)] = min(a, b)
-    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
-
-
-def family_centres(vectors: DataFrame, key: str = "id", most: int = 1000, distance: float = 0.35, seed: int = 42) -> DataFrame:
+    mean, size = np.array(x, dtype=float), np.ones(len(x)) if n is None else np.array(n, dtype=float)
+    label, alive = np.arange(len(x)), np.ones(len(x), dtype=bool)
+    near, gap = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    live = due = np.arange(len(x))
+    while len(live) > 1:
+        own = mean[live]
+        for rows in np.array_split(due, -(-len(due) * len(live) // CELLS) or 1):
+            d = 1 - mean[rows] @ own.T
+            d[np.arange(len(rows)), np.searchsorted(live, rows)] = np.inf
+            best = d.argmin(axis=1)
+            near[rows], gap[rows] = live[best], d[np.arange(len(rows)), best]
+        alive[live] = gap[live] < distance
+        live = live[alive[live]]
+        if not len(live):
+            break
+        a = live[(near[near[live]] == live) & (live < near[live]) & alive[near[live]]]
+        if not len(a) and alive[near[live]].all():  # rounding can hide that two are each other's nearest
+            a = live[[gap[live].argmin()]]
+        a, b = np.minimum(a, near[a]), np.maximum(a, near[a])
+        mean[a] = (mean[a] * size[a, None] + mean[b] * size[b, None]) / (size[a] + size[b])[:, None]
+        size[a] += size[b]
+        label[b], alive[b] = a, False
+        changed = ~alive
+        changed[a] = True
+        live = live[alive[live]]
+        due = live[changed[live] | changed[near[live]]]
+    while (label != label[label]).any():
+        label = label[label]
+    return np.unique(label, return_inverse=True)[1]
+
+
+def family_centres(vectors: DataFrame, key: str = "id", most: int | None = None, distance: float = 0.35, seed: int = 42, encoder: Encoder | None = None) -> DataFrame:
     """vectors (key, family, vector) -> (family, cluster, centre, members): unit mean vectors of the clusters of each family.
 
-    Clusters are made of the ``most`` rows of a family with the smallest seeded hash, those with a zero vector left out; a
-    family with fewer than two such rows has none. Every row finds its centre later, by ``nearest_centres``.
+    Clusters are made of all rows, those with a zero vector left out; a family with fewer than two such rows has none. Equal
+    vectors are one row of the linkage that counts for all. With ``encoder``, ``vectors`` are bags by family with the smallest
+    key of each, and are encoded in their family's task. A user may have ``most`` rows of a family, those with the smallest seeded hash.
     """
-    held = sample_each(vectors.select(key, "family", "vector"), "family", key, most, seed)
-    known = held.where(F.exists("vector", lambda v: v != 0))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        found = []
-        x = np.stack(pdf["vector"].to_list())
-        label = average_linkage(x, distance)
-        for k in range(label.max() + 1 if len(x) > 1 else 0):
-            mean = x[label == k].mean(axis=0)
-            found.append((pdf["family"].iloc[0], k, mean / (np.linalg.norm(mean) or 1), int((label == k).sum())))
-        return pd.DataFrame(found, columns=["family", "cluster", "centre", "members"])
-
-    return known.groupBy("family").applyInPandas(cluster, "family string, cluster int, centre array<double>, members long")
+    if encoder:
+        known = vectors.where(F.size("bag") > 0).select("family", "first", "n", "bag")
+    else:
+        held = sample_each(vectors.select(key, "family", "vector"), "family", key, most, seed) if most else vectors
+        known = held.where(F.exists("vector", lambda v: v != 0)).groupBy("family", "vector").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
+
+    def cluster(table: pa.Table) -> pa.Table:
+        table = table.sort_by("first")
+        n = table["n"].to_numpy()
+        lists = table["bag" if encoder else "vector"].combine_chunks()
+        x = encoder.unit(lists) if encoder else lists.flatten().to_numpy().reshape(len(n), -1)
+        solid = x.any(axis=1)  # known terms may have no part in the basis
+        x, n = x[solid], n[solid]
+        found = {"family": [], "cluster": [], "centre": [], "members": []}
+        if n.sum() > 1:
+            label = average_linkage(x, distance, n)
+            order = np.argsort(label, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(label[order]) > 0])
+            members = np.add.reduceat(n[order], first)
+            mean = np.add.reduceat((x * n[:, None])[order], first) / members[:, None]
+            norm = np.linalg.norm(mean, axis=1, keepdims=True)
+            found = {"family": [table["family"][0].as_py()] * len(first), "cluster": range(len(first)), "centre": list(mean / np.where(norm == 0, 1, norm)), "members": members}
+        return pa.table({f.name: pa.array(found[f.name], f.type) for f in arrow}, schema=arrow)
+
+    schema = StructType.fromDDL("family string, cluster int, centre array<double>, members long")
+    arrow = to_arrow_schema(schema)
+    return known.groupBy("family").applyInArrow(cluster, schema)
 
 
 def nearest_centres(vectors: DataFrame, centres: DataFrame, key: str = "id", rows: int = 50_000, encoder: Encoder | None = None, text: str = "text") -> DataFrame:
@@ -218,7 +266,7 @@ def nearest_centres(vectors: DataFrame, centres: DataFrame, key: str = "id", row
 
     With ``encoder``, rows have ``text`` in the place of a vector, and are encoded in the task that has the centres: a vector
     takes several times the room of a title, so none is shuffled or written. A family's rows are dealt over tasks of about
-    ``rows``, to each of which the family's centres (1,000 at most) come first; rows then pass batch by batch.
+    ``rows``, to each of which the family's centres come first; rows then pass batch by batch.
     """
     sizes = staged(vectors.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("__parts")))  # a row a family; written, its size is known
     kept = [f for f in vectors.schema.fields if f.name not in ("cluster", "similarity", "vector", *([text] if encoder else []))]
@@ -254,9 +302,11 @@ def nearest_centres(vectors: DataFrame, centres: DataFrame, key: str = "id", row
                 elif held:
                     names, centre = (np.concatenate(h) for h in zip(*held, strict=True))
                     held = [(names, centre)]
-                    near = x[a:b] @ centre.T
-                    best = near.argmax(axis=1)
-                    cluster[a:b], score[a:b] = names[best], near[np.arange(b - a), best]
+                    step = max(1, CELLS // len(centre))
+                    for c in range(a, b, step):
+                        near = x[c : min(b, c + step)] @ centre.T
+                        best = near.argmax(axis=1)
+                        cluster[c : c + len(near)], score[c : c + len(near)] = names[best], near[np.arange(len(near)), best]
             rest = np.flatnonzero(~spot)
             columns = [batch.column(f.name).take(pa.array(rest)).cast(arrow.field(f.name).type) for f in kept]
             none = cluster[rest] < 0
@@ -285,5 +335,5 @@ def assignments(nearest: DataFrame, event: str = "event_id", least: float = 0.75
         .otherwise("assigned")
     )
     named = known.withColumn("status", status)
-    label = F.when(F.col("status") == "assigned", F.concat("family", F.lit("/"), F.lpad(F.col("cluster").cast("string"), 3, "0")))
+    label = F.when(F.col("status") == "assigned", F.format_string("%s/%03d", "family", "cluster"))
     return named.select(*[c for c in nearest.columns if c not in ("cluster", "similarity", "vector")], label.alias("cluster"), F.when(F.col("__seen"), F.col("similarity")).alias("similarity"), "status")

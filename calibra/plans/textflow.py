@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from calibra.operators import text
 from calibra.operators.attributes import attributes
 from calibra.operators.guards import require
-from calibra.operators.sampling import sample_each, stable_sample
+from calibra.operators.sampling import stable_sample
 from calibra.operators.stage import discard, staged
 from calibra.plans.base import query
 from calibra.plans.market import _SPLIT, split_of
 from calibra.sources import adapter
 
-#: Bounds of the fits: rows of the training sample, and rows a family that linkage takes.
+#: Rows of the training sample that text_vocabulary describes, as its SQL does. The fits below take all training rows.
 FIT_ROWS = 20_000
-FAMILY_ROWS = 1_000
 
 _ATTRIBUTES = adapter.CONTRACTS_SQL + r""", a AS (SELECT *, trim(title || ' ' || yes_sub_title) AS text, split_part(event_ticker, '-', 1) AS series, lower(CASE WHEN yes_sub_title <> '' THEN yes_sub_title ELSE title END) AS claim FROM contracts),
 b AS (SELECT *, CASE WHEN regexp_matches(lower(text), '\b(automobile|machinery)\b') THEN 'industry' WHEN regexp_matches(lower(text), '\bbuilding\b') THEN 'property' ELSE 'home' END AS domain,
@@ -58,36 +57,37 @@ def titles(spark, sf_dir) -> DataFrame:
     return staged(families(spark, sf_dir).select("ticker", "event_id", "split", "family", "text"), "zstd")
 
 
-def fit(rows: DataFrame) -> text.Encoder:
+def fit(rows: DataFrame) -> tuple[text.Encoder, DataFrame]:
+    """(encoder, bags): fitted on all training rows, which the bags hold by family."""
     require(rows.select("ticker", "event_id", "split"), "ticker", "event_id", "split")  # no contract twice, no event in two splits
-    sample = stable_sample(rows.where("split = 'train'").select("ticker", "text"), "ticker", FIT_ROWS).persist()
-    try:
-        return text.fit_svd(text.fit_vocabulary(sample), sample)
-    finally:
-        sample.unpersist()
+    train = rows.where("split = 'train'").select("ticker", "family", "text")
+    encoder = text.fit_vocabulary(train)
+    bags = staged(encoder.bags(train, "text", "ticker", ("family",)))
+    return text.fit_bags(encoder, bags), bags
 
 
 def fitted(spark, sf_dir) -> text.Encoder:
-    return fit(titles(spark, sf_dir))
+    return fit(titles(spark, sf_dir))[0]
 
 
 def vectors(spark, sf_dir) -> DataFrame:
     rows = titles(spark, sf_dir)
-    return fit(rows).encode(rows).drop("text")
+    return fit(rows)[0].encode(rows).drop("text")
 
 
 @query("text_vectors")
 def text_vectors(spark, sf_dir):
-    """The unit vectors of all contracts on the singular vectors of the training sample."""
+    """The unit vectors of all contracts on the singular vectors of the training contracts."""
     return vectors(spark, sf_dir)
 
 
 def centred(spark, sf_dir):
-    """(titles, encoder, centres): centres of the families' training rows. Only rows that may make a centre become vectors."""
+    """(titles, encoder, centres): centres of all the families' training rows. Rows with the same known terms become one vector."""
     rows = titles(spark, sf_dir)
-    encoder = fit(rows)
-    sample = sample_each(rows.where("split = 'train'").select("ticker", "family", "text"), "family", "ticker", FAMILY_ROWS)
-    return rows, encoder, staged(text.family_centres(encoder.encode(sample), "ticker", FAMILY_ROWS))
+    encoder, bags = fit(rows)
+    centres = staged(text.family_centres(bags, encoder=encoder))
+    discard(bags)
+    return rows, encoder, centres
 
 
 @query("text_centres")

@@ -3,9 +3,9 @@
 import numpy as np
 import pytest
 
-from calibra.operators import resample, ridge
+from calibra.operators import resample, ridge, text
 from calibra.operators.stage import staged
-from calibra.plans import models
+from calibra.plans import models, textflow
 
 
 @pytest.fixture(scope="module")
@@ -165,3 +165,18 @@ def test_predictions_are_not_written_cell_by_cell(spark, monkeypatch, query):
     getattr(models, query)(spark, "/root/testdata/sf0.001").collect()
     assert [c for c in written if "ticker" in c] == [["ticker", "event_id", "price", "outcome", "n", "contracts", "split", "family", "cluster"]]
     assert not [c for c in written if "vector" in c or set(models.SETS) & set(c)]
+
+
+@pytest.mark.parametrize("query", ["heldout_predictions"])
+def test_nothing_is_fitted_on_a_sample(spark, monkeypatch, query):
+    def sampled(*args, **kwargs):
+        raise AssertionError("a sample was taken")
+
+    made = []
+    for module, name in ((textflow, "stable_sample"), (textflow, "sample_each"), (text, "sample_each")):
+        monkeypatch.setattr(module, name, sampled, raising=False)
+    centres = text.family_centres
+    monkeypatch.setattr(text, "family_centres", lambda *args, **kwargs: made.append(centres(*args, **kwargs).persist()) or made[-1])
+    assert getattr(models, query)(spark, "/root/testdata/sf0.001").count() > 0
+    train = textflow.families(spark, "/root/testdata/sf0.001").where("split = 'train'").groupBy("family").count().where("count > 1").agg({"count": "sum"}).first()[0]
+    assert sum(r.members for r in made[0].collect()) == train  # every training contract has known terms

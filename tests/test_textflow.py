@@ -128,6 +128,43 @@ def test_linkage_equals_plain(n, dims, distance):
     assert text.average_linkage(np.repeat(x, 2, axis=0), 1e-9).max() == n - 1
 
 
+@pytest.mark.parametrize("n,dims,distance", [(1, 3, 0.35), (25, 4, 0.35), (30, 8, 0.7)])
+def test_linkage_of_rows_that_count_for_several(n, dims, distance):
+    rng = np.random.default_rng(n)
+    x, own = rng.standard_normal((n, dims)), rng.integers(1, 4, n)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.repeat(text.average_linkage(x, distance, own), own).tolist() == plain_linkage(np.repeat(x, own, axis=0), distance).tolist()
+
+
+def test_centres_are_made_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = np.eye(6)[rng.integers(4, size=1200)] + 0.02 * rng.standard_normal((1200, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[600:1000] = x[:400]  # rows with equal vectors count each
+    df = spark.createDataFrame([(k, "f", v.tolist()) for k, v in enumerate(x)], "id long, family string, vector array<double>")
+    got = {r.cluster: r for r in text.family_centres(df).collect()}
+    kind = x.argmax(axis=1)
+    assert sum(r.members for r in got.values()) == 1200 and len(got) == 4
+    for c, k in enumerate(dict.fromkeys(kind.tolist())):  # clusters are numbered by their first row
+        mean = x[kind == k].mean(axis=0)
+        assert got[c].members == (kind == k).sum() and np.allclose(got[c].centre, mean / np.linalg.norm(mean), atol=1e-12)
+
+
+def test_centres_of_bags_are_those_of_vectors(spark):
+    rows = [(k, f"f{k % 2}", t) for k, t in enumerate(TITLES * 4)]
+    df = spark.createDataFrame(rows, "id long, family string, text string")
+    encoder = text.fit_svd(text.fit_vocabulary(df), df)
+    bags = encoder.bags(df, "text", "id", ("family",))
+    assert bags.count() < len(rows) and bags.agg(F.sum("n")).first()[0] == len(rows)
+    one, other = ({(r.family, r.cluster): (r.members, r.centre) for r in c.collect()} for c in (text.family_centres(bags, encoder=encoder), text.family_centres(encoder.encode(df))))
+    assert {k: v[0] for k, v in one.items()} == {k: v[0] for k, v in other.items()} and all(np.allclose(one[k][1], other[k][1], atol=1e-9) for k in one)
+
+
+def test_names_of_clusters_beyond_999(spark):
+    near = spark.createDataFrame([(k, k, "train", "f", 1234 + k % 2, 1.0) for k in range(8)], "ticker long, event_id long, split string, family string, cluster int, similarity double")
+    assert {r.cluster for r in text.assignments(near, contracts=2, events=2).collect()} == {"f/1234", "f/1235"}
+
+
 def test_assignment_equals_plain(spark):
     rng = np.random.default_rng(5)
     rows = []
