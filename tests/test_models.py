@@ -167,7 +167,7 @@ def test_predictions_are_not_written_cell_by_cell(spark, monkeypatch, query):
     assert not [c for c in written if "vector" in c or set(models.SETS) & set(c)]
 
 
-@pytest.mark.parametrize("query", ["heldout_predictions"])
+@pytest.mark.parametrize("query", ["heldout_predictions", "model_comparison"])
 def test_nothing_is_fitted_on_a_sample(spark, monkeypatch, query):
     def sampled(*args, **kwargs):
         raise AssertionError("a sample was taken")
